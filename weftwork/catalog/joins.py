@@ -1 +1,148 @@
+"""Queries for joins and lookups."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from weftwork.catalog.registry import query
+from weftwork.operators import joins as J
+from weftwork.operators import lookups as L
+from weftwork.sources.tables import source_sql
+
+c = F.col
+
+# One market segment as master, open orders as detail: both sides have unmatched rows.
+_MASTER = "(SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING')"
+_DETAIL = "(SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'O')"
+
+
+def _sides(t):
+    master = t.customer.filter(c("c_mktsegment") == "BUILDING").select("c_custkey", "c_name", "c_acctbal")
+    detail = t.orders.filter(c("o_orderstatus") == "O").select("o_orderkey", "o_custkey", "o_totalprice")
+    return master, detail
+
+
+def _joined(name: str, kind: str, sql_kind: str) -> None:
+    @query(name, f"SELECT * FROM {_MASTER} m {sql_kind} JOIN {_DETAIL} d ON c_custkey = o_custkey")
+    def run(t):
+        return J.joiner(*_sides(t), [("c_custkey", "=", "o_custkey")], kind)
+
+
+_joined("normal", J.NORMAL, "INNER")
+_joined("master_outer", J.MASTER_OUTER, "RIGHT")
+_joined("detail_outer", J.DETAIL_OUTER, "LEFT")
+_joined("full_outer", J.FULL_OUTER, "FULL")
+
+
+@query("multi_condition", f"""
+SELECT * FROM {_MASTER} m JOIN {_DETAIL} d ON c_custkey = o_custkey AND c_acctbal * 1 <= o_totalprice AND c_custkey <> o_orderkey""")
+def multi_condition(t):
+    return J.joiner(*_sides(t), [("c_custkey", "=", "o_custkey"), ("c_acctbal", "<=", "o_totalprice"), ("c_custkey", "^=", "o_orderkey")])
+
+
+@query("user_defined_join", """
+SELECT n_name, s_name, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem, supplier, nation
+WHERE l_suppkey = s_suppkey AND s_nationkey = n_nationkey GROUP BY 1, 2""")
+def user_defined_join(t):
+    li, s, n = t.lineitem, t.supplier, t.nation
+    joined = J.source_join([li, s, n], [li["l_suppkey"] == s["s_suppkey"], s["s_nationkey"] == n["n_nationkey"]])
+    return joined.groupBy("n_name", "s_name").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+
+
+@query("not_in_subquery", """
+SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 5000)""")
+def not_in_subquery(t):
+    return J.not_in(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", t.customer.filter("c_acctbal < 5000"), "c_custkey")
+
+
+@query("in_subquery", """
+SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 5000)""")
+def in_subquery(t):
+    return J.in_subquery(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", t.customer.filter("c_acctbal < 5000"), "c_custkey")
+
+
+def _match(policy: str, extra: str = "") -> str:
+    pick = {"First": "arg_min({0}, (o_orderdate, o_orderkey))", "Last": "arg_max({0}, (o_orderdate, o_orderkey))"}[policy]
+    return (f"(SELECT o_custkey, {pick.format('o_orderkey')} AS ok, {pick.format('o_totalprice')} AS tp, "
+            f"{pick.format('o_orderstatus')} AS st FROM orders {extra} GROUP BY o_custkey)")
+
+
+_ORDER = ["o_orderdate", "o_orderkey"]
+
+
+def _customers(t):
+    return t.customer.select("c_custkey", "c_name")
+
+
+@query("connected", f"SELECT c_custkey, c_name, ok AS first_order FROM customer LEFT JOIN {_match('First', 'WHERE o_totalprice > 400000')} o ON c_custkey = o_custkey")
+def connected(t):
+    return L.lookup(_customers(t), t.orders.filter("o_totalprice > 400000"), [("c_custkey", "o_custkey")], {"first_order": "o_orderkey"}, "First", _ORDER)
+
+
+@query("multi_output", f"SELECT c_custkey, c_name, ok, tp, st FROM customer LEFT JOIN {_match('First')} o ON c_custkey = o_custkey")
+def multi_output(t):
+    return L.lookup(_customers(t), t.orders, [("c_custkey", "o_custkey")],
+                    {"ok": "o_orderkey", "tp": "o_totalprice", "st": "o_orderstatus"}, "First", _ORDER)
+
+
+@query("unconnected", f"""
+SELECT c_custkey, CASE WHEN tp IS NULL THEN -1 ELSE round(tp * 2, 2) END AS doubled FROM customer
+LEFT JOIN {_match('First', 'WHERE o_totalprice > 400000')} o ON c_custkey = o_custkey""")
+def unconnected(t):
+    value = lambda v: F.when(v.isNull(), F.lit(-1.0)).otherwise(F.round(v * 2, 2))
+    return L.lookup_value(t.customer.select("c_custkey"), "doubled", t.orders.filter("o_totalprice > 400000"),
+                          [("c_custkey", "o_custkey")], "o_totalprice", value, "First", _ORDER)
+
+
+@query("match_first", f"SELECT c_custkey, c_name, ok, tp FROM customer LEFT JOIN {_match('First')} o ON c_custkey = o_custkey")
+def match_first(t):
+    return L.lookup(_customers(t), t.orders, [("c_custkey", "o_custkey")], {"ok": "o_orderkey", "tp": "o_totalprice"}, "First", _ORDER)
+
+
+@query("match_last", f"SELECT c_custkey, c_name, ok, tp FROM customer LEFT JOIN {_match('Last')} o ON c_custkey = o_custkey")
+def match_last(t):
+    return L.lookup(_customers(t), t.orders, [("c_custkey", "o_custkey")], {"ok": "o_orderkey", "tp": "o_totalprice"}, "Last", _ORDER)
+
+
+@query("match_any", "SELECT c_custkey, c_name, ok FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS ok FROM orders GROUP BY 1) o ON c_custkey = o_custkey")
+def match_any(t):
+    return L.lookup(_customers(t), t.orders, [("c_custkey", "o_custkey")], {"ok": "o_orderkey"}, "Any")
+
+
+@query("lookup_source_filter", f"""
+SELECT c_custkey, c_name, ok FROM customer LEFT JOIN {_match('First', "WHERE o_orderstatus = 'P'")} o ON c_custkey = o_custkey""")
+def lookup_source_filter(t):
+    return L.lookup(_customers(t), t.orders, [("c_custkey", "o_custkey")], {"ok": "o_orderkey"}, "First", _ORDER, "o_orderstatus = 'P'")
+
+
+@query("sql_override", """
+SELECT c_custkey, total FROM customer LEFT JOIN (SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders
+WHERE o_orderstatus = 'F' GROUP BY 1) o ON c_custkey = o_custkey""")
+def sql_override(t):
+    side = source_sql(t.spark, "SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM {orders} WHERE o_orderstatus = 'F' GROUP BY o_custkey",
+                      {"orders": t.orders})
+    return L.lookup(t.customer.select("c_custkey"), side, [("c_custkey", "o_custkey")], {"total": "total"}, "Any")
+
+
+# Overlapping price bands of very different widths, from the parts table.
+_BANDS = """(SELECT p_partkey, p_brand, (p_partkey * 37) % 5000 * 100.0 AS lo,
+  (p_partkey * 37) % 5000 * 100.0 + 50.0 * p_size * (p_partkey % 7) AS hi FROM part)"""
+
+
+def _bands(t):
+    start = (c("p_partkey") * 37) % 5000 * 100.0
+    return t.part.select("p_partkey", "p_brand", start.alias("lo"), (start + 50.0 * c("p_size") * (c("p_partkey") % 7)).alias("hi"))
+
+
+@query("theta_condition", f"""
+SELECT o_orderkey, o_totalprice, arg_min(p_brand, p_partkey) AS brand, min(p_partkey) AS band
+FROM orders LEFT JOIN {_BANDS} b ON o_totalprice BETWEEN lo AND hi GROUP BY 1, 2""")
+def theta_condition(t):
+    return L.range_lookup(t.orders.select("o_orderkey", "o_totalprice"), _bands(t), "o_totalprice", "lo", "hi", 16.0,
+                          {"brand": "p_brand", "band": "p_partkey"}, policy="First", order_by=["p_partkey"])
+
+
+@query("insert_only_new", """
+SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')""")
+def insert_only_new(t):
+    return L.only_new(t.orders.select("o_orderkey", "o_custkey"), t.customer.filter("c_mktsegment = 'MACHINERY'"), [("o_custkey", "c_custkey")])

@@ -117,7 +117,8 @@ _CONNECTOR = ("array<struct<_FROMINSTANCE:string,_FROMINSTANCETYPE:string,_FROMF
               "_TOINSTANCE:string,_TOINSTANCETYPE:string,_TOFIELD:string>>")
 
 
-def mapping_xml_scan(spark: SparkSession, root: str, encoding: str = "windows-1252") -> dict[str, DataFrame]:
+def mapping_xml_scan(spark: SparkSession, root: str, encoding: str = "windows-1252",
+                     names: str = "*.{xml,XML}") -> dict[str, DataFrame]:
     """Mapping XML files flattened to one table an element kind.
 
     ``source_fields``, ``target_fields``, ``transform_fields``, ``table_attributes``,
@@ -126,7 +127,7 @@ def mapping_xml_scan(spark: SparkSession, root: str, encoding: str = "windows-12
     """
     def read(tag: str, shape: str) -> DataFrame:
         return (spark.read.format("xml").schema(shape).option("rowTag", tag).option("encoding", encoding)
-                .option("recursiveFileLookup", True).option("pathGlobFilter", "*.{xml,XML}").load(root))
+                .option("recursiveFileLookup", True).option("pathGlobFilter", names).load(root))
 
     def owned(tag: str, element: str) -> DataFrame:
         return (read(tag, f"_NAME string, {element} {_FIELD}")
