@@ -37,8 +37,8 @@ def nearest_date(requests: DataFrame, dates: DataFrame, requested: str = "reques
     Solved once for each distinct requested day, then joined back by day.
     """
     distance = lambda d: F.struct(F.abs(F.date_diff(d, F.col(requested))).alias("dist"), d.alias("nearest"))
-    solved = (requests.select(requested).distinct()
-              .withColumn("nearest", F.array_min(F.transform(_all_dates(dates), distance))["nearest"]))
+    solved = (requests.select(requested).distinct().withColumn("_days", _all_dates(dates))
+              .withColumn("nearest", F.array_min(F.transform("_days", distance))["nearest"]).drop("_days"))
     return requests.join(solved, requested, "left")
 
 
@@ -130,10 +130,10 @@ def task_stats(runs: DataFrame, tasks: DataFrame) -> DataFrame:
     state = F.when(run_state(F.col("status")) == "running", "RUNNING").otherwise(display_status(F.upper(F.trim("status"))))
     known = runs.groupBy("recipe_filename").agg(F.map_from_entries(F.collect_list(F.struct("run_date", state))).alias("by_day"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return (tasks.select(F.col("recipe").alias("recipe_filename")).distinct()
+    return (tasks.select(F.col("recipe").alias("recipe_filename")).distinct().withColumn("_days", _all_dates(runs))
             .join(known, "recipe_filename", "left").join(means, "recipe_filename", "left").join(ranks, "recipe_filename", "left")
             .select("recipe_filename", zero("avg_time_s"), zero("p50"), zero("p95"), zero("p99"),
-                    F.transform(_all_dates(runs), lambda d: F.coalesce(F.try_element_at(F.col("by_day"), d), F.lit("PENDING"))).alias("history")))
+                    F.transform("_days", lambda d: F.coalesce(F.try_element_at(F.col("by_day"), d), F.lit("PENDING"))).alias("history")))
 
 
 def layer_rank(layer: Column) -> Column:
