@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 FIRST, LAST, ANY = "First", "Last", "Any"
 
 
+def _of(df: DataFrame, name: str) -> Column:
+    """Column of ``df`` whose name may hold dots."""
+    return df[f"`{name}`"]
+
+
 def _pick(policy: str, value: Column, order_by: list[str] | None) -> Column:
     """The aggregate that keeps one of several matches; partial, so hot keys shrink before the shuffle."""
     if policy == ANY:
@@ -40,9 +45,9 @@ def lookup(df: DataFrame, table: DataFrame, on: list[tuple[str, str]], outputs:
         if any(c not in keys for c in wanted) else table.select(*keys).distinct()
     side = side.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
                        *[F.col(src).alias(f"_o{i}") for i, src in enumerate(outputs.values())])
-    cond = [df[ours] == side[f"_k{i}"] for i, (ours, _) in enumerate(on)]
+    cond = [_of(df, ours) == side[f"_k{i}"] for i, (ours, _) in enumerate(on)]
     joined = df.join(side, cond, "left")
-    return joined.select(*[df[c] for c in df.columns], *[side[f"_o{i}"].alias(n) for i, n in enumerate(outputs)])
+    return joined.select(*[_of(df, c) for c in df.columns], *[side[f"_o{i}"].alias(n) for i, n in enumerate(outputs)])
 
 
 def lookup_value(df: DataFrame, name: str, table: DataFrame, on: list[tuple[str, str]], output: str, expr,
@@ -99,9 +104,9 @@ def range_lookup(df: DataFrame, table: DataFrame, value: str, low: str, high: st
         cond = cond & (F.col(v) == F.col(k))
     picked = (probes.join(entries, cond, "inner").groupBy(*value_keys, "_v").agg(best("_best").alias("_best"))
               .select(*value_keys, "_v", "_best.m"))
-    back = [df[value] == picked["_v"]] + [df[o] == picked[v] for o, v in zip(ours, value_keys)]
+    back = [_of(df, value) == picked["_v"]] + [_of(df, o) == picked[v] for o, v in zip(ours, value_keys)]
     joined = df.join(picked, back, "left")
-    return joined.select(*[df[c] for c in df.columns], *[F.col(f"m.{src}").alias(n) for n, src in outputs.items()])
+    return joined.select(*[_of(df, c) for c in df.columns], *[F.col(f"m.{src}").alias(n) for n, src in outputs.items()])
 
 
 def _tile_sql(bits: int, top: int) -> str:
@@ -128,4 +133,4 @@ _TILES = _tile_sql(_LEVEL_BITS, _TOP_LEVEL)
 def only_new(df: DataFrame, target: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
     """Insert-only pattern: rows whose key the target does not hold yet."""
     side = target.select(*[F.col(t).alias(f"_k{i}") for i, (_, t) in enumerate(keys)])
-    return df.join(side, [df[o] == side[f"_k{i}"] for i, (o, _) in enumerate(keys)], "left_anti")
+    return df.join(side, [_of(df, o) == side[f"_k{i}"] for i, (o, _) in enumerate(keys)], "left_anti")

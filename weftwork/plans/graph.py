@@ -1,7 +1,8 @@
 """Graph jobs over an edge table ``(src, dst)``.
 
 Iterative jobs join a frontier with the edges and write each round to the
-checkpoint folder. Only counts come to the driver, results are relations (a hub with a
+checkpoint folder. The edges are shuffled anew in each round on purpose: a kept
+partitioning would pin a hub's edges to one task, a fresh shuffle lets AQE split them. Only counts come to the driver, results are relations (a hub with a
 third of all edges is never gathered into one row), and rounds end when the frontier is empty.
 """
 
@@ -13,6 +14,20 @@ from pyspark.sql import functions as F
 from weftwork.session import cut
 
 
+class Gathered:
+    """The union of checkpointed rounds; rewritten as one now and then so the plan stays short."""
+
+    MERGE_AFTER = 16
+
+    def __init__(self, first: DataFrame):
+        self.df, self._parts = first, 1
+
+    def add(self, part: DataFrame) -> None:
+        self.df, self._parts = self.df.union(part), self._parts + 1
+        if self._parts >= self.MERGE_AFTER:
+            self.df, self._parts = cut(self.df), 1
+
+
 def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
 
@@ -26,13 +41,14 @@ def neighbours(edges: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Every node reachable from ``seeds`` (column ``node``), seeds included."""
     edges = cut(edges.select("src", "dst").distinct())
-    seen = frontier = cut(seeds.select("node").distinct())
+    frontier = cut(seeds.select("node").distinct())
+    seen = Gathered(frontier)
     while True:
         step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen, "node", "left_anti"))
+        frontier = cut(step.join(seen.df, "node", "left_anti"))
         if frontier.isEmpty():
-            return seen
-        seen = cut(seen.union(frontier))
+            return seen.df
+        seen.add(frontier)
 
 
 def shortest_paths(edges: DataFrame, source: str, target: str | None = None) -> DataFrame:
@@ -40,19 +56,20 @@ def shortest_paths(edges: DataFrame, source: str, target: str | None = None) ->
     edges = cut(edges.select("src", "dst").distinct())
     start = edges.sparkSession.range(1).select(F.lit(source).alias("node"), F.lit(0).alias("hops"),
                                                F.array(F.lit(source)).alias("path"))
-    seen = frontier = cut(start)
+    frontier = cut(start)
+    seen = Gathered(frontier)
     while True:
         step = (frontier.join(edges, frontier["node"] == edges["src"])
                 .groupBy(F.col("dst").alias("node"))
                 .agg(F.min("hops").alias("h"), F.min("path").alias("p"))
                 .select("node", (F.col("h") + 1).alias("hops"), F.concat("p", F.array("node")).alias("path")))
-        frontier = cut(step.join(seen.select("node"), "node", "left_anti"))
+        frontier = cut(step.join(seen.df.select("node"), "node", "left_anti"))
         if frontier.isEmpty():
             break
-        seen = cut(seen.union(frontier))
+        seen.add(frontier)
         if target is not None and not frontier.filter(F.col("node") == target).isEmpty():
             break
-    return seen if target is None else seen.filter(F.col("node") == target)
+    return seen.df if target is None else seen.df.filter(F.col("node") == target)
 
 
 def levels(deps: DataFrame, ranks: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftwork.plans.graph import Gathered
 from weftwork.session import cut
 from weftwork.sources.files import TYPE_ALIASES
 
@@ -263,14 +264,15 @@ def connector_lineage(connectors: DataFrame, ports: DataFrame, instances: DataFr
     targets = connectors.join(instances.filter(F.upper("type") == "TARGET").select("mapping", F.col("name").alias("to_instance")),
                               ["mapping", "to_instance"], "left_semi")
     start = targets.select(node("to_instance", "to_field").alias("origin_of")).distinct()
-    seen = frontier = cut(start.withColumn("at", F.col("origin_of")))
+    frontier = cut(start.withColumn("at", F.col("origin_of")))
+    seen = Gathered(frontier)
     while True:
         step = frontier.join(up, frontier["at"] == up["src"]).select("origin_of", F.col("dst").alias("at")).distinct()
-        frontier = cut(step.join(seen, ["origin_of", "at"], "left_anti"))
+        frontier = cut(step.join(seen.df, ["origin_of", "at"], "left_anti"))
         if frontier.isEmpty():
             break
-        seen = cut(seen.union(frontier))
-    ends = seen.join(up.select(F.col("src").alias("at")).distinct(), "at", "left_anti").filter("at <> origin_of")
+        seen.add(frontier)
+    ends = seen.df.join(up.select(F.col("src").alias("at")).distinct(), "at", "left_anti").filter("at <> origin_of")
     t, s = F.split("origin_of", "\u0001"), F.split("at", "\u0001")
     return ends.select(t[0].alias("mapping"), t[1].alias("target_instance"), t[2].alias("target_field"),
                        s[1].alias("source_instance"), s[2].alias("source_field"))
