@@ -59,7 +59,9 @@ def _filled(template: str):
 def documents(t: Tables) -> DataFrame:
     """(path, recipe, mapping_dir, layer, document)."""
     choose = lambda text: F.expr(text)
-    s = t.sql(SEED).withColumns({
+    # The thin rows are spread before they grow to documents: a small table is one file and so one task. By
+    # recipe, because everything later groups and joins within a recipe.
+    s = t.sql(SEED).repartition("recipe").withColumns({
         "t0": choose("if(m = 1, 'BERYLFALLS', 'sourceQualifier')"), "distinct": choose("""if(d = 1, '', ',"selectDistinct":false')"""),
         "dt": choose("if(d = 2, 'Text', 'String')"), "f1": choose("case d when 3 then ' ' when 4 then 'KEY' else 'AMT' end"),
         "s0": choose("if(d = 5, 'GHOST', 'ORDERS')"), "t1": choose("case d when 6 then 'mystery' when 7 then '' else 'filter' end"),

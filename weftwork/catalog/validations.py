@@ -78,7 +78,7 @@ FROM ({_sql('o_orderkey', _D, 'date_s', _DATE, 'ERROR_DATE')}) WHERE error IS NO
 
 def _validated(t):
     return V.validate(t.sql(DIRTY).select("o_orderkey", "num_s", "date_s"),
-                      {"num_s": V.validate_num(c("num_s"), not_null=True), "date_s": V.validate_date(c("date_s"))})
+                      {"num_s": V.num(c("num_s"), not_null=True), "date_s": V.date(c("date_s"))})
 
 
 @query("validate_row", f"""

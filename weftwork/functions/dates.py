@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -46,9 +47,30 @@ def spark_format(mapping_format: str) -> str:
     return reduce(lambda text, pair: text.replace(*pair), FORMAT_TOKENS, mapping_format)
 
 
+def shape(fmt: str) -> str:
+    """Regular expression of the texts a Spark pattern can read, with fixed digit counts.
+
+    Trying formats on text they cannot read costs an exception each; the shape is
+    checked first, so usually one format is tried at all.
+    """
+    out = []
+    for run in re.finditer(r"'([^']*)'|([A-Za-z])\2*|[^A-Za-z']+", fmt):
+        text, letter = run.group(0), run.group(2)
+        if letter is None:
+            out.append(re.escape(run.group(1) if run.group(1) is not None else text))
+        elif letter in "yu" and len(text) == 1:
+            out.append(r"\d+")
+        elif letter in "yuMdHhmsS" and not (letter == "M" and len(text) > 2):
+            out.append(rf"\d{{{len(text)}}}" if len(text) > 1 else r"\d{1,2}")
+        else:
+            out.append(".+")
+    return "^" + "".join(out) + "$"
+
+
 def parse(c: Column, fmt: str) -> Column:
     """Timestamp without zone, or NULL when the text does not fit ``fmt`` (a Spark pattern)."""
-    return F.try_to_timestamp(F.trim(c), F.lit(fmt)).cast("timestamp_ntz")
+    text = F.trim(c)
+    return F.when(text.rlike(shape(fmt)), F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz"))
 
 
 def first_parse(c: Column, formats: list[str]) -> Column:

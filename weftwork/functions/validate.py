@@ -8,6 +8,8 @@ runs a set of them over a row, sets ``LOAD_DATA`` and gathers the errors;
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,62 +28,93 @@ def blank(c: Column) -> Column:
     return c.isNull() | (F.trim(c) == "")
 
 
-def _checked(c: Column, value: Column, code: str, not_null: bool, default: Column | None) -> Column:
-    empty_value = F.lit(None) if default is None else default
-    failed = F.concat(F.lit(code + SEPARATOR), c)
-    missing = F.concat(F.lit(ERROR_NULL + SEPARATOR), F.coalesce(c, F.lit("")))
-    reject_blank = not_null and default is None
-    return F.struct(
-        F.when(blank(c), empty_value).otherwise(value).alias("value"),
-        F.when(blank(c), missing if reject_blank else F.lit(None)).when(value.isNull(), failed).alias("error"),
-    )
+@dataclass(frozen=True)
+class Rule:
+    """A field validation: the raw text, its typed value, and what to do with blanks."""
+
+    raw: Column
+    typed: Column
+    code: str
+    not_null: bool = False
+    default: Column | None = None
+
+    def value(self, typed: Column) -> Column:
+        return F.when(blank(self.raw), F.lit(None) if self.default is None else self.default).otherwise(typed)
+
+    def error(self, typed: Column) -> Column:
+        missing = F.concat(F.lit(ERROR_NULL + SEPARATOR), F.coalesce(self.raw, F.lit("")))
+        reject_blank = self.not_null and self.default is None
+        return F.when(blank(self.raw), missing if reject_blank else F.lit(None)).when(
+            typed.isNull(), F.concat(F.lit(self.code + SEPARATOR), self.raw))
+
+    def struct(self) -> Column:
+        return F.struct(self.value(self.typed).alias("value"), self.error(self.typed).alias("error"))
+
+
+def num(c: Column, not_null: bool = False) -> Rule:
+    return Rule(c, F.trim(c).try_cast("decimal(38,9)"), ERROR_NUMBER, not_null)
+
+
+def present(c: Column, default: str | None = None) -> Rule:
+    return Rule(c, c, ERROR_NULL, True, None if default is None else F.lit(default))
+
+
+def date(c: Column, formats: list[str] | None = None, not_null: bool = False, default: bool = False) -> Rule:
+    """``default`` fills blanks with the default date."""
+    fallback = dates.parse_date_multi(F.lit(dates.DEFAULT_DATE), ["yyyyMMdd"]) if default else None
+    return Rule(c, dates.parse_date_multi(c, formats), ERROR_DATE, not_null, fallback)
+
+
+def timestamp(c: Column, formats: list[str] | None = None, not_null: bool = False) -> Rule:
+    return Rule(c, dates.parse_timestamp_multi(c, formats), ERROR_TIMESTAMP, not_null)
+
+
+def decimal(c: Column, precision: int, scale: int) -> Rule:
+    """The value must fit the declared integer digits; extra decimals are rounded."""
+    return Rule(c, F.trim(c).try_cast(f"decimal({precision},{scale})"), ERROR_DECIMAL)
 
 
 def validate_num(c: Column, not_null: bool = False) -> Column:
-    return _checked(c, F.trim(c).try_cast("decimal(38,9)"), ERROR_NUMBER, not_null, None)
+    return num(c, not_null).struct()
 
 
 def validate_not_null(c: Column, default: str | None = None) -> Column:
-    return _checked(c, c, ERROR_NULL, True, None if default is None else F.lit(default))
+    return present(c, default).struct()
 
 
 def validate_date(c: Column, formats: list[str] | None = None, not_null: bool = False, default: bool = False) -> Column:
-    fallback = F.lit(dates.DEFAULT_DATE).try_cast("string") if default else None
-    fallback = None if fallback is None else dates.parse_date_multi(fallback, ["yyyyMMdd"])
-    return _checked(c, dates.parse_date_multi(c, formats), ERROR_DATE, not_null, fallback)
+    return date(c, formats, not_null, default).struct()
 
 
 def validate_timestamp(c: Column, formats: list[str] | None = None, not_null: bool = False) -> Column:
-    return _checked(c, dates.parse_timestamp_multi(c, formats), ERROR_TIMESTAMP, not_null, None)
+    return timestamp(c, formats, not_null).struct()
 
 
 def validate_decimal(c: Column, precision: int, scale: int) -> Column:
-    """The value must fit the declared integer digits; extra decimals are rounded."""
-    return _checked(c, F.trim(c).try_cast(f"decimal({precision},{scale})"), ERROR_DECIMAL, False, None)
+    return decimal(c, precision, scale).struct()
 
 
-def validate(df: DataFrame, specs: dict[str, Column]) -> DataFrame:
+def validate(df: DataFrame, rules: dict[str, Rule]) -> DataFrame:
     """Run all field validations of a row.
 
-    ``specs`` maps a field to its validation. The field takes the typed value,
-    ``errors`` holds one ``field|code|raw`` text for each failure, and
-    ``LOAD_DATA`` is Y or N.
+    The field takes the typed value, ``errors`` holds one ``field|code|raw`` text for each failure,
+    and ``LOAD_DATA`` is Y or N. Typed values get a projection of their own, so each text is parsed once.
     """
-    checked = df.withColumns({f"_chk_{name}": c for name, c in specs.items()})
+    typed = df.withColumns({f"_typed_{n}": r.typed for n, r in rules.items()})
     errors = F.array_compact(F.array(*[
-        F.concat(F.lit(name + SEPARATOR), F.col(f"_chk_{name}.error")) for name in specs
-    ]))
-    kept = checked.withColumns({name: F.col(f"_chk_{name}.value") for name in specs})
-    return (kept.withColumn("errors", errors)
-            .withColumn("LOAD_DATA", F.when(F.size("errors") == 0, "Y").otherwise("N"))
-            .drop(*[f"_chk_{name}" for name in specs]))
+        F.concat(F.lit(n + SEPARATOR), r.error(F.col(f"_typed_{n}"))) for n, r in rules.items()]))
+    checked = typed.withColumns({"errors": errors} | {f"_out_{n}": r.value(F.col(f"_typed_{n}")) for n, r in rules.items()})
+    kept = [F.col(f"_out_{c}").alias(c) if c in rules else F.col(c) for c in df.columns]
+    added = [F.col(f"_out_{n}").alias(n) for n in rules if n not in df.columns]
+    return checked.select(*kept, *added, "errors", F.when(F.size("errors") == 0, "Y").otherwise("N").alias("LOAD_DATA"))
 
 
 def split(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(good rows, error table ``keys + field, code, raw``) of a validated table."""
     good = df.filter(F.col("LOAD_DATA") == "Y").drop("errors", "LOAD_DATA")
     parts = F.split("error", r"\|", 3)
-    bad = (df.filter(F.col("LOAD_DATA") == "N").select(*keys, F.explode("errors").alias("error"))
+    # An outer explode: a plain one would repeat the validations in a filter it infers on the array.
+    bad = (df.select(*keys, F.explode_outer("errors").alias("error")).filter(F.col("error").isNotNull())
            .select(*keys, parts[0].alias("field"), parts[1].alias("code"), parts[2].alias("raw")))
     return good, bad
 

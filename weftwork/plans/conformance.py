@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.plans import graph, lineage
+from weftwork.session import fresh_path
 
 # Run-time data types, predefined functions, operators, match policies, other call markers.
 DATA_TYPES = ["String", "BigDecimal", "Long", "Integer", "LocalDateTime", "Timestamp", "LocalDate", "Boolean"]
@@ -36,13 +37,22 @@ WARNINGS = ["REF-002", "REF-003", "REF-006", "FLW-001"]
 
 
 class Corpus:
-    """The document tables, each built when first used; ``keep`` caches those that rules share."""
+    """The document tables, each built when first used.
+
+    With ``keep``, steps and expression nodes are written once as Parquet below the
+    shared folder: rules that use them several times, or many rules, then read just the
+    columns they need instead of parsing every document again, and a lost executor loses nothing.
+    """
 
     def __init__(self, docs: DataFrame, keep: bool = False):
         self.docs, self._keep = docs, keep
 
-    def _shared(self, df: DataFrame) -> DataFrame:
-        return df.persist() if self._keep else df
+    def _shared(self, df: DataFrame, label: str) -> DataFrame:
+        if not self._keep:
+            return df
+        path = fresh_path(df.sparkSession, label)
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
 
     @cached_property
     def parsed(self) -> DataFrame:
@@ -50,7 +60,7 @@ class Corpus:
 
     @cached_property
     def steps(self) -> DataFrame:
-        return self._shared(lineage.steps(self.docs))
+        return self._shared(lineage.steps(self.docs), "steps")
 
     @cached_property
     def sources(self) -> DataFrame:
@@ -62,7 +72,7 @@ class Corpus:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return self._shared(lineage.expr_nodes(self.fields))
+        return self._shared(lineage.expr_nodes(self.fields), "nodes")
 
     @cached_property
     def refs(self) -> DataFrame:
@@ -70,7 +80,7 @@ class Corpus:
 
     @cached_property
     def declared(self) -> DataFrame:
-        return lineage.declared(self.docs)
+        return self._shared(lineage.declared(self.docs), "declared")
 
     @cached_property
     def names(self) -> DataFrame:
@@ -207,7 +217,7 @@ def one_default_group(c: Corpus) -> DataFrame:
 
 @rule("TYP-NRM-002")
 def normalized_field_fed(c: Corpus) -> DataFrame:
-    f = c.steps.filter(F.col("kind") == "normalizer").select("recipe", "step_idx", F.posexplode("target.normalizedFields").alias("i", "n"))
+    f = lineage.each(c.steps.filter(F.col("kind") == "normalizer"), ["recipe", "step_idx"], "target.normalizedFields", "i", "n")
     return _found(f.filter(F.coalesce(F.size("n.refSource"), F.lit(0)) <= 0),
                   F.format_string("$.steps[%d].target.normalizedFields[%d].refSource", "step_idx", "i"), "normalized field has no input")
 
@@ -361,8 +371,8 @@ def match_policy_known(c: Corpus) -> DataFrame:
 
 
 def check(rule_id: str, docs: DataFrame) -> DataFrame:
-    """Violations of one rule."""
-    return RULES[rule_id](Corpus(docs))
+    """Violations of one rule; reference and flow rules read the steps more than once, so they keep them."""
+    return RULES[rule_id](Corpus(docs, keep=rule_id.startswith(("REF", "FLW"))))
 
 
 def severity(rule_id: str) -> str:

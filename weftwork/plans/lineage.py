@@ -49,9 +49,18 @@ def parsed(docs: DataFrame) -> DataFrame:
     return docs.select("recipe", F.from_json("document", _DOCUMENT).alias("doc"))
 
 
+def each(df: DataFrame, keep: list, array: str | Column, pos: str, item: str) -> DataFrame:
+    """Rows of an array with their position.
+
+    A plain explode would infer a filter on the array below it and so parse the
+    document two more times; the outer form with a filter above parses once.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, item)).filter(F.col(pos).isNotNull())
+
+
 def steps(docs: DataFrame) -> DataFrame:
     """(recipe, step_idx, name, type, kind, target, sources)."""
-    s = parsed(docs).select("recipe", F.posexplode("doc.steps").alias("step_idx", "s"))
+    s = each(parsed(docs), ["recipe"], "doc.steps", "step_idx", "s")
     return s.select("recipe", "step_idx", F.col("s.target.name").alias("name"), F.col("s.target.type").alias("type"),
                     canonical(F.col("s.target.type")).alias("kind"), F.col("s.target").alias("target"),
                     F.col("s.sources").alias("sources"))
@@ -59,8 +68,7 @@ def steps(docs: DataFrame) -> DataFrame:
 
 def step_sources(step: DataFrame) -> DataFrame:
     """(recipe, step_idx, step, target_kind, src_idx, name, type, kind, source)."""
-    return (step.select("recipe", "step_idx", F.col("name").alias("step"), F.col("kind").alias("target_kind"),
-                        F.posexplode("sources").alias("src_idx", "source"))
+    return (each(step, ["recipe", "step_idx", F.col("name").alias("step"), F.col("kind").alias("target_kind")], "sources", "src_idx", "source")
             .select("recipe", "step_idx", "step", "target_kind", "src_idx", F.col("source.name").alias("name"),
                     F.col("source.type").alias("type"), canonical(F.col("source.type")).alias("kind"), "source"))
 
@@ -68,7 +76,7 @@ def step_sources(step: DataFrame) -> DataFrame:
 def fields(step: DataFrame) -> DataFrame:
     """(recipe, step_idx, step, field_idx, name, data_type, transformation)."""
     both = F.coalesce("target.fields", "target.weststone")
-    return (step.select("recipe", "step_idx", F.col("name").alias("step"), F.posexplode(both).alias("field_idx", "f"))
+    return (each(step, ["recipe", "step_idx", F.col("name").alias("step")], both, "field_idx", "f")
             .select("recipe", "step_idx", "step", "field_idx", F.col("f.name").alias("name"),
                     F.col("f.dataType").alias("data_type"), F.col("f.transformation").alias("transformation")))
 
@@ -76,9 +84,10 @@ def fields(step: DataFrame) -> DataFrame:
 def declared(docs: DataFrame) -> DataFrame:
     """(recipe, table_name, role, pos) of the tables a recipe declares."""
     doc = parsed(docs)
-    role = lambda column, name: doc.select("recipe", F.posexplode(f"doc.table.{column}").alias("pos", "table_name")).select(
-        "recipe", "table_name", F.lit(name).alias("role"), "pos")
-    return role("targetTableNames", "target").unionByName(role("sourceTableNames", "source"))
+    role = lambda column, name: F.transform(F.coalesce(F.col(f"doc.table.{column}"), F.array().cast("array<string>")), lambda x, i: F.struct(
+        x.alias("table_name"), F.lit(name).alias("role"), i.alias("pos")))
+    both = F.concat(role("targetTableNames", "target"), role("sourceTableNames", "source"))
+    return each(doc, ["recipe"], both, "_i", "t").select("recipe", "t.table_name", "t.role", "t.pos")
 
 
 _NODE_SCHEMA = ("recipe string, step_idx int, step string, field_idx int, field string, path string, depth int, "
