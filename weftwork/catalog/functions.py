@@ -57,8 +57,8 @@ fn("fn_concat", "dirty", "o_orderkey", {
 fn("fn_trunc", "stamps", "event_id", {
     "day": (lambda: S.trunc_date(c("ts")), "date_trunc('day', ts)"), "month": (lambda: S.trunc_date(c("ts"), "MM"), "date_trunc('month', ts)"),
     "hour": (lambda: S.trunc_date(c("ts"), "HH24"), "date_trunc('hour', ts)"),
-    "cut": (lambda: S.trunc_number((c("value") - 250).cast(DEC), 1), "trunc((value - 250)::DECIMAL(38,9) * 10) / 10"),
-    "tens": (lambda: S.trunc_number((c("value") - 250).cast(DEC), -1), "trunc((value - 250)::DECIMAL(38,9) / 10) * 10")})
+    "cut": (lambda: S.trunc_number((c("value") - 250).cast(DEC), 1).cast("double"), "trunc((value - 250)::DECIMAL(38,9) * 10) / 10"),
+    "tens": (lambda: S.trunc_number((c("value") - 250).cast(DEC), -1).cast("double"), "trunc((value - 250)::DECIMAL(38,9) / 10) * 10")})
 fn("fn_to_integer", "dirty", "o_orderkey", {
     "out": (lambda: S.to_integer(c("num_s")), "CAST(trunc(TRY_CAST(trim(num_s) AS DECIMAL(38,9))) AS INTEGER)")})
 fn("fn_length", "documents", "doc_id", {"out": (lambda: S.length(c("text")), "length(text)")})

@@ -111,10 +111,12 @@ def validate(df: DataFrame, rules: dict[str, Rule]) -> DataFrame:
 
 def split(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(good rows, error table ``keys + field, code, raw``) of a validated table."""
-    good = df.filter(F.col("LOAD_DATA") == "Y").drop("errors", "LOAD_DATA")
+    # Both sides come from one outer explode, which gives a good row a NULL error. A filter on LOAD_DATA or a plain
+    # explode would be pushed below the validations and run them again.
+    each = df.withColumn("error", F.explode_outer("errors"))
+    good = each.filter(F.col("error").isNull()).drop("error", "errors", "LOAD_DATA")
     parts = F.split("error", r"\|", 3)
-    # An outer explode: a plain one would repeat the validations in a filter it infers on the array.
-    bad = (df.select(*keys, F.explode_outer("errors").alias("error")).filter(F.col("error").isNotNull())
+    bad = (each.filter(F.col("error").isNotNull())
            .select(*keys, parts[0].alias("field"), parts[1].alias("code"), parts[2].alias("raw")))
     return good, bad
 

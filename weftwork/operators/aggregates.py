@@ -60,27 +60,24 @@ def percentile_nearest_rank(df: DataFrame, keys: list[str], value: str, wanted:
     which narrow band holds the rank; only that band is ordered. The sketch
     decides how narrow the bands are, never the answer.
     """
-    keys = list(keys) or ["_all"]
-    if keys == ["_all"]:
-        df = df.withColumn("_all", F.lit(0))
-    counts = (df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
+    # One struct as the key: it is never NULL, so groups with a NULL key survive the joins.
+    key = F.struct(*keys) if keys else F.struct(F.lit(0))
+    counts = (df.filter(F.col(value).isNotNull()).groupBy(key.alias("_k"), F.col(value).alias("_v"))
               .agg(F.count("*").alias("_n")))
     margin = 2e-4
     probes = sorted({min(max(p / 100 + d, 0.0), 1.0) for p in wanted.values() for d in (-margin, margin)})
-    cuts = counts.groupBy(*keys).agg(
-        F.percentile_approx("_v", probes, 10000).alias("_cuts"),
-        F.sum("_n").alias("_total"))
-    banded = counts.join(cuts, keys).withColumn("_band", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
-    bands = banded.groupBy(*keys, "_band").agg(F.sum("_n").alias("_bn"), F.first("_total").alias("_total"))
-    upto = F.sum("_bn").over(Window.partitionBy(*keys).orderBy("_band"))  # one row a band: a handful a key
+    cuts = counts.groupBy("_k").agg(F.percentile_approx("_v", probes, 10000).alias("_cuts"), F.sum("_n").alias("_total"))
+    banded = counts.join(cuts, "_k").withColumn("_band", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
+    bands = banded.groupBy("_k", "_band").agg(F.sum("_n").alias("_bn"), F.first("_total").alias("_total"))
+    upto = F.sum("_bn").over(Window.partitionBy("_k").orderBy("_band"))  # one row a band: a handful a key
     bands = bands.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_bn"))
     ranks = F.array(*[F.struct(F.lit(n).alias("name"), F.greatest(F.lit(1), F.least(
         F.col("_total"), F.ceil(F.lit(p / 100.0) * F.col("_total")))).alias("rank")) for n, p in wanted.items()])
     targets = (bands.withColumn("_t", F.explode(ranks))
                .filter((F.col("_before") < F.col("_t.rank")) & (F.col("_t.rank") <= F.col("_upto")))
-               .select(*keys, "_band", "_before", F.col("_t.name").alias("_name"), F.col("_t.rank").alias("_rank")))
-    inside = banded.select(*keys, "_band", "_v", "_n").join(targets, [*keys, "_band"])
-    reached = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_band", "_name").orderBy("_v"))
+               .select("_k", "_band", "_before", F.col("_t.name").alias("_name"), F.col("_t.rank").alias("_rank")))
+    inside = banded.select("_k", "_band", "_v", "_n").join(targets, ["_k", "_band"])
+    reached = F.col("_before") + F.sum("_n").over(Window.partitionBy("_k", "_band", "_name").orderBy("_v"))
     found = inside.withColumn("_reached", reached).filter(F.col("_reached") >= F.col("_rank"))
-    out = found.groupBy(*keys).agg(*[F.min(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in wanted])
-    return out.drop("_all")
+    out = found.groupBy("_k").agg(*[F.min(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in wanted])
+    return out.select(*[F.col(f"_k.{k}").alias(k) for k in keys], *wanted)

@@ -39,16 +39,16 @@ WARNINGS = ["REF-002", "REF-003", "REF-006", "FLW-001"]
 class Corpus:
     """The document tables, each built when first used.
 
-    With ``keep``, steps and expression nodes are written once as Parquet below the
+    Those named in ``keep`` (steps, nodes, declared) are written once as Parquet below the
     shared folder: rules that use them several times, or many rules, then read just the
     columns they need instead of parsing every document again, and a lost executor loses nothing.
     """
 
-    def __init__(self, docs: DataFrame, keep: bool = False):
+    def __init__(self, docs: DataFrame, keep: tuple[str, ...] = ()):
         self.docs, self._keep = docs, keep
 
     def _shared(self, df: DataFrame, label: str) -> DataFrame:
-        if not self._keep:
+        if label not in self._keep:
             return df
         path = fresh_path(df.sparkSession, label)
         df.write.parquet(path)
@@ -370,9 +370,14 @@ def match_policy_known(c: Corpus) -> DataFrame:
     return _found(bad, F.concat("path", F.lit(".matchPolicy")), "match policy is not Any, First or Last")
 
 
+# What a single rule reads more than once.
+KEEP = {"STR-005": ("steps",), "TYP-UNI-001": ("steps",), "REF-001": ("steps",), "REF-002": ("steps",), "REF-003": ("steps",),
+        "REF-006": ("steps",), "FLW-001": ("steps",), "FLW-003": ("steps", "nodes")}
+
+
 def check(rule_id: str, docs: DataFrame) -> DataFrame:
-    """Violations of one rule; reference and flow rules read the steps more than once, so they keep them."""
-    return RULES[rule_id](Corpus(docs, keep=rule_id.startswith(("REF", "FLW"))))
+    """Violations of one rule, keeping only tables the rule reads more than once."""
+    return RULES[rule_id](Corpus(docs, KEEP.get(rule_id, ())))
 
 
 def severity(rule_id: str) -> str:
@@ -381,7 +386,7 @@ def severity(rule_id: str) -> str:
 
 def conformance(docs: DataFrame) -> DataFrame:
     """(recipe, rule_id, severity, status, path, message) of all rules over a corpus."""
-    corpus = Corpus(docs, keep=True)
+    corpus = Corpus(docs, keep=("steps", "nodes", "declared"))
     fails = []
     for rid, fn in RULES.items():
         found = fn(corpus)

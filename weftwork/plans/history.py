@@ -1,8 +1,9 @@
 """Operational analytics over job-history runs.
 
 Runs: (recipe_filename, run_date, avg_job_duration_in_mins_sec, status, job_id,
-cluster_name, app_start_iso). Dates are calendar days, so a set of distinct
-dates is bounded by the calendar and may travel as one array.
+cluster_name, app_start_iso), one row a recipe and day, as the daily snapshots
+hold them. Dates are calendar days, so a recipe's history, like the set of
+distinct dates, is bounded by the calendar and may travel as one array.
 """
 
 from __future__ import annotations
@@ -128,7 +129,8 @@ def task_stats(runs: DataFrame, tasks: DataFrame) -> DataFrame:
     ranks = percentile_nearest_rank(ran, ["recipe_filename"], "seconds", {"p50": 50, "p95": 95, "p99": 99})
     means = ran.groupBy("recipe_filename").agg(F.floor(F.avg("seconds") + 0.5).alias("avg_time_s"))
     state = F.when(run_state(F.col("status")) == "running", "RUNNING").otherwise(display_status(F.upper(F.trim("status"))))
-    known = runs.groupBy("recipe_filename").agg(F.map_from_entries(F.collect_list(F.struct("run_date", state))).alias("by_day"))
+    daily = runs.groupBy("recipe_filename", "run_date").agg(F.min_by(state, F.col("job_id")).alias("state"))
+    known = daily.groupBy("recipe_filename").agg(F.map_from_entries(F.collect_list(F.struct("run_date", "state"))).alias("by_day"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return (tasks.select(F.col("recipe").alias("recipe_filename")).distinct().withColumn("_days", _all_dates(runs))
             .join(known, "recipe_filename", "left").join(means, "recipe_filename", "left").join(ranks, "recipe_filename", "left")
