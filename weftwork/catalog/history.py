@@ -36,7 +36,7 @@ def snapshot(t):
 @query("nearest_date", """
 WITH days AS (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events WHERE event_type = 'error' AND value > 300),
 req AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS r FROM orders UNION SELECT DISTINCT CAST(ts AS DATE) FROM events),
-solved AS (SELECT r, arg_min(d, (abs(date_diff('day', d, r)), d)) AS nearest FROM req, days GROUP BY r)
+solved AS (SELECT r, arg_min(d, (abs(date_diff('day', d, r)), d)) AS nearest FROM req LEFT JOIN days ON true GROUP BY r)
 SELECT o_orderkey AS id, r AS requested, nearest FROM orders JOIN solved ON CAST(o_orderdate AS DATE) = r
 UNION ALL SELECT event_id, r, nearest FROM events JOIN solved ON CAST(ts AS DATE) = r""")
 def nearest_date(t):

@@ -175,6 +175,11 @@ def graph_edges(entries: DataFrame) -> DataFrame:
     return entries.select(F.explode(links).alias("e")).select("e.*").distinct()
 
 
+def links(edges: DataFrame) -> DataFrame:
+    """Relationship edges as plain (src, dst) for the graph jobs."""
+    return edges.select(F.col("from").alias("src"), F.col("to").alias("dst")).distinct()
+
+
 def graph_nodes(entries: DataFrame, recipe_paths: DataFrame, order: str = "entry_order") -> DataFrame:
     """Table and recipe nodes of the graph.
 

@@ -103,7 +103,7 @@ AGGREGATES = {"SUM", "COUNT", "MAX", "MIN", "AVG"}
 
 def register_call(name: str, fn: Callable[..., Column]) -> None:
     """Make a shared expression callable from recipes."""
-    CALLS[name] = lambda *args: fn(*[a.col for a in args])
+    CALLS[name.removeprefix("EXP_")] = lambda *args: fn(*[a.col for a in args])
 
 
 def _constant(text: str):

@@ -92,8 +92,7 @@ def with_paths(docs: DataFrame) -> DataFrame:
 def ddl_scan(spark: SparkSession, root: str) -> DataFrame:
     """Table DDL files (names not starting with ``_``): (dir, table, pos, column, type, mode, description)."""
     shape = "array<struct<mode:string,name:string,type:string,description:string>>"
-    docs = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.json").text(root).select(F.col("_metadata.file_path").alias("path"), "value"))
+    docs = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
     return ddl_columns(docs, shape)
 
 
