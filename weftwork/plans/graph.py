@@ -83,14 +83,14 @@ def levels(deps: DataFrame, ranks: DataFrame) -> DataFrame:
     left, right = (knots.select(F.col("node").alias(n), F.col("component").alias(f"c_{n}")) for n in ("node", "depends_on"))
     deps = cut(deps.join(left, "node", "left").join(right, "depends_on", "left")
                .filter(~F.coalesce(F.col("c_node") == F.col("c_depends_on"), F.lit(False))).select("node", "depends_on"))
-    now = cut(ranks.select("node", F.col("rank").alias("level")))
-    while True:
-        floor = (deps.join(now.withColumnRenamed("node", "depends_on"), "depends_on")
+    now = moved = cut(ranks.select("node", F.col("rank").alias("level")))
+    while True:  # only nodes whose level rose can raise others
+        floor = (deps.join(moved.withColumnRenamed("node", "depends_on"), "depends_on")
                  .groupBy("node").agg((F.max("level") + 1).alias("floor")))
         raised = cut(now.join(floor, "node", "left").select(
             "node", F.greatest("level", "floor").alias("level"), (F.col("floor") > F.col("level")).alias("moved")))
-        now = raised.select("node", "level")
-        if raised.filter("moved").isEmpty():
+        now, moved = raised.select("node", "level"), raised.filter("moved").select("node", "level")
+        if moved.isEmpty():
             return now
 
 
@@ -121,14 +121,14 @@ def components(edges: DataFrame) -> DataFrame:
         edges = trim(edges)
         if edges.isEmpty():
             break
-        colour = cut(nodes_of(edges).withColumn("colour", F.col("node")))
-        while True:
-            pushed = (edges.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node"))
+        colour = moved = cut(nodes_of(edges).withColumn("colour", F.col("node")))
+        while True:  # only nodes that changed colour pass it on
+            pushed = (edges.join(moved.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node"))
                       .agg(F.max("colour").alias("c")))
             step = cut(colour.join(pushed, "node", "left").select(
                 "node", F.greatest("colour", "c").alias("colour"), (F.col("c") > F.col("colour")).alias("moved")))
-            colour = step.select("node", "colour")
-            if step.filter("moved").isEmpty():
+            colour, moved = step.select("node", "colour"), step.filter("moved").select("node", "colour")
+            if moved.isEmpty():
                 break
         same = (edges.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("cs")), "src")
                 .join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("cd")), "dst")
