@@ -8,6 +8,7 @@ throws: bad input is NULL.
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -147,14 +148,22 @@ def reg_replace(s: Column, pattern: str, replacement: str) -> Column:
     return F.regexp_replace(s, pattern, replacement)
 
 
-# Latin letters with a diacritic and their plain letter.
-LATIN = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖòóôõöÙÚÛÜùúûüÝýÿŠšŽž"
-ASCII = "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOoooooUUUUuuuuYyySsZz"
+def _accented() -> tuple[str, str]:
+    """Every letter that is one plain letter plus combining marks, and that plain letter."""
+    plain = {}
+    for code in range(0xC0, 0x2000):
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and all("\u0300" <= m <= "\u036f" for m in marks):
+            plain[chr(code)] = base
+    return "".join(plain), "".join(plain.values())
+
+
+ACCENTED, PLAIN = _accented()
 
 
 def latin_to_ascii(s: Column) -> Column:
-    """Plain letters for accented Latin ones; free combining marks are dropped."""
-    return F.regexp_replace(F.translate(s, LATIN, ASCII), "[\\u0300-\\u036F]", "")
+    """Letters without their diacritics; free combining marks are dropped."""
+    return F.regexp_replace(F.translate(s, ACCENTED, PLAIN), "[\\u0300-\\u036F]", "")
 
 
 # --- numbers ----------------------------------------------------------------

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftwork import session as _session  # noqa: F401  lets functions of this package travel to workers
+
 
 def row_code(df: DataFrame, fn: Callable[[dict], Iterator[dict]], schema: str, inputs: list[str] | None = None) -> DataFrame:
     """Per-row user code that may emit no, one or many rows; only ``inputs`` are sent to Python."""

@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,6 +95,14 @@ _NODE_SCHEMA = ("recipe string, step_idx int, step string, field_idx int, field
                 "match_policy string, bind_names array<string>, parent string, param_idx int, siblings int")
 
 
+def _load(text: str):
+    """The tree in a text, or None where a document holds something else in its place."""
+    try:
+        return json.loads(text)
+    except ValueError:
+        return None
+
+
 def _unwrap(node):
     """A parameter that is itself a field stands for its own transformation."""
     return (node.get("transformation"), ".transformation") if isinstance(node, dict) and "transformation" in node else (node, "")
@@ -120,24 +128,31 @@ def _tree_rows(tree, path: str):
             todo.append((inner, f"{where}.parameters[{i}]{suffix}", depth + 1, text("name"), i, len(params)))
 
 
-def _flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in _NODE_SCHEMA.split(", ")]
+_NODE_COLUMNS = [("path", pa.string()), ("depth", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("source", pa.string()),
+                 ("value", pa.string()), ("output_field", pa.string()), ("condition", pa.string()), ("match_policy", pa.string()),
+                 ("bind_names", pa.list_(pa.string())), ("parent", pa.string()), ("param_idx", pa.int32()), ("siblings", pa.int32())]
+
+
+def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of all trees of a batch; the columns of a field are repeated by Arrow, not rebuilt in Python."""
     for batch in batches:
-        out = []
-        for f in batch.itertuples(index=False):
-            path = f"$.steps[{f.step_idx}].target.fields[{f.field_idx}].transformation"
-            for row in _tree_rows(json.loads(f.transformation), path):
-                out.append((f.recipe, f.step_idx, f.step, f.field_idx, f.name, *row))
-        frame = pd.DataFrame(out, columns=columns)
-        for c in ("param_idx", "siblings"):
-            frame[c] = frame[c].astype("Int32")
-        yield frame
+        rows, owner = [], []
+        columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("step_idx", "field_idx", "transformation")]
+        for i, (step, number, text) in enumerate(zip(*columns)):
+            before = len(rows)
+            rows.extend(_tree_rows(_load(text), f"$.steps[{step}].target.fields[{number}].transformation"))
+            owner.extend([i] * (len(rows) - before))
+        if not rows:
+            continue
+        of_field = batch.drop_columns(["transformation"]).take(pa.array(owner, pa.int32()))
+        arrays = [pa.array(values, kind) for values, (_, kind) in zip(zip(*rows), _NODE_COLUMNS)]
+        yield pa.RecordBatch.from_arrays([*of_field.columns, *arrays], [*of_field.schema.names, *[n for n, _ in _NODE_COLUMNS]])
 
 
 def expr_nodes(field: DataFrame) -> DataFrame:
     """One row a node of every field's expression tree."""
-    trees = field.filter(F.col("transformation").isNotNull() & F.try_parse_json("transformation").isNotNull())
-    return trees.select("recipe", "step_idx", "step", "field_idx", "name", "transformation").mapInPandas(_flatten, _NODE_SCHEMA)
+    trees = field.filter(F.col("transformation").startswith("{"))
+    return trees.select("recipe", "step_idx", "step", "field_idx", F.col("name").alias("field"), "transformation").mapInArrow(_flatten, _NODE_SCHEMA)
 
 
 def _render(node) -> str:
@@ -152,13 +167,15 @@ def _render(node) -> str:
 
 def formula_archive(field: DataFrame) -> DataFrame:
     """(recipe, step_idx, step, field, formula) of each field computed by a call."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch["formula"] = [_render(json.loads(t)) for t in batch["transformation"]]
-            yield batch.drop(columns="transformation")
+            trees = [_load(t) for t in batch.column(batch.schema.get_field_index("transformation")).to_pylist()]
+            calls = [i for i, tree in enumerate(trees) if tree and tree.get("name")]
+            kept = batch.drop_columns(["transformation"]).take(pa.array(calls, pa.int32()))
+            yield kept.append_column("formula", pa.array([_render(trees[i]) for i in calls], pa.string()))
 
-    calls = field.filter(F.coalesce(F.get_json_object("transformation", "$.name"), F.lit("")) != "")
-    return calls.select("recipe", "step_idx", "step", F.col("name").alias("field"), "transformation").mapInPandas(
+    maybe = field.filter(F.col("transformation").startswith("{") & F.col("transformation").contains('"name"'))
+    return maybe.select("recipe", "step_idx", "step", F.col("name").alias("field"), "transformation").mapInArrow(
         run, "recipe string, step_idx int, step string, field string, formula string")
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+# Functions sent to Python workers travel whole, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules["weftwork"])
+
 # AQE splits a hot join key at run time and turns a join into a broadcast only
 # after it has seen the real size of the side, so no operator hints a broadcast
 # of a side that can grow.

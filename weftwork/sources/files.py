@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftwork import session as _session  # noqa: F401  lets functions of this package travel to workers
+
 # Columns of a job-history snapshot.
 SNAPSHOT_COLUMNS = ["cluster_name", "recipe_filename", "job_id", "app_start_iso",
                     "avg_job_duration_in_mins_sec", "status", "message"]
