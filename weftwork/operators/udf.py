@@ -15,19 +15,13 @@ def row_code(df: DataFrame, fn: Callable[[dict], Iterator[dict]], schema: str, i
     """Per-row user code that may emit no, one or many rows; only ``inputs`` are sent to Python."""
     fed = df.select(*(inputs or df.columns))
 
-    def run(batches):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([out for row in batch.to_dict("records") for out in fn(row)]) if len(batch) else pd.DataFrame()
+            out = [row for given in batch.to_dict("records") for row in fn(given)]
+            if out:
+                yield pd.DataFrame(out)
 
-    return fed.mapInPandas(_non_empty(run), schema)
-
-
-def _non_empty(run):
-    def guarded(batches):
-        for out in run(batches):
-            if len(out):
-                yield out
-    return guarded
+    return fed.mapInPandas(run, schema)
 
 
 def procedure(df: DataFrame, fn: Callable[..., Column] | Callable[..., pd.Series], inputs: list[str], return_field: str,
