@@ -6,6 +6,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ BLOCK = 128             # ids a block
 PERCENTILE = 0.9        # share of a block's ids that must fit the packed width
 SEGMENT_IDS = 1 << 20   # ids after which a segment ends; a longer document makes a longer segment
 CHUNK = 1 << 20         # characters encoded at once
-ROOM = 400_000          # pieces whose ids a worker remembers
+ROOM = 600_000          # pieces whose ids a worker remembers
 END = 0
 MAGIC = b"PFOR1\0\0\0"
 _HEAD = "<8sIII"  # magic, documents, ids, blocks
@@ -35,7 +36,7 @@ class Encoder:
     there is room are remembered, the others are encoded once a chunk.
     """
 
-    _odd = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
+    _odd = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")  # white space but blank and line feed
     _piece = re.compile(r"\n| ?[^ \n]+")
 
     def __init__(self, path: str, room: int = ROOM):
@@ -46,27 +47,38 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.feed = self._ids("\n")
+        self.known: dict[str, bytes] = {"\n": self.feed.tobytes()}
         self.room = room
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces as one text, a line each; the oldest half of what is known goes when there is no room."""
+        if len(self.known) > self.room:
+            self.known = dict(islice(self.known.items(), len(self.known) // 2, None)) | {"\n": self.feed.tobytes()}
+        if pieces:
+            ids = self._ids("\n".join(pieces))
+            ends = np.append(np.flatnonzero(ids == self.feed[0]), len(ids)).tolist()
+            raw, at = ids.tobytes(), 0
+            for piece, end in zip(pieces, ends, strict=True):
+                self.known[piece] = raw[4 * at:4 * end]
+                at = end + 1
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        cut = [None if self._odd.search(t) else self._piece.findall(t) for t in texts]
-        known = self.known
-        new = list({p for pieces in cut if pieces for p in pieces if p not in known})
-        found = dict(zip(new, self._ids(new)))
-        if len(known) + len(found) <= self.room:
-            known.update(found)
-            found = known
-        elif found:
-            found = {p: found.get(p) or known[p] for pieces in cut if pieces for p in pieces}
-        else:
-            found = known
-        whole = iter(self._ids([t for t, pieces in zip(texts, cut) if pieces is None]))
-        return [next(whole) if pieces is None else b"".join(map(found.__getitem__, pieces)) for pieces in cut]
+        cut = []
+        for t in texts:
+            odd = "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[:1] in (" ", "\n") or t[-1:] in (" ", "\n") or self._odd.search(t)
+            cut.append(None if odd and t else self._piece.findall(t))
+        pieces = set().union(*filter(None, cut))
+        self._learn(list(pieces.difference(self.known)))
+        missing = list(pieces.difference(self.known))  # what has just lost its room
+        if missing:
+            self._learn(missing)
+        get = self.known.__getitem__
+        return [self._ids(t).tobytes() if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
 
 
 def encoder(path: str) -> Encoder:
@@ -80,8 +92,8 @@ def encoder(path: str) -> Encoder:
 def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[np.ndarray, np.ndarray]:
     """(block starts with the end, bytes) of ids in blocks of BLOCK; the last block is filled up with its last id.
 
-    A block holds its minimum, the width that fits ``percentile`` of (id - minimum), the packed low parts, and for ids
-    that need more bits their places and full differences.
+    A block holds its minimum, the width that fits ``percentile`` of (id - minimum), the differences that fit as planes of one
+    bit an id, and for ids that need more bits their places and full differences.
     """
     if not len(ids):
         return np.zeros(1, "<u4"), np.zeros(0, "u1")
@@ -101,12 +113,11 @@ def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[np.ndarray, n
     front = starts[:-1, None] + np.arange(_FRONT)
     out[front[:, :4]] = low.astype("<u4").view("u1").reshape(blocks, 4)
     out[front[:, 4]], out[front[:, 5]] = width, odds
-    small = np.where(odd, 0, over)
-    for w in np.unique(width):
-        of = np.flatnonzero(width == w)
-        if w:
-            bits = ((small[of][:, :, None] >> np.arange(w)) & 1).astype("u1").reshape(len(of), -1)
-            out[(starts[of] + _FRONT)[:, None] + np.arange(w * BLOCK // 8)] = np.packbits(bits, axis=1, bitorder="little")
+    small = np.where(odd, 0, over).astype("<u4" if width.max() > 16 else "<u2")
+    for bit in range(int(width.max())):  # one plane of bits after the other
+        of = np.flatnonzero(width > bit)
+        plane = np.packbits((small[of] >> small.dtype.type(bit)).astype("u1") & 1, axis=1, bitorder="little")
+        out[(starts[of] + _FRONT + bit * (BLOCK // 8))[:, None] + np.arange(BLOCK // 8)] = plane
     row, place = np.nonzero(odd)
     if len(row):
         lists = starts[:-1] + _FRONT + width * (BLOCK // 8)
@@ -123,14 +134,13 @@ def unpack(starts: np.ndarray, data: np.ndarray, first: int = 0, last: int | Non
     if blocks <= 0:
         return np.zeros(0, np.int64)
     at = starts[:-1]
-    low = np.ascontiguousarray(data[at[:, None] + np.arange(4)]).view("<u4").ravel().astype(np.int64)
+    low = np.ascontiguousarray(data[at[:, None] + np.arange(4)]).view("<u4").ravel()
     width, odds = data[at + 4].astype(np.int64), data[at + 5].astype(np.int64)
-    grid = np.zeros((blocks, BLOCK), np.int64)
-    for w in np.unique(width):
-        of = np.flatnonzero(width == w)
-        if w:
-            bits = np.unpackbits(data[(at[of] + _FRONT)[:, None] + np.arange(w * BLOCK // 8)], axis=1, bitorder="little")
-            grid[of] = (bits.reshape(len(of), BLOCK, w).astype(np.int64) << np.arange(w)).sum(2)
+    grid = np.zeros((blocks, BLOCK), np.uint32)
+    for bit in range(int(width.max())):
+        of = np.flatnonzero(width > bit)
+        plane = np.unpackbits(data[(at[of] + _FRONT + bit * (BLOCK // 8))[:, None] + np.arange(BLOCK // 8)], axis=1, bitorder="little")
+        grid[of] |= plane.astype(np.uint32) << np.uint32(bit)
     row = np.repeat(np.arange(blocks), odds)
     if len(row):
         lists = at + _FRONT + width * (BLOCK // 8)
