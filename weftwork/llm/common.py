@@ -49,6 +49,16 @@ def process_cache() -> dict:
     return vars(sys.modules.setdefault("_weftwork_process", types.ModuleType("_weftwork_process")))
 
 
+def stream_udf(fn, returns: str, frame: bool = False):
+    """A pandas function over an iterator of batches of one column, so that it can prepare once a task; ``frame``: it yields structs."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    fn.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame if frame else pd.Series]}
+    return F.pandas_udf(fn, returns)
+
+
 def col(name: str) -> Column:
     """A column by its exact name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -7,7 +7,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import col, free, query, read, stage
+from weftwork.llm.common import col, free, query, read, stage, stream_udf
 
 RATE = 0.1            # errors allowed a byte of an item
 MIN_BYTES = 20        # a shorter item can't be told from ordinary text and is not searched
@@ -163,11 +163,9 @@ _HITS = "array<struct<item_id:bigint,distance:int,budget:int,end:bigint>>"
 
 
 def _searcher(items: list[tuple[list[int | None], str]], rate: float):
-    from collections.abc import Iterator
-
-    import pandas as pd
+    def search(batches):
+        import pandas as pd
 
-    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Items(items, rate)
         for texts in batches:
             out = []
@@ -176,7 +174,7 @@ def _searcher(items: list[tuple[list[int | None], str]], rate: float):
                 out.append([{"item_id": i, "distance": d, "budget": own.items[n][2], "end": e} for n, d, e in found for i in own.items[n][0]])
             yield pd.Series(out)
 
-    return F.pandas_udf(search, _HITS)
+    return stream_udf(search, _HITS)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text="text", rate: float = RATE, item_id="item_id", item_text="text") -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import col, free, query, read, stage
+from weftwork.llm.common import col, free, query, read, stage, stream_udf
 
 SAMPLE = 50_000      # labelled rows that the model is fitted on at most, taken by a hash of their id
 VOCABULARY = 65_536  # units that the model holds at most, those with the surest log-odds
@@ -279,7 +278,7 @@ def scored(docs: DataFrame, model: Model, text="text") -> DataFrame:
     score. NULL and empty texts, or texts without letters, have no passages and the score of a text without toxic words;
     equal texts score alike; an empty table gives no rows; clashing columns keep their names.
     """
-    def score(batches: Iterator) -> Iterator:
+    def score(batches):
         import pandas as pd
 
         own, memo = model, WordScores(model.scores)  # travels with the function, VOCABULARY units at most
@@ -297,13 +296,8 @@ def scored(docs: DataFrame, model: Model, text="text") -> DataFrame:
                     spans.append([])
             yield pd.DataFrame({"score": out, "passages": spans})
 
-    from collections.abc import Iterator as It
-
-    import pandas as pd
-
-    score.__annotations__ = {"batches": It[pd.Series], "return": It[pd.DataFrame]}
     rest, r = docs.drop(text), free(docs, "_scored")
-    return (docs.withColumn(r, F.pandas_udf(score, _PASSAGES)(col(text)))
+    return (docs.withColumn(r, stream_udf(score, _PASSAGES, frame=True)(col(text)))
             .select(*[col(c) for c in rest.columns], F.col(r)["score"].alias(free(rest, "score")), (F.col(r)["score"] >= THRESHOLD).cast("int").alias(free(rest, "predicted")),
                     F.col(r)["passages"].alias(free(rest, "passages"))))
 
