@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import re
 from itertools import islice
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.llm.common import col, free, query, read, stage
+from weftwork.llm.common import col, free, query, read, stage, stream_udf
 
 # Common function words of the four languages of the corpus.
 FUNCTION_WORDS = {
@@ -64,16 +63,15 @@ _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
 _MEASURED = "struct<" + ",".join(f"{m}:bigint" for m in MEASURES) + ">"
 
 
-@F.pandas_udf(_MEASURED)
-def _measured(texts):
-    import pandas as pd
-
-    return pd.DataFrame([measure(t) if t is not None else (0,) * len(MEASURES) for t in texts], columns=list(MEASURES))
-
-
 def measures(text: Column) -> Column:
     """A struct of MEASURES of a text; all 0 for NULL."""
-    return _measured(F.encode(text, "utf-8"))
+    def measured(batches):
+        import pandas as pd
+
+        for texts in batches:
+            yield pd.DataFrame([measure(t) if t is not None else (0,) * len(MEASURES) for t in texts], columns=list(MEASURES))
+
+    return stream_udf(measured, _MEASURED, frame=True)(F.encode(text, "utf-8"))
 
 
 # name → (bad, good) as SQL over the measures; neither: the rule abstains. Ratios are written without division.
@@ -99,8 +97,6 @@ def pattern(measured: Column, rules: dict[str, tuple[str, str]] = RULES) -> Colu
     struct = {m: measured[m] for m in MEASURES}
 
     def on(sql: str) -> Column:
-        import re
-
         holes = re.sub(r"[a-z_]+", lambda m: "{" + m[0] + "}" if m[0] in struct else m[0], sql)
         return F.expr(holes.format(**{m: f"{_NAME}.{m}" for m in MEASURES}))
 
