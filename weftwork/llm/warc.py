@@ -72,7 +72,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """All records: ``row``, ``header``, ``http_header``, ``payload``, ``payload_bytes``, ``payload_digest``, ``record``, ``page_id``, ``record_type``, ``refers_to``.
 
     Each payload is hashed when it is read; an address that does not match its bytes is an error. ``record`` is the exact
-    WARC record: header, HTTP header, and for a response the payload. Only columns that are used are built.
+    WARC record: header, HTTP header, for a response the payload, and the two line ends that close it. Only columns that are used are built.
     """
     payloads = spark.read.parquet(f"{path}/payloads")
     payloads = payloads.select("address", "payload", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"),
@@ -82,7 +82,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     lost = F.assert_true(F.col("payload_digest").isNotNull() & (header_field(F.col("header"), "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest"))), "a record without its payload")
     page = lambda name: F.regexp_extract(header_field(F.col("header"), name), r"^<urn:page:(-?\d+):", 1).try_cast("bigint")
     kind = header_field(F.col("header"), "WARC-Type")
-    record = F.concat("header", "http_header", F.when(kind == "response", F.col("payload")).otherwise(F.lit(b"")))
+    record = F.concat("header", "http_header", F.when(kind == "response", F.col("payload")).otherwise(F.lit(b"")), F.lit(CRLF * 2).cast("binary"))
     return joined.where(F.col("verified").isNull() & lost.isNull()).select(
         "row", "header", "http_header", "payload", "payload_bytes", "payload_digest", record.alias("record"), page("WARC-Record-ID").alias("page_id"), kind.alias("record_type"),
         page("WARC-Refers-To").alias("refers_to"))
@@ -90,7 +90,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 def export_warc(records: DataFrame, path: str) -> None:
     """Plain ``.warc`` text files of the records of ``read_archive``, written by Spark; payloads must be UTF-8 as pages are."""
-    records.select(F.decode("record", "utf-8").alias("value")).write.option("lineSep", CRLF * 2).text(path)
+    records.select(F.decode(F.expr("substring(record, 1, length(record) - 4)"), "utf-8").alias("value")).write.option("lineSep", CRLF * 2).text(path)
 
 
 _SQL = """
