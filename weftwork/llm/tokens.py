@@ -20,7 +20,7 @@ BLOCK = 128             # ids a block
 PERCENTILE = 0.9        # share of a block's ids that must fit the packed width
 SEGMENT_IDS = 1 << 20   # ids after which a segment ends; a longer document makes a longer segment
 CHUNK = 1 << 20         # characters encoded at once
-ROOM = 600_000          # pieces whose ids a worker remembers
+ROOM = 800_000          # pieces whose ids a worker remembers
 END = 0
 MAGIC = b"PFOR1\0\0\0"
 _HEAD = "<8sIII"  # magic, documents, ids, blocks
@@ -49,15 +49,24 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.feed = self._ids("\n")
         self.known: dict[str, bytes] = {"\n": self.feed.tobytes()}
+        self.ends = {c: self._ids(c).tobytes() for c in ".,"}
         self.room = room
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces as one text, a line each; the oldest half of what is known goes when there is no room."""
-        if len(self.known) > self.room:
-            self.known = dict(islice(self.known.items(), len(self.known) // 2, None)) | {"\n": self.feed.tobytes()}
+        """Encode new pieces as one text, a line each."""
+        stops, fresh = {}, []
+        for piece in pieces:  # a full stop or comma that closes a piece after a letter is a pre-token of its own
+            stem = piece[:-1]
+            if piece[-1] in self.ends and stem[-1:].isascii() and stem[-1:].isalpha():
+                stops[piece] = stem
+                if stem not in self.known:
+                    fresh.append(stem)
+            else:
+                fresh.append(piece)
+        pieces = list(dict.fromkeys(fresh))
         if pieces:
             ids = self._ids("\n".join(pieces))
             ends = np.append(np.flatnonzero(ids == self.feed[0]), len(ids)).tolist()
@@ -65,6 +74,8 @@ class Encoder:
             for piece, end in zip(pieces, ends, strict=True):
                 self.known[piece] = raw[4 * at:4 * end]
                 at = end + 1
+        for piece, stem in stops.items():
+            self.known[piece] = self.known[stem] + self.ends[piece[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
@@ -73,10 +84,9 @@ class Encoder:
             odd = "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[:1] in (" ", "\n") or t[-1:] in (" ", "\n") or self._odd.search(t)
             cut.append(None if odd and t else self._piece.findall(t))
         pieces = set().union(*filter(None, cut))
+        if len(self.known) > self.room:  # the oldest half goes
+            self.known = dict(islice(self.known.items(), len(self.known) // 2, None)) | {"\n": self.feed.tobytes()}
         self._learn(list(pieces.difference(self.known)))
-        missing = list(pieces.difference(self.known))  # what has just lost its room
-        if missing:
-            self._learn(missing)
         get = self.known.__getitem__
         return [self._ids(t).tobytes() if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
 
