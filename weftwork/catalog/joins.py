@@ -11,14 +11,14 @@ from weftwork.sources.tables import source_sql
 
 c = F.col
 
-# One market segment as master, open orders as detail: both sides have unmatched rows.
-_MASTER = "(SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING')"
-_DETAIL = "(SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'O')"
+# Whole tables; the keys of one market segment and of some orders are shifted away, so both sides have unmatched rows.
+_MASTER = "(SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN -1 - c_custkey ELSE c_custkey END AS c_custkey, c_name, c_acctbal FROM customer)"
+_DETAIL = "(SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 1000000000 + o_custkey ELSE o_custkey END AS o_custkey, o_totalprice FROM orders)"
 
 
 def _sides(t):
-    master = t.customer.filter(c("c_mktsegment") == "BUILDING").select("c_custkey", "c_name", "c_acctbal")
-    detail = t.orders.filter(c("o_orderstatus") == "O").select("o_orderkey", "o_custkey", "o_totalprice")
+    master = t.customer.select(F.when(c("c_mktsegment") == "BUILDING", -1 - c("c_custkey")).otherwise(c("c_custkey")).alias("c_custkey"), "c_name", "c_acctbal")
+    detail = t.orders.select("o_orderkey", F.when(c("o_orderstatus") == "P", 1000000000 + c("o_custkey")).otherwise(c("o_custkey")).alias("o_custkey"), "o_totalprice")
     return master, detail
 
 
@@ -142,6 +142,38 @@ def theta_condition(t):
                           {"brand": "p_brand", "band": "p_partkey"}, policy="First", order_by=["p_partkey"])
 
 
+_DAYS = """(SELECT s_suppkey, CASE WHEN s_suppkey % 25 = 0 THEN DATE '1900-01-01' ELSE CAST(DATE '1995-01-01' + CAST(s_suppkey * 23 AS INT) AS DATE) END AS lo,
+  CASE WHEN s_suppkey % 40 = 0 THEN DATE '9999-12-31' ELSE CAST(DATE '1995-01-01' + CAST(s_suppkey * 23 + s_suppkey % 90 AS INT) AS DATE) END AS hi FROM supplier)"""
+
+
+@query("theta_condition_dates", f"""
+SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, max(s_suppkey) AS last_band FROM orders LEFT JOIN {_DAYS} b ON CAST(o_orderdate AS DATE) BETWEEN lo AND hi GROUP BY 1, 2""")
+def theta_condition_dates(t):
+    """Bands of days, some of them open by sentinel dates."""
+    first = F.lit("1995-01-01").cast("date")
+    bands = t.supplier.select("s_suppkey", F.when(c("s_suppkey") % 25 == 0, F.lit("1900-01-01").cast("date")).otherwise(F.date_add(first, (c("s_suppkey") * 23).cast("int"))).alias("lo"),
+                              F.when(c("s_suppkey") % 40 == 0, F.lit("9999-12-31").cast("date")).otherwise(
+                                  F.date_add(first, (c("s_suppkey") * 23 + c("s_suppkey") % 90).cast("int"))).alias("hi"))
+    orders = t.orders.select("o_orderkey", c("o_orderdate").cast("date").alias("day"))
+    return L.range_lookup(orders, bands, "day", "lo", "hi", None, {"last_band": "s_suppkey"}, policy="Last", order_by=["s_suppkey"])
+
+
+_LIMITS = """(SELECT p_partkey, CASE WHEN p_partkey % 500 = 0 THEN -9e18 ELSE p_retailprice * 100 END AS lo, CASE WHEN p_partkey % 700 = 0 THEN 9e18 ELSE p_retailprice * 100 + p_partkey END AS hi FROM part)"""
+
+
+@query("theta_condition_limits", f"""
+WITH v AS (SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN -8e18 WHEN 1 THEN 8.5e18 WHEN 2 THEN o_totalprice / 1e6 ELSE o_totalprice END AS x FROM orders)
+SELECT o_orderkey, x, (SELECT min(p_partkey) FROM {_LIMITS} b WHERE x BETWEEN lo AND hi) AS band, (SELECT max(p_partkey) FROM {_LIMITS} b WHERE x < hi) AS below FROM v""")
+def theta_condition_limits(t):
+    """Values and bands far outside the usual numbers, and a range with one bound."""
+    bands = t.part.select("p_partkey", F.when(c("p_partkey") % 500 == 0, F.lit(-9e18)).otherwise(c("p_retailprice") * 100).alias("lo"),
+                          F.when(c("p_partkey") % 700 == 0, F.lit(9e18)).otherwise(c("p_retailprice") * 100 + c("p_partkey")).alias("hi"))
+    k = c("o_orderkey") % 9
+    orders = t.orders.select("o_orderkey", F.when(k == 0, F.lit(-8e18)).when(k == 1, F.lit(8.5e18)).when(k == 2, c("o_totalprice") / 1e6).otherwise(c("o_totalprice")).alias("x"))
+    both = L.range_lookup(orders, bands, "x", "lo", "hi", None, {"band": "p_partkey"}, policy="First", order_by=["p_partkey"])
+    return L.range_lookup(both, bands, "x", None, "hi", 64.0, {"below": "p_partkey"}, policy="Last", order_by=["p_partkey"], high_open=True)
+
+
 @query("insert_only_new", """
 SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')""")
 def insert_only_new(t):

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftwork.catalog.corpus import FLAT, documents
-from weftwork.catalog.registry import query
+from weftwork.catalog.registry import duck, query
+from weftwork.catalog.views import DIRTY
 from weftwork.plans import conformance as K
 from weftwork.plans import lineage as N
-from weftwork.plans.recipe import run_recipe
+from weftwork.plans.recipe import run_recipe, run_recipe_dq
 from weftwork.session import fresh_path
 from weftwork.sources import files
 
@@ -264,3 +265,58 @@ def recipe_rows(t):
                                             c("TOTAL").cast("double").alias("total"))
     big = out["BIG_ORDERS"].select(F.lit("big").alias("target"), c("BAND").alias("a"), F.lit("").alias("b"), c("ORDER_ID").alias("n"), F.lit(0.0).alias("total"))
     return summary.unionByName(big)
+
+
+# --- functions with computed arguments, and data quality in the runner ------------------
+
+_FN = {  # port → (type, call, checking SQL) over orders; ``cut`` is where the priority's dash stands
+    "AFTER": ("String", _CALL("EXP_SUBSTR", _REF("ORDERS.o_orderpriority"), _CALL("EXP_ARITHMETIC", _CALL("EXP_INSTR", _REF("ORDERS.o_orderpriority"), _VAL("'-'")), _VAL("+"), _VAL("1"))),
+              "substr(p, instr(p, '-') + 1)"),
+    "BEFORE": ("String", _CALL("SUBSTR", _REF("ORDERS.o_orderpriority"), _VAL("1"), _CALL("ARITHMETIC", _CALL("INSTR", _REF("ORDERS.o_orderpriority"), _VAL("'-'")), _VAL("-"), _VAL("1"))),
+               "substr(p, 1, greatest(0, instr(p, '-') - 1))"),
+    "PADDED": ("String", _CALL("LPAD", _REF("ORDERS.o_orderpriority"), _CALL("ARITHMETIC", _CALL("LENGTH", _REF("ORDERS.o_orderpriority")), _VAL("+"), _VAL("2")), _VAL("'*'")), "'**' || p"),
+    "FILLED": ("String", _CALL("RPAD", _REF("ORDERS.o_orderstatus"), _CALL("LENGTH", _REF("ORDERS.o_orderpriority")), _VAL("'.'")), "rpad(o_orderstatus, CAST(length(p) AS INT), '.')"),
+    "SAME": ("Boolean", _CALL("REG_MATCH", _REF("ORDERS.o_orderstatus"), _REF("ORDERS.o_orderstatus")), "TRUE"),
+    "SWAPPED": ("String", _CALL("REPLACESTR", _VAL("TRUE"), _REF("ORDERS.o_orderpriority"), _REF("ORDERS.o_orderstatus"), _VAL("'_'")), "replace(p, o_orderstatus, '_')"),
+    "ANYCASE": ("String", _CALL("REPLACESTR", _VAL("FALSE"), _REF("ORDERS.o_orderpriority"), _VAL("'high'"), _VAL("'low'")), "regexp_replace(p, 'high', 'low', 'gi')"),
+    "LASTDASH": ("Integer", _CALL("INSTR", _REF("ORDERS.o_orderpriority"), _VAL("'I'"), _VAL("-1")), "CAST(CASE WHEN instr(reverse(p), 'I') = 0 THEN 0 ELSE length(p) - instr(reverse(p), 'I') + 1 END AS INT)"),
+    "DAYSTART": ("Timestamp", _CALL("TRUNC", _REF("ORDERS.o_orderdate")), "CAST(date_trunc('day', o_orderdate) AS TIMESTAMP)"),
+    "MONTHTEXT": ("String", _CALL("TO_CHAR", _REF("ORDERS.o_orderdate"), _VAL("'DD-MON-YYYY'")), "strftime(o_orderdate, '%d-%b-%Y')"),
+    "MONTHDAY": ("Timestamp", _CALL("TO_DATE", _CALL("UPPER", _CALL("TO_CHAR", _REF("ORDERS.o_orderdate"), _VAL("'DD-MON-YYYY'"))), _VAL("'DD-MON-YYYY'")), "CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)"),
+    "HALFDAY": ("String", _CALL("TO_CHAR", _REF("ORDERS.o_orderdate"), _VAL("'HH:MI AM'")), "strftime(o_orderdate, '%I:%M %p')"),
+}
+RECIPE_FUNCTIONS = {"table": {"targetTableNames": ["OUT"], "sourceTableNames": ["ORDERS"]}, "steps": [
+    {"target": {"name": "OUT", "type": "table", "fields": [_PORT("ORDER_ID", "Long", _REF("ORDERS.o_orderkey"))] + [_PORT(n, ty, x) for n, (ty, x, _) in _FN.items()]},
+     "sources": [{"name": "ORDERS", "type": "table"}]}]}
+
+
+@query("recipe_functions", "SELECT o_orderkey AS ORDER_ID, " + ", ".join(f"{q} AS {n}" for n, (_, _, q) in _FN.items()) + " FROM (SELECT *, o_orderpriority AS p FROM orders) o")
+def recipe_functions(t):
+    return run_recipe(t.spark, RECIPE_FUNCTIONS, {"ORDERS": t.orders})["OUT"]
+
+
+_CHECK = lambda n, *p: {"name": n, "parameters": list(p)}
+RECIPE_DQ = {"table": {"targetTableNames": ["LOADED"], "sourceTableNames": ["FEED"], "oakcombe2": {"keys": ["CUST"]}}, "steps": [
+    {"target": {"name": "LOADED", "type": "table", "fields": [
+        _PORT("ID", "Long", _REF("FEED.o_orderkey")), _PORT("CUST", "Long", _REF("FEED.o_custkey")),
+        _PORT("AMOUNT", "BigDecimal", _CHECK("EXP_MAPLEVALE_NUM", _CHECK("EXP_VALIDATION_VARCHAR2_NOT_NULL", _REF("FEED.num_s")))),
+        _PORT("DAY", "LocalDate", _CHECK("EXP_MAPLEVALE_DATE_DEFAULT", _REF("FEED.date_s"))),
+        _PORT("BIG", "String", _CALL("EXP_IIF", _CALL("EXP_OAKPEAK", _REF("FEED.o_totalprice"), _VAL(">"), _VAL("200000")), _VAL("'Y'"), _VAL("'N'")))]},
+     "sources": [{"name": "FEED", "type": "table"}]}]}
+_NUMBER, _DATE = "TRY_CAST(trim(num_s) AS DECIMAL(38,9))", "CAST(try_strptime(trim(date_s), ['%Y-%m-%d', '%Y%m%d', '%d/%m/%Y', '%Y.%m.%d', '%d.%m.%Y', '%d-%m-%Y']) AS DATE)"
+
+
+@query("run_recipe_dq", f"""
+WITH v AS (SELECT *, coalesce(trim(num_s), '') = '' AS no_num, coalesce(trim(date_s), '') = '' AS no_date, {_NUMBER} AS n, {_DATE} AS d FROM ({duck(DIRTY)}) x),
+g AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM v WHERE NOT no_num AND n IS NOT NULL AND (no_date OR d IS NOT NULL))
+SELECT CASE WHEN nth = 1 THEN 'row' ELSE 'duplicate' END AS kind, o_orderkey AS id, CAST(n AS DOUBLE) AS amount, CASE WHEN no_date THEN DATE '1900-01-01' ELSE d END AS day,
+  CASE WHEN o_totalprice > 200000 THEN 'Y' ELSE 'N' END AS detail FROM g
+UNION ALL SELECT 'error', o_orderkey, NULL, NULL, 'AMOUNT|' || CASE WHEN no_num THEN 'ERROR_NULL|' || coalesce(num_s, '') ELSE 'ERROR_NUMBER|' || num_s END FROM v WHERE no_num OR n IS NULL
+UNION ALL SELECT 'error', o_orderkey, NULL, NULL, 'DAY|ERROR_DATE|' || date_s FROM v WHERE NOT no_date AND d IS NULL""")
+def recipe_dq(t):
+    """Good rows, duplicates of a key and errors of a recipe that validates its feed; names are those of anonymised recipes."""
+    out = run_recipe_dq(t.spark, RECIPE_DQ, {"FEED": t.sql(DIRTY)}, order={"LOADED": ["CUST", "ID"]}, keys={"LOADED": ["ID"]})
+    row = lambda df, kind: df.select(F.lit(kind).alias("kind"), c("ID").alias("id"), c("AMOUNT").cast("double").alias("amount"), c("DAY").alias("day"), c("BIG").alias("detail"))
+    errors = out.errors.select(F.lit("error").alias("kind"), F.get_json_object("key", "$.ID").cast("bigint").alias("id"), F.lit(None).cast("double").alias("amount"),
+                               F.lit(None).cast("date").alias("day"), F.concat_ws("|", "field", "code", "raw").alias("detail"))
+    return row(out.rows["LOADED"], "row").unionByName(row(out.duplicates["LOADED"], "duplicate")).unionByName(errors)

@@ -184,6 +184,20 @@ def user_rows(t):
     return row_code(t.sql(DIRTY), code, "o_orderkey bigint, copy int, txt string", ["o_orderkey", "num_s"])
 
 
+_BIG = "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey + 9007199254740993 END"
+
+
+@query("row_code_exact", f"SELECT {_BIG} AS big, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END AS amount, o_orderkey % 7 = 0 AS missing FROM orders")
+def exact_rows(t):
+    """User code sees NULL as None and integers beyond 2^53 as they are."""
+    def code(row):
+        out = {"big": row["big"], "missing": row["big"] is None}
+        yield out if row["amount"] is None else out | {"amount": row["amount"]}
+
+    given = t.orders.select(F.expr(_BIG).alias("big"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")).alias("amount"))
+    return row_code(given, code, "big bigint, amount double, missing boolean")
+
+
 @query("procedure_value", "SELECT l_orderkey, l_linenumber, round(l_quantity * l_extendedprice / 100, 4) AS RESULT FROM lineitem")
 def procedure_value(t):
     out = procedure(t.lineitem, lambda q, p: F.round(q * p / 100, 4), ["l_quantity", "l_extendedprice"], "RESULT")

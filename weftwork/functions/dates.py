@@ -35,16 +35,31 @@ BORDER_TIMESTAMPS = [
     "0001-01-01 00:00:00.000001",
 ]
 DEFAULT_DATE = "19000101"
-# How mapping date-format tokens read as Spark datetime letters, longest match first in each family.
-FORMAT_TOKENS = [
-    ("YY", "yy"), ("RR", "yy"), ("DD", "dd"), ("HH24", "HH"), ("MI", "mm"),
-    ("SS", "ss"), ("MS", "SSS"), ("US", "SSSSSS"), ("NS", "SSSSSSSSS"),
-]
+# How mapping date-format tokens read as Spark datetime letters.
+FORMAT_TOKENS = {
+    "YYYY": "yyyy", "RRRR": "yyyy", "YY": "yy", "RR": "yy", "Y": "y", "MM": "MM", "MON": "MMM", "MONTH": "MMMM", "DDD": "DDD", "DD": "dd", "D": "d",
+    "DY": "EEE", "DAY": "EEEE", "HH24": "HH", "HH12": "hh", "HH": "HH", "MI": "mm", "SS": "ss", "MS": "SSS", "US": "SSSSSS", "NS": "SSSSSSSSS",
+    "AM": "a", "PM": "a", "A.M.": "a", "P.M.": "a", "T": "'T'",
+}
+# How month, day and half-day names begin in the texts that Spark reads.
+NAMES = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec Mon Tue Wed Thu Fri Sat Sun AM PM".split()
+_TOKEN = re.compile("|".join(re.escape(t) for t in sorted(FORMAT_TOKENS, key=len, reverse=True)) + r"|'[^']*'|[^A-Za-z']+", re.IGNORECASE)
 
 
 def spark_format(mapping_format: str) -> str:
-    """``YYYY-MM-DD HH24:MI:SS`` → ``yyyy-MM-dd HH:mm:ss``."""
-    return reduce(lambda text, pair: text.replace(*pair), FORMAT_TOKENS, mapping_format)
+    """``YYYY-MM-DD HH24:MI:SS`` → ``yyyy-MM-dd HH:mm:ss``. Tokens are read without regard to case, the longest first.
+
+    HH beside AM or PM is the half-day hour. An unknown token, such as the Julian day, is an error when the plan is built.
+    """
+    half, out, at = re.search(r"[AP]\.?M\.?", mapping_format, re.IGNORECASE), [], 0
+    while at < len(mapping_format):
+        found = _TOKEN.match(mapping_format, at)
+        if not found:
+            raise ValueError(f"unknown date format token at {mapping_format[at:]!r} in {mapping_format!r}")
+        token = FORMAT_TOKENS.get(found[0].upper(), found[0])
+        out.append("hh" if half and found[0].upper() == "HH" else token)
+        at = found.end()
+    return "".join(out)
 
 
 def shape(fmt: str) -> str:
@@ -70,6 +85,10 @@ def shape(fmt: str) -> str:
 def parse(c: Column, fmt: str) -> Column:
     """Timestamp without zone, or NULL when the text does not fit ``fmt`` (a Spark pattern)."""
     text = F.trim(c)
+    if re.search("MMM|EEE|a", re.sub("'[^']*'", "", fmt)):  # names are read in any case
+        text = F.lower(text)
+        for name in NAMES:
+            text = F.regexp_replace(text, rf"\b{name.lower()}" + (r"\b" if name.isupper() else ""), name)
     return F.when(text.rlike(shape(fmt)), F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz"))
 
 

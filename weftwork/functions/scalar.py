@@ -59,17 +59,18 @@ def is_number(s: Column) -> Column:
 # --- text -------------------------------------------------------------------
 
 
-def lpad(s: Column, n: int, pad: str = " ") -> Column:
-    return F.lpad(s, n, pad)
+def lpad(s: Column, n, pad=" ") -> Column:
+    return F.lpad(s, lit(n), lit(pad))
 
 
-def rpad(s: Column, n: int, pad: str = " ") -> Column:
-    return F.rpad(s, n, pad)
+def rpad(s: Column, n, pad=" ") -> Column:
+    return F.rpad(s, lit(n), lit(pad))
 
 
-def substr(s: Column, start: int, length: int | None = None) -> Column:
-    """1-based; 0 reads as 1; a negative start counts from the end."""
-    return F.substring(s, start or 1, 2**31 - 1 if length is None else length)
+def substr(s: Column, start, length=None) -> Column:
+    """1-based; 0 reads as 1; a negative start counts from the end. Start and length may be computed."""
+    start = F.when(lit(start) == 0, 1).otherwise(lit(start)) if isinstance(start, Column) else F.lit(start or 1)
+    return F.substring(s, start.cast("int"), lit(2**31 - 1 if length is None else length).cast("int"))
 
 
 def replace_chr(case_sensitive: bool, s: Column, old: str, new: str) -> Column:
@@ -120,12 +121,27 @@ def rtrim(s: Column) -> Column:
     return F.rtrim(s)
 
 
-def instr(s: Column, sub: str, start: int = 1, occurrence: int = 1) -> Column:
-    """Position of the n-th occurrence at or after ``start``; 0 when there is none."""
-    pos = F.locate(sub, s, start)
-    for _ in range(occurrence - 1):
-        pos = F.when(pos > 0, F.call_function("locate", F.lit(sub), s, pos + 1)).otherwise(F.lit(0))
-    return pos
+def instr(s: Column, sub, start=1, occurrence: int = 1) -> Column:
+    """Position of the n-th occurrence at or after ``start``; 0 when there is none.
+
+    A negative start counts from the end, and the search goes backwards from there. ``sub`` and ``start`` may be computed.
+    """
+    sub = lit(sub)
+
+    def nth(text: Column, part: Column, first: Column) -> Column:
+        pos = F.position(part, text, first)
+        for _ in range(occurrence - 1):
+            pos = F.when(pos > 0, F.position(part, text, pos + 1)).otherwise(F.lit(0))
+        return pos
+
+    def back(first: Column) -> Column:
+        found = nth(F.reverse(s), F.reverse(sub), F.greatest(F.lit(1), -first - F.length(sub) + 1))
+        return F.when(found > 0, F.length(s) - found - F.length(sub) + 2).otherwise(found)
+
+    if not isinstance(start, Column):
+        return back(F.lit(start)) if start < 0 else nth(s, sub, F.lit(start))
+    start = start.cast("int")
+    return F.when(start < 0, back(start)).otherwise(nth(s, sub, start))
 
 
 def is_spaces(s: Column) -> Column:
@@ -136,7 +152,9 @@ def chr_(n: Column) -> Column:
     return F.chr(n)
 
 
-def reg_match(s: Column, pattern: str, anchored: bool = True) -> Column:
+def reg_match(s: Column, pattern, anchored: bool = True) -> Column:
+    if isinstance(pattern, Column):
+        return F.rlike(s, F.concat(F.lit("^(?:"), pattern, F.lit(")$")) if anchored else pattern)
     return s.rlike(f"^(?:{pattern})$" if anchored else pattern)
 
 

@@ -104,7 +104,7 @@ def validate(df: DataFrame, rules: dict[str, Rule]) -> DataFrame:
     errors = F.array_compact(F.array(*[
         F.concat(F.lit(n + SEPARATOR), r.error(F.col(f"_typed_{n}"))) for n, r in rules.items()]))
     checked = typed.withColumns({"errors": errors} | {f"_out_{n}": r.value(F.col(f"_typed_{n}")) for n, r in rules.items()})
-    kept = [F.col(f"_out_{c}").alias(c) if c in rules else F.col(c) for c in df.columns]
+    kept = [F.col(f"_out_{c}").alias(c) if c in rules else F.col(f"`{c}`") for c in df.columns]
     added = [F.col(f"_out_{n}").alias(n) for n in rules if n not in df.columns]
     return checked.select(*kept, *added, "errors", F.when(F.size("errors") == 0, "Y").otherwise("N").alias("LOAD_DATA"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftwork.session import cut
+
 
 def aggregate(df: DataFrame, keys: list[str], exprs: dict[str, Column], last: list[str] | None = None,
               order_by: list[str] | None = None) -> DataFrame:
@@ -54,10 +56,10 @@ def status_counts(df: DataFrame, keys: list[str], status: str = "status") -> Dat
 def percentile_nearest_rank(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
     """Exact ``ceil(p/100·n)``-th smallest value of each group, clamped to [1, n]; NULLs ignored, none → no row.
 
-    A group may hold most of the table, so it is never sorted as one. Equal
-    values collapse to counts first; a mergeable quantile sketch places cut
-    points just around each wanted rank; exact counts between the cuts tell
-    which narrow band holds the rank; only that band is ordered. The sketch
+    A group may hold most of the table, so it is never sorted as one. A mergeable quantile sketch of the rows places
+    cut points just around each wanted rank; equal values collapse to counts, and exact counts between the cuts tell
+    which narrow band, some thousandths of the rows, holds the rank. Only that band is ordered: its values are
+    range-partitioned, and each partition adds the rows of those before it. The sketch
     decides how narrow the bands are, never the answer.
     """
     # One struct as the key: it is never NULL, so groups with a NULL key survive the joins.
@@ -66,7 +68,8 @@ def percentile_nearest_rank(df: DataFrame, keys: list[str], value: str, wanted:
               .agg(F.count("*").alias("_n")))
     margin = 2e-4
     probes = sorted({min(max(p / 100 + d, 0.0), 1.0) for p in wanted.values() for d in (-margin, margin)})
-    cuts = counts.groupBy("_k").agg(F.percentile_approx("_v", probes, 10000).alias("_cuts"), F.sum("_n").alias("_total"))
+    cuts = (df.filter(F.col(value).isNotNull()).groupBy(key.alias("_k"))
+            .agg(F.percentile_approx(F.col(value), probes, 10000).alias("_cuts"), F.count("*").alias("_total")))
     banded = counts.join(cuts, "_k").withColumn("_band", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
     bands = banded.groupBy("_k", "_band").agg(F.sum("_n").alias("_bn"), F.first("_total").alias("_total"))
     upto = F.sum("_bn").over(Window.partitionBy("_k").orderBy("_band"))  # one row a band: a handful a key
@@ -77,7 +80,13 @@ def percentile_nearest_rank(df: DataFrame, keys: list[str], value: str, wanted:
                .filter((F.col("_before") < F.col("_t.rank")) & (F.col("_t.rank") <= F.col("_upto")))
                .select("_k", "_band", "_before", F.col("_t.name").alias("_name"), F.col("_t.rank").alias("_rank")))
     inside = banded.select("_k", "_band", "_v", "_n").join(targets, ["_k", "_band"])
-    reached = F.col("_before") + F.sum("_n").over(Window.partitionBy("_k", "_band", "_name").orderBy("_v"))
-    found = inside.withColumn("_reached", reached).filter(F.col("_reached") >= F.col("_rank"))
+    spread = ["_k", "_name", "_v"]
+    placed = cut(inside.repartitionByRange(*spread).sortWithinPartitions(*spread).withColumn("_part", F.spark_partition_id()))
+    upto_part = Window.partitionBy("_k", "_name").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    ahead = (placed.groupBy("_k", "_name", "_part").agg(F.sum("_n").alias("_pn"))
+             .select("_k", "_name", "_part", F.coalesce(F.sum("_pn").over(upto_part), F.lit(0)).alias("_ahead")))
+    in_part = F.sum("_n").over(Window.partitionBy("_k", "_name", "_part").orderBy("_v"))
+    found = (placed.withColumn("_here", in_part).join(ahead, ["_k", "_name", "_part"])
+             .filter(F.col("_before") + F.col("_ahead") + F.col("_here") >= F.col("_rank")))
     out = found.groupBy("_k").agg(*[F.min(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in wanted])
     return out.select(*[F.col(f"_k.{k}").alias(k) for k in keys], *wanted)

@@ -57,33 +57,62 @@ def lookup_value(df: DataFrame, name: str, table: DataFrame, on: list[tuple[str,
     return found.withColumn(name, expr(F.col("_lkp"))).drop("_lkp")
 
 
-def range_lookup(df: DataFrame, table: DataFrame, value: str, low: str, high: str, cell: float, outputs: dict[str, str],
+_LIMIT = 1 << 58  # cell numbers are clamped to this, far inside bigint; ends are compared on the values themselves
+
+
+def _axis(c: Column, kind: str) -> Column:
+    """A number that never falls as the value rises: days of a date, seconds of a timestamp, the value itself else."""
+    if kind in ("timestamp", "timestamp_ntz"):
+        days = F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+        return days * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.floor(F.second(c))
+    if kind == "date":
+        return F.datediff(c, F.lit("1970-01-01").cast("date")).cast("bigint")
+    return c
+
+
+def range_lookup(df: DataFrame, table: DataFrame, value: str, low: str | None, high: str | None, cell: float | None, outputs: dict[str, str],
                  on: list[tuple[str, str]] = (), policy: str = FIRST, order_by: list[str] | None = None,
                  low_open: bool = False, high_open: bool = False) -> DataFrame:
-    """Lookup on ``low <= value <= high`` (ends may be open), with any equalities in ``on``.
+    """Lookup on ``low <= value <= high`` (ends may be open, and one may be missing: None), with any equalities in ``on``.
 
-    Range conditions alone would compare every row with every band. Instead the
-    number line is cut into cells of several widths and a band is filed under
+    Numbers, dates and timestamps. Range conditions alone would compare every row with every band. Instead the
+    line is cut into cells of several widths and a band is filed under
     the few cells that tile its inside, which any value in them matches, and
     under its two end cells, where the ends are still compared. All bands of a
     tile reduce to the one the policy picks before anything is joined, so a
     distinct value meets one entry a level plus the ends inside its own
     finest cell, however many bands overlap. Only distinct values probe.
-    ``cell`` is the width of the finest cell; it affects speed, not the result.
+    ``cell`` is the width of the finest cell, by default such that a tenth of the bands are narrower;
+    it affects speed, not the result. A band with a NULL end that has a column matches nothing.
     """
     if policy != ANY and not order_by:
         raise ValueError(f"match policy {policy} needs order_by")
+    if low is None and high is None:
+        raise ValueError("a range needs a lower or an upper bound")
     best = F.max if policy == LAST else F.min
     ours = [o for o, _ in on]
-    at = lambda c: F.floor(c.cast("double") / F.lit(float(cell))).cast("bigint")
+    kinds = {dict(df.dtypes)[value], *(dict(table.dtypes)[c] for c in (low, high) if c is not None)}
+    kind = next((k for k in ("timestamp", "timestamp_ntz", "date") if k in kinds), "number")
+    axis = lambda c: _axis(c if kind == "number" else c.cast(kind), kind).cast("double")
+    if cell is None and low is not None and high is not None:
+        width = axis(F.col(high)) - axis(F.col(low))
+        least = table.agg(F.percentile_approx(F.when(width > 0, width), 0.1, 1000)).scalar()
+        finest = F.coalesce(least, F.lit(1.0))
+    else:
+        finest = F.lit(float(cell or 1.0))
+    at = lambda c: F.floor(F.greatest(F.lit(float(-_LIMIT)), F.least(F.lit(float(_LIMIT)), axis(c) / finest))).cast("bigint")
     order = F.struct(*order_by) if policy != ANY else F.struct(F.lit(0))
     wanted = list(dict.fromkeys(outputs.values()))
     band_keys, value_keys = [f"_k{i}" for i in range(len(ours))], [f"_v{i}" for i in range(len(ours))]
 
-    bands = (table.filter(F.col(low) <= F.col(high))
-             .select(*[F.col(k).alias(f"_k{i}") for i, (_, k) in enumerate(on)], F.col(low).alias("_low"),
-                     F.col(high).alias("_high"), F.struct(order.alias("o"), F.struct(*wanted).alias("m")).alias("_best"))
-             .withColumn("_from", at(F.col("_low"))).withColumn("_to", at(F.col("_high"))))
+    given = [F.col(c) for c in (low, high) if c is not None]
+    valid = (given[0] <= given[1]) if len(given) == 2 else given[0].isNotNull()
+    end = lambda c: F.lit(None) if c is None else F.col(c)
+    bands = (table.filter(valid)
+             .select(*[F.col(k).alias(f"_k{i}") for i, (_, k) in enumerate(on)], end(low).alias("_low"),
+                     end(high).alias("_high"), F.struct(order.alias("o"), F.struct(*wanted).alias("m")).alias("_best"))
+             .withColumn("_from", F.lit(-_LIMIT) if low is None else at(F.col("_low")))
+             .withColumn("_to", F.lit(_LIMIT) if high is None else at(F.col("_high"))))
     inside = bands.withColumn("_tile", F.explode(F.expr(_TILES)))
     tiles = (inside.groupBy(*band_keys, "_tile.level", "_tile.cell").agg(best("_best").alias("_best"))
              .withColumns({"_low": F.lit(None), "_high": F.lit(None)}))
@@ -99,7 +128,7 @@ def range_lookup(df: DataFrame, table: DataFrame, value: str, low: str, high: st
     above = F.col("_v") > F.col("_low") if low_open else F.col("_v") >= F.col("_low")
     below = F.col("_v") < F.col("_high") if high_open else F.col("_v") <= F.col("_high")
     cond = ((F.col("_level") == F.col("level")) & (F.col("_cell") == F.col("cell"))
-            & (F.col("_low").isNull() | (above & below)))
+            & (F.col("_low").isNull() | above) & (F.col("_high").isNull() | below))
     for v, k in zip(value_keys, band_keys):
         cond = cond & (F.col(v) == F.col(k))
     picked = (probes.join(entries, cond, "inner").groupBy(*value_keys, "_v").agg(best("_best").alias("_best"))
@@ -113,20 +142,20 @@ def _tile_sql(bits: int, top: int) -> str:
     """Cells (level, cell) that exactly tile the whole cells strictly between ``_from`` and ``_to``.
 
     A level-l cell holds 2**(bits*l) finest ones. ``lo``/``hi`` are the first and
-    last level-l cell inside the band; those inside a level-(l+1) cell of the band are left to it.
+    last level-l cell inside the band; those inside a level-(l+1) cell of the band are left to it, except at the top.
     """
     lo = lambda l: f"-shiftright(-(_from + 1), ({l}) * {bits})"
     hi = lambda l: f"shiftright(_to, ({l}) * {bits}) - 1"
     run = lambda a, b: f"if({a} <= {b}, sequence({a}, {b}), cast(array() as array<bigint>))"
     inner_lo, inner_hi = f"(({lo('l + 1')}) * {1 << bits})", f"(({hi('l + 1')} + 1) * {1 << bits})"
-    cells = (f"if({lo('l + 1')} <= {hi('l + 1')}, "
+    cells = (f"if(l < {top} AND {lo('l + 1')} <= {hi('l + 1')}, "
              f"concat({run(lo('l'), inner_lo + ' - 1')}, {run(inner_hi, hi('l'))}), {run(lo('l'), hi('l'))})")
     return (f"flatten(transform(sequence(0, {top}), l -> "
             f"transform({cells}, c -> named_struct('level', l, 'cell', c))))")
 
 
 _LEVEL_BITS = 4  # a cell is 16 of the next finer ones
-_TOP_LEVEL = 14  # 15 levels of 4 bits span any 60-bit cell number
+_TOP_LEVEL = 13  # at most 2 * 2**58 / 2**52 = 128 cells of this level exist, so all of them may be filed
 _TILES = _tile_sql(_LEVEL_BITS, _TOP_LEVEL)
 
 

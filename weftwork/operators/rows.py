@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -125,6 +126,10 @@ def apply_global(name: str, *ports: Column) -> Column:
 
 def parametrised_sql(spark: SparkSession, sql: str, params: dict[str, object], **views: DataFrame) -> DataFrame:
     """SQL override with ``$$NAME`` parameters bound as values, never pasted as text."""
-    for name in sorted(params, key=len, reverse=True):
-        sql = sql.replace(f"$${name}", f":{name}")
+    whole = re.fullmatch(r"\s*\$\$(\w+)\s*;?\s*", sql)
+    if whole:  # the override is the parameter itself: its value is the query
+        return spark.sql(str(params[whole[1]]), **views)
+    names = "|".join(re.escape(n) for n in sorted(params, key=len, reverse=True))
+    if names:  # text in quotes is left as it is
+        sql = re.sub(rf"('(?:[^']|'')*')|\$\$({names})\b", lambda m: m[1] or f":{m[2]}", sql)
     return spark.sql(sql, args=dict(params), **views)

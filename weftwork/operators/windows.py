@@ -11,13 +11,28 @@ from pyspark.sql import functions as F
 
 
 def flag_duplicates(df: DataFrame, keys: list[str], order_by: list[str], flag: str = "FLAG_DUPLICADO") -> DataFrame:
-    """``flag`` = 'Y' on every row whose key occurred earlier in the (unique) order, else 'N'."""
-    first = df.groupBy(*keys).agg(F.min(F.struct(*order_by)).alias("_first"))
+    """``flag`` = 'Y' on every row whose key occurred earlier in the order, else 'N'.
+
+    Rows may be equal in key and order, even in all columns: equal rows collapse to one with their number, the first of a key
+    in the order (ties by all other columns) gives one 'N', all the rest are 'Y'.
+    """
+    rest = [c for c in df.columns if c not in order_by]
+    order = F.struct(*order_by, *rest)
+    counted = df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
+    first = df.groupBy(*keys).agg(F.min(order).alias("_first"))
     first = first.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_first")
-    same = [df[k].eqNullSafe(first[f"_k{i}"]) for i, k in enumerate(keys)]
-    return (df.join(first, same)
-            .withColumn(flag, F.when(F.struct(*order_by).eqNullSafe(F.col("_first")), "N").otherwise("Y"))
-            .drop("_first", *[f"_k{i}" for i in range(len(keys))]))
+    same = [counted[k].eqNullSafe(first[f"_k{i}"]) for i, k in enumerate(keys)]
+    flagged = counted.join(first, same).withColumn("_head", order.eqNullSafe(F.col("_first"))).select(*df.columns, "_copies", "_head")
+    # Many equal rows come back in runs of _RUN, which are dealt out before they are written out.
+    few, many = flagged.filter(F.col("_copies") <= _RUN), flagged.filter(F.col("_copies") > _RUN)
+    runs = many.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_copies") - 1) / _RUN))))
+    runs = runs.withColumns({"_copies": F.least(F.lit(_RUN), F.col("_copies") - F.col("_run") * _RUN), "_head": F.col("_head") & (F.col("_run") == 0)})
+    dealt = few.unionByName(runs.drop("_run").repartition("_copies", *df.columns, F.rand(0)))
+    flags = F.transform(F.sequence(F.lit(1), F.col("_copies").cast("int")), lambda i: F.when(F.col("_head") & (i == 1), "N").otherwise("Y"))
+    return dealt.select(*df.columns, F.explode(flags).alias(flag))
+
+
+_RUN = 1024
 
 
 def split_duplicates(df: DataFrame, keys: list[str], order_by: list[str]) -> tuple[DataFrame, DataFrame]:

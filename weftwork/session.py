@@ -25,22 +25,20 @@ SETTINGS = {
 
 
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-WAVES = 4            # shuffle partitions a core to start from; AQE merges those that turn out small
-CLUSTER_CORES = 200  # from here on the default number of shuffle partitions is too low
+WAVES = 4  # shuffle partitions a core to start from; AQE merges those that turn out small
 
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings; safe to call on every query.
 
-    On a cluster a shuffle starts from several partitions a core, unless the session
-    says how many, so that partitions fit in memory at any input size.
+    A shuffle starts from several partitions a core, unless the session says how many
+    or asks for more by ``spark.sql.shuffle.partitions``, so that partitions fit in memory at any input size.
     """
     for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
-    cores = spark.sparkContext.defaultParallelism
-    if cores >= CLUSTER_CORES and spark.conf.get(INITIAL_PARTITIONS, None) is None:
-        spark.conf.set(INITIAL_PARTITIONS, str(WAVES * cores))
+    if spark.conf.get(INITIAL_PARTITIONS, None) is None:
+        spark.conf.set(INITIAL_PARTITIONS, str(max(WAVES * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     return spark
 
 
