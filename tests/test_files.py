@@ -20,8 +20,9 @@ def put(root, path, text, encoding="utf-8"):
 
 
 def snapshots(root):
-    put(root, "2026_07_01/b.csv", HEADER + 'c1,_ETL_a.json,j1,2026-07-01T04:12:22Z,14m 05sec,FAILED,"Stage 4 failed, executor lost"\nc2,_ETL_b.json,j2\n')
+    put(root, "2026_07_01/b.csv", HEADER + 'c1,_ETL_a.json,j1,2026-07-01T04:12:22Z,14m 05sec,FAILED,"worker gone, job stopped"\nc2,_ETL_b.json,j2\n')
     put(root, "2026_07_02/b.csv", HEADER + 'c1,_ETL_a.json,j3,2026-07-02T04:12:22Z,10m 00sec,SUCCESS,"say ""hi"""\n')
+    put(root, "2026_07_03/b.csv", "status,extra,recipe_filename,cluster_name,job_id\nSUCCESS,?,_ETL_c.json,c3,j4\n")
     put(root, "notes/b.csv", HEADER + "x,x,x,x,x,x,x\n")
 
 
@@ -29,18 +30,33 @@ def test_snapshot_scan(spark, rows, tmp_path):
     snapshots(tmp_path)
     out = files.snapshot_scan(spark, str(tmp_path))
     assert rows(out, "job_id", "run_date", "status", "message") == [
-        ("j1", date(2026, 7, 1), "FAILED", "Stage 4 failed, executor lost"), ("j2", date(2026, 7, 1), "", ""),
-        ("j3", date(2026, 7, 2), "SUCCESS", 'say "hi"')]
+        ("j1", date(2026, 7, 1), "FAILED", "worker gone, job stopped"), ("j2", date(2026, 7, 1), "", ""),
+        ("j3", date(2026, 7, 2), "SUCCESS", 'say "hi"'), ("j4", date(2026, 7, 3), "SUCCESS", "")]
+    assert rows(out.filter("job_id = 'j4'"), "cluster_name", "recipe_filename", "app_start_iso") == [("c3", "_ETL_c.json", "")]
+
+
+def test_snapshot_cells_may_hold_line_breaks(spark, rows, tmp_path):
+    put(tmp_path, "2026_07_01/b.csv", HEADER + 'c1,_ETL_a.json,j1,x,1m 00sec,FAILED,"two\nlines"\n')
+    assert rows(files.snapshot_scan(spark, str(tmp_path)), "job_id", "message") == [("j1", "two\nlines")]
+
+
+def test_reusable_transformations_of_a_folder(spark, rows, tmp_path):
+    put(tmp_path, "m.xml", """<POWERMART><FOLDER NAME="f"><TRANSFORMATION NAME="EXP_SHARED" TYPE="Expression"><TRANSFORMFIELD NAME="x" PORTTYPE="OUTPUT" EXPRESSION="1"/></TRANSFORMATION>
+<MAPPINGVARIABLE NAME="$$G" DATATYPE="string" ISPARAM="YES" DEFAULTVALUE="d"/><MAPPING NAME="m"><TRANSFORMATION NAME="EXP" TYPE="Expression"><TRANSFORMFIELD NAME="y"/></TRANSFORMATION>
+<MAPPINGVARIABLE NAME="$$L" DATATYPE="string" ISPARAM="NO" DEFAULTVALUE=""/></MAPPING></FOLDER></POWERMART>""".replace(' NAME="', ' NAME="'))
+    x = files.mapping_xml_scan(spark, str(tmp_path), encoding="UTF-8")
+    assert rows(x["transform_fields"], "mapping", "transformation", "name") == [("m", "EXP", "y"), (None, "EXP_SHARED", "x")]
+    assert rows(x["variables"], "mapping", "name", "default", "is_parameter") == [("m", "$$L", "", False), (None, "$$G", "d", True)]
 
 
 def test_stream_reads_each_file_once(spark, rows, tmp_path):
     snapshots(tmp_path / "in")
-    out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+    out = str(tmp_path / "out")
     flow = lambda df: df.filter(F.col("status") != "").select("job_id", "run_date", F.lower("status").alias("s"))
-    append_stream(stream_snapshots(spark, str(tmp_path / "in")), flow, out, mark).awaitTermination()
-    put(tmp_path / "in", "2026_07_03/b.csv", HEADER + "c1,_ETL_a.json,j9,2026-07-03T00:00:00Z,1m 00sec,SUCCESS,\n")
-    append_stream(stream_snapshots(spark, str(tmp_path / "in")), flow, out, mark).awaitTermination()
-    assert rows(spark.read.parquet(out), "job_id", "s") == [("j1", "failed"), ("j3", "success"), ("j9", "success")]
+    append_stream(stream_snapshots(spark, str(tmp_path / "in")), flow, out).awaitTermination()
+    put(tmp_path / "in", "2026_07_04/b.csv", HEADER + "c1,_ETL_a.json,j9,2026-07-03T00:00:00Z,1m 00sec,SUCCESS,\n")
+    append_stream(stream_snapshots(spark, str(tmp_path / "in")), flow, out).awaitTermination()
+    assert rows(spark.read.parquet(out), "job_id", "s") == [("j1", "failed"), ("j3", "success"), ("j4", "success"), ("j9", "success")]
 
 
 GOOD = ("INSERT INTO control VALUES ('ODS', 'd', '{0}', 'wf', 'T', {1}, [STRUCT('S, ''q''', true, -30), STRUCT('S2', false, 0)],\n ['L(1)', 'L]2'], "

@@ -135,8 +135,8 @@ def test_percentile_equals_brute_force_on_a_skewed_key(spark, seed):
 
 
 def test_percentile_of_the_whole_table(spark):
-    df = spark.createDataFrame([(10.0,), (14.0833,)], "v double")
-    assert tuple(A.percentile_nearest_rank(df, [], "v", {"p50": 50, "p95": 95}).first()) == (10.0, 14.0833)
+    df = spark.createDataFrame([(3.5,), (8.25,)], "v double")
+    assert tuple(A.percentile_nearest_rank(df, [], "v", {"p50": 50, "p95": 95}).first()) == (3.5, 8.25)
 
 
 def test_global_aggregate_of_nothing_is_one_row(spark):
@@ -178,3 +178,44 @@ def test_procedure_with_pandas_function(spark, rows):
 def test_parameters_are_bound_not_pasted(spark, rows):
     df = spark.createDataFrame([("a' OR 'x",), ("b",)], "s string")
     assert rows(R.parametrised_sql(spark, "SELECT s FROM {t} WHERE s = $$P", {"P": "a' OR 'x"}, t=df)) == [("a' OR 'x",)]
+
+
+def brute_range(values, bands, low_open=False, high_open=False):
+    """the first band by id of each value"""
+    return {v: min((i for i, lo, hi in bands if (lo is None or lo < v or lo == v and not low_open) and (hi is None or v < hi or v == hi and not high_open)), default=None) for v in values}
+
+
+@pytest.mark.parametrize("cell", [None, 1e-3, 16.0, 1e12])
+def test_range_lookup_at_the_ends_of_the_line(spark, cell):
+    bands = [(1, -9e18, 9e18), (2, 0.0, 9e18), (3, 0.1, 0.2), (4, 0.15, 0.15), (5, -1e300, -1e290), (6, 5.0, 4.0), (0, 0.12, 0.17)]
+    values = [5.0, 2e18, -8.9e18, 0.15, 0.1, 0.2, -1e295, 1e300, 0.16999, 4.5]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    table = spark.createDataFrame(bands, "i int, lo double, hi double")
+    for flags in ({}, {"low_open": True, "high_open": True}):
+        got = {r["v"]: r["i"] for r in L.range_lookup(df, table, "v", "lo", "hi", cell, {"i": "i"}, order_by=["i"], **flags).collect()}
+        assert got == brute_range(values, bands, **flags)
+    got = {r["v"]: r["i"] for r in L.range_lookup(df, table, "v", None, "hi", cell, {"i": "i"}, order_by=["i"]).collect()}
+    assert got == brute_range(values, [(i, None, hi) for i, _, hi in bands])
+    got = {r["v"]: r["i"] for r in L.range_lookup(df, table, "v", "lo", None, cell, {"i": "i"}, order_by=["i"], low_open=True).collect()}
+    assert got == brute_range(values, [(i, lo, None) for i, lo, _ in bands], low_open=True)
+
+
+def test_range_lookup_over_dates_and_times(spark):
+    df = spark.sql("SELECT explode(sequence(TIMESTAMP_NTZ'1999-12-31 23:59:58', TIMESTAMP_NTZ'2000-01-01 00:00:03', INTERVAL 1 SECOND)) AS v")
+    table = spark.sql("SELECT * FROM VALUES (2, TIMESTAMP_NTZ'1900-01-01 00:00:00', TIMESTAMP_NTZ'9999-12-31 00:00:00'), (1, TIMESTAMP_NTZ'2000-01-01 00:00:00', TIMESTAMP_NTZ'2000-01-01 00:00:01.5') AS t(i, lo, hi)")
+    assert [r["i"] for r in L.range_lookup(df, table, "v", "lo", "hi", None, {"i": "i"}, order_by=["i"]).orderBy("v").collect()] == [2, 2, 1, 1, 2, 2]
+
+
+def test_equal_rows_are_duplicates(spark):
+    df = spark.createDataFrame([(1, "a")] * 2 + [(2, None)] * 3000 + [(2, "b")], "k int, v string")
+    got = {(r["k"], r["v"], r["f"]): r["n"] for r in W.flag_duplicates(df, ["k"], ["k"], "f").groupBy("k", "v", "f").agg(F.count("*").alias("n")).collect()}
+    assert got == {(1, "a", "N"): 1, (1, "a", "Y"): 1, (2, None, "N"): 1, (2, None, "Y"): 2999, (2, "b", "Y"): 1}
+
+
+def test_percentile_band_stays_narrow_with_repeated_values(spark):
+    """nine rows of ten on ten values: exact, and nothing but the band is ordered"""
+    df = spark.range(200_000).select(F.when(F.col("id") % 10 < 9, F.col("id") % 10).otherwise(F.col("id") / 7.0 + 5).alias("v"))
+    values = sorted(r["v"] for r in df.collect())
+    wanted = {"p5": 5, "p50": 50, "p95": 95, "p99": 99}
+    got = A.percentile_nearest_rank(df, [], "v", wanted).first()
+    assert tuple(got) == tuple(values[-(-len(values) * p // 100) - 1] for p in wanted.values())

@@ -95,7 +95,7 @@ def test_unknown_function_is_an_error(spark, tables):
         run(spark, [step("T", "table", [PORT("X", "Long", CALL("Undefined", REF("A.id")))], [src("A", "table")])], tables)
 
 
-RUNS = [("r1", "2026-07-01", "10m 00sec", "SUCCESS"), ("r1", "2026-07-02", "14m 05sec", "FAILED"), ("r1", "2026-07-04", "x", ""), ("r2", "2026-07-02", "", "RUNNING")]
+RUNS = [("r1", "2026-07-01", "3m 30sec", "SUCCESS"), ("r1", "2026-07-02", "8m 15sec", "FAILED"), ("r1", "2026-07-04", "x", ""), ("r2", "2026-07-02", "", "RUNNING")]
 
 
 @pytest.fixture
@@ -109,7 +109,7 @@ def test_rollup_and_status(spark, rows, runs):
     rollup = H.recipe_rollup(runs, entries)
     one, two = sorted(rollup.collect(), key=lambda r: r["recipe_filename"])
     assert (one["layer"], one["ok"], one["ko"], one["latest_status"]) == ("ODS", 1, 1, "")
-    assert (round(one["avg_min"], 2), one["p50_min"], round(one["p95_min"], 4)) == (12.04, 10.0, 14.0833)
+    assert (one["avg_min"], one["p50_min"], one["p95_min"]) == (5.875, 3.5, 8.25)
     assert (two["layer"], two["avg_min"], two["p50_min"]) == ("UNKNOWN", None, None)
     assert rows(H.status_at(rollup, "2026-07-02")) == [("r1", "KO"), ("r2", "PENDING")]
     assert rows(H.status_at(rollup, "2026-07-03")) == [("r1", "PENDING"), ("r2", "PENDING")]
@@ -124,9 +124,9 @@ def test_nearest_date_tie_takes_the_earlier(spark, rows):
 def test_workflow_gaps_and_running(spark, runs):
     clusters = spark.createDataFrame([("w1", "r1"), ("w2", "r2"), ("w3", "none")], "workflow string, recipe string")
     got = {(r["workflow"], str(r["run_date"])): (r["status"], r["duration_s"]) for r in H.workflow_runs(runs, clusters).collect()}
-    assert len(got) == 9 and got["w1", "2026-07-02"] == ("failed", 845) and got["w2", "2026-07-02"] == ("success", 0) and got["w3", "2026-07-01"] == ("skipped", 0)
+    assert len(got) == 9 and got["w1", "2026-07-02"] == ("failed", 495) and got["w2", "2026-07-02"] == ("success", 0) and got["w3", "2026-07-01"] == ("skipped", 0)
     tasks = {r["recipe_filename"]: r for r in H.task_stats(runs, clusters.select("recipe")).collect()}
-    assert tasks["r1"]["history"] == ["OK", "KO", "PENDING"] and (tasks["r1"]["p50"], tasks["r1"]["avg_time_s"]) == (600, 723)
+    assert tasks["r1"]["history"] == ["OK", "KO", "PENDING"] and (tasks["r1"]["p50"], tasks["r1"]["avg_time_s"]) == (210, 353)
     assert tasks["r2"]["history"] == ["PENDING", "RUNNING", "PENDING"] and tasks["none"]["p95"] == 0
 
 
@@ -158,6 +158,6 @@ def test_rendering_and_refs_split_at_the_first_dot(spark, rows):
 
 
 def test_rename_counts_shared_parts(spark, rows):
-    df = spark.createDataFrame([("m", "STG_HIER_CALIF_D", "TMA252_L_D_CALIF", 0), ("m", "STG_HIER_CALIF_D", "FF_DATE", 1), ("n", "DWH_X", "stg_y", 0)],
+    df = spark.createDataFrame([("m", "STG_REGION_SCORE_D", "X9_L_D_SCORE", 0), ("m", "STG_REGION_SCORE_D", "FF_CLOCK", 1), ("n", "DWH_X", "stg_y", 0)],
                                "mapping string, target string, source string, pos int")
-    assert rows(N.rename_sources(df), "new_target", "new_source") == [("DWH_X", "ODS_Y"), ("ODS_HIER_CALIF_D", "FF_DATE"), ("ODS_HIER_CALIF_D", "STG_HIER_CALIF_D")]
+    assert rows(N.rename_sources(df), "new_target", "new_source") == [("DWH_X", "ODS_Y"), ("ODS_REGION_SCORE_D", "FF_CLOCK"), ("ODS_REGION_SCORE_D", "STG_REGION_SCORE_D")]

@@ -343,8 +343,9 @@ def no_orphan(c: Corpus) -> DataFrame:
 @rule("FLW-004")
 def lookup_condition_bound(c: Corpus) -> DataFrame:
     """The condition must name one of the lookup's bind variables as a whole word."""
-    words = F.regexp_extract_all(F.coalesce("condition", F.lit("")), F.lit(r"(\w+)"), F.lit(1))
-    bad = c.nodes.filter((F.col("kind") == "lookup") & (F.size("bind_names") > 0) & ~F.arrays_overlap(words, "bind_names"))
+    text = F.coalesce("condition", F.lit(""))
+    named = F.exists("bind_names", lambda n: F.rlike(text, F.concat(F.lit(r"\b\Q"), n, F.lit(r"\E\b"))))
+    bad = c.nodes.filter((F.col("kind") == "lookup") & (F.size("bind_names") > 0) & ~F.coalesce(named, F.lit(False)))
     return _found(bad, F.concat("path", F.lit(".condition")), "condition names none of its bind variables")
 
 

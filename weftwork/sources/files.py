@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,16 +23,42 @@ TYPE_ALIASES = {"BERYLFALLS": "sourceQualifier", "EARLYGLADE": "unionInput",
 KEY_ALIASES = {"greencliff": "groups", "weststone": "fields", "oakcombe2": "dq2"}
 
 
-def snapshot_scan(spark: SparkSession, root: str) -> DataFrame:
-    """All dated snapshots below ``root``; the date is in the directory name, a missing cell is ''."""
-    schema = ", ".join(f"{c} string" for c in SNAPSHOT_COLUMNS)
-    rows = (spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True)
-            .option("multiLine", False).option("escape", '"').csv(root))
-    day = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4})_(\d{2})_(\d{2})/[^/]*$", 0)
-    return (rows.withColumn("run_date", F.try_to_timestamp(F.substring(day, 1, 10), F.lit("yyyy_MM_dd")).cast("date"))
+def snapshot_scan(spark: SparkSession, root: str, columns: int = 64) -> DataFrame:
+    """All dated snapshots below ``root``; the date is in the directory name, a missing cell is ''.
+
+    Columns are taken by the names in each file's own header, in any order; a column that a header lacks is ''. Quoted
+    cells may hold line breaks. ``columns`` is the largest number of columns a file may have.
+    """
+    cells = [f"_c{i}" for i in range(columns)]
+    rows = (spark.read.schema(", ".join(f"{x} string" for x in cells)).option("recursiveFileLookup", True)
+            .option("multiLine", True).option("escape", '"').csv(root).select("*", F.col("_metadata.file_path").alias("_file")))
+    return _dated(named_cells(rows.select("_file", F.array(*cells).alias("_cells"))))
+
+
+def named_cells(rows: DataFrame) -> DataFrame:
+    """(file, cells) rows of files that each hold a header row → the snapshot columns and the file."""
+    is_header = F.array_contains("_cells", "recipe_filename") & F.array_contains("_cells", "cluster_name")
+    places = F.struct(*[F.array_position("_cells", n).alias(n) for n in SNAPSHOT_COLUMNS])
+    headers = rows.filter(is_header).groupBy("_file").agg(F.max(places).alias("_at"))  # one row a file
+    at = lambda n: F.when(F.col(f"_at.{n}") > 0, F.element_at("_cells", F.col(f"_at.{n}").cast("int")))
+    return rows.filter(~F.coalesce(is_header, F.lit(False))).join(headers, "_file").select("_file", *[at(n).alias(n) for n in SNAPSHOT_COLUMNS])
+
+
+def _dated(rows: DataFrame) -> DataFrame:
+    day = F.regexp_extract("_file", r"(\d{4}_\d{2}_\d{2})/[^/]*$", 1)
+    return (rows.withColumn("run_date", F.try_to_timestamp(day, F.lit("yyyy_MM_dd")).cast("date")).drop("_file")
             .filter(F.col("run_date").isNotNull()).fillna("", SNAPSHOT_COLUMNS))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the session's default file system where it has none, as Spark's own readers take it."""
+    if "://" in path:
+        return path
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    return re.sub(r"^file:/+", "file:///", full)
+
+
 def _list_level(batches: Iterator[pd.DataFrame], recursive: bool) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
@@ -54,7 +82,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     files do, so they cannot list these. The first two directory levels are
     spread over tasks before the rest is walked.
     """
-    uri = root if "://" in root else f"file://{root}"
+    uri = qualified(spark, root)
     start = spark.createDataFrame([(uri.rstrip("/"), True)], "path string, is_dir boolean")
     schema = start.schema
     shallow = lambda b: _list_level(b, recursive=False)
@@ -76,7 +104,7 @@ def _read_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def recipe_scan(spark: SparkSession, root: str) -> DataFrame:
     """Every ``_ETL_*.json`` below ``root`` outside ``_history``: (path, recipe, mapping_dir, layer, document)."""
-    prefix = (root if "://" in root else f"file://{root}").rstrip("/") + "/"
+    prefix = qualified(spark, root).rstrip("/") + "/"
     paths = list_files(spark, root).filter(
         F.col("path").rlike(r"/_ETL_[^/]*\.json$") & ~F.col("path").contains("/_history/"))
     docs = paths.repartition("path").mapInPandas(_read_text, "path string, document string")
@@ -113,6 +141,7 @@ _PORT = ("array<struct<_NAME:string,_DATATYPE:string,_PORTTYPE:string,_PRECISION
 _TRANSFORMATION = (f"array<struct<_NAME:string,_TYPE:string,TRANSFORMFIELD:{_PORT},"
                    "TABLEATTRIBUTE:array<struct<_NAME:string,_VALUE:string>>,"
                    "GROUP:array<struct<_NAME:string,_TYPE:string,_EXPRESSION:string>>>>")
+_VARIABLE = "array<struct<_NAME:string,_DATATYPE:string,_DEFAULTVALUE:string,_ISPARAM:string>>"
 _INSTANCE = "array<struct<_NAME:string,_TRANSFORMATION_NAME:string,_TRANSFORMATION_TYPE:string,_TYPE:string>>"
 _CONNECTOR = ("array<struct<_FROMINSTANCE:string,_FROMINSTANCETYPE:string,_FROMFIELD:string,"
               "_TOINSTANCE:string,_TOINSTANCETYPE:string,_TOFIELD:string>>")
@@ -123,8 +152,8 @@ def mapping_xml_scan(spark: SparkSession, root: str, encoding: str = "windows-12
     """Mapping XML files flattened to one table an element kind.
 
     ``source_fields``, ``target_fields``, ``transform_fields``, ``table_attributes``,
-    ``groups``, ``instances`` and ``connectors``. Each asks the reader for its own
-    element and fields only.
+    ``groups``, ``instances``, ``connectors`` and ``variables``. Each asks the reader for its own
+    element and fields only. Reusable transformations and variables of a folder have a NULL mapping.
     """
     def read(tag: str, shape: str) -> DataFrame:
         return (spark.read.format("xml").schema(shape).option("rowTag", tag).option("encoding", encoding)
@@ -137,12 +166,13 @@ def mapping_xml_scan(spark: SparkSession, root: str, encoding: str = "windows-12
                         F.col("f._PRECISION").alias("precision"), F.col("f._SCALE").alias("scale"),
                         (F.upper("f._NULLABLE") != "NOTNULL").alias("nullable")))
 
-    def of_mapping(shape: str, element: str) -> DataFrame:
+    def of_mapping(shape: str, element: str, folder: bool = False) -> DataFrame:
+        tags = ("MAPPING", "MAPPLET") + (("FOLDER",) if folder else ())  # reusable ones stand in the folder itself, without a mapping
         inside = [read(tag, f"_NAME string, {element} {shape}")
-                  .select(F.col("_NAME").alias("mapping"), F.explode(element).alias("e")) for tag in ("MAPPING", "MAPPLET")]
-        return inside[0].unionByName(inside[1])
+                  .select((F.lit(None).cast("string") if tag == "FOLDER" else F.col("_NAME")).alias("mapping"), F.explode(element).alias("e")) for tag in tags]
+        return reduce(DataFrame.unionByName, inside)
 
-    steps = of_mapping(_TRANSFORMATION, "TRANSFORMATION").select(
+    steps = of_mapping(_TRANSFORMATION, "TRANSFORMATION", folder=True).select(
         "mapping", F.col("e._NAME").alias("transformation"), F.col("e._TYPE").alias("kind"), "e.*")
     ports = steps.select("mapping", "transformation", "kind", F.posexplode("TRANSFORMFIELD").alias("pos", "f"))
     return {
@@ -158,6 +188,9 @@ def mapping_xml_scan(spark: SparkSession, root: str, encoding: str = "windows-12
         "groups": steps.select("mapping", "transformation", F.explode("GROUP").alias("g")).select(
             "mapping", "transformation", F.col("g._NAME").alias("name"), F.col("g._TYPE").alias("type"),
             F.col("g._EXPRESSION").alias("expression")),
+        "variables": of_mapping(_VARIABLE, "MAPPINGVARIABLE", folder=True).select(
+            "mapping", F.col("e._NAME").alias("name"), F.col("e._DATATYPE").alias("data_type"), F.col("e._DEFAULTVALUE").alias("default"),
+            (F.upper("e._ISPARAM") == "YES").alias("is_parameter")),
         "instances": of_mapping(_INSTANCE, "INSTANCE").select(
             "mapping", F.col("e._NAME").alias("name"), F.col("e._TRANSFORMATION_NAME").alias("transformation"),
             F.col("e._TRANSFORMATION_TYPE").alias("kind"), F.col("e._TYPE").alias("type")),
@@ -213,7 +246,7 @@ def control_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def write_documents(docs: DataFrame, root: str) -> None:
     """Write (path, document) rows as files named exactly ``root/path``, each by the task that holds the row."""
-    uri = (root if "://" in root else f"file://{root}").rstrip("/")
+    uri = qualified(docs.sparkSession, root).rstrip("/")
 
     def write(rows) -> None:
         from pyarrow import fs
