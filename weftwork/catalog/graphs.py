@@ -71,6 +71,18 @@ def levels(t):
     return G.levels(deps, ranks)
 
 
+@query("workflow_levels", """
+WITH RECURSIVE t AS (SELECT s_suppkey AS k, 'wf' || CAST(s_nationkey % 3 AS VARCHAR) AS workflow, s_nationkey * 10 AS o FROM supplier),
+r AS (SELECT k, workflow, dense_rank() OVER (PARTITION BY workflow ORDER BY o) - 1 AS rank FROM t),
+lv(k, workflow, level) AS (SELECT k, workflow, rank FROM r UNION SELECT c.k, c.workflow, level + 1 FROM lv p JOIN r c ON CAST(floor(c.k / 2) AS BIGINT) = p.k AND c.workflow = p.workflow AND c.k > 1)
+SELECT workflow, 'T' || CAST(k AS VARCHAR) AS task, max(level) AS level FROM lv GROUP BY 1, 2""")
+def workflow_levels(t):
+    name = lambda k: F.concat(F.lit("T"), k.cast("bigint").cast("string"))
+    tasks = t.supplier.select(F.concat(F.lit("wf"), (c("s_nationkey") % 3).cast("string")).alias("workflow"), name(c("s_suppkey")).alias("task"), (c("s_nationkey") * 10).alias("execution_order"))
+    deps = t.supplier.filter("s_suppkey > 1").select(name(c("s_suppkey")).alias("task"), name(F.floor(c("s_suppkey") / 2)).alias("depends_on"))
+    return G.workflow_levels(tasks, deps).withColumn("level", c("level").cast("bigint"))
+
+
 @query("cycles", f"""
 WITH RECURSIVE e AS (SELECT src, dst FROM ({duck(STEPS)}) x WHERE src <> dst), walk(a, b) AS (SELECT src, dst FROM e UNION SELECT a, dst FROM walk JOIN e ON b = src)
 SELECT DISTINCT a AS node FROM walk WHERE a = b""")

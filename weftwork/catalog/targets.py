@@ -67,14 +67,29 @@ def write_upsert(t):
     return _written(t, "upsert", (W.upsert(old, changed.unionByName(added), ["c_custkey"]), W.TRUNCATE_INSERT))
 
 
+@query("write_upsert_partitions", """
+WITH s AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' OR o_orderkey % 20 = 0 THEN 'M' ELSE o_orderstatus END AS o_orderstatus, o_totalprice + 1 AS o_totalprice
+  FROM orders WHERE o_orderstatus = 'P' OR o_orderkey % 10 = 0)
+SELECT * FROM s UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM s)""")
+def write_upsert_partitions(t):
+    """Orders upserted in place: some change, some move to a new partition, one partition empties; each change comes twice."""
+    path = fresh_path(t.spark, "orders")
+    orders = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    orders.write.partitionBy("o_orderstatus").parquet(path)
+    moves = F.when((c("o_orderstatus") == "P") | (c("o_orderkey") % 20 == 0), "M").otherwise(c("o_orderstatus"))
+    changed = orders.filter("o_orderstatus = 'P' OR o_orderkey % 10 = 0").withColumns({"o_orderstatus": moves, "o_totalprice": c("o_totalprice") + 1})
+    W.upsert_table(changed.withColumn("o_totalprice", c("o_totalprice") - 2).unionByName(changed), path, ["o_orderkey"], "o_orderstatus", ["o_totalprice"])
+    return t.spark.read.parquet(path).select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
 @query("multi_target", """
-SELECT 'detail' AS target, o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_totalprice > 50000
-UNION ALL SELECT 'flags', o_orderkey, 1 FROM orders WHERE o_totalprice > 50000 AND o_orderstatus = 'O'""")
+SELECT 'detail' AS target, o_orderkey AS k, round(o_totalprice, 1) AS v FROM orders
+UNION ALL SELECT 'flags', o_orderkey, 1 FROM orders WHERE o_orderstatus = 'O'""")
 def multi_target(t):
-    parent = t.orders.filter("o_totalprice > 50000")
+    parent = t.orders.select("o_orderkey", "o_orderstatus", F.round("o_totalprice", 1).alias("o_totalprice"))
     root = fresh_path(t.spark, "multi")
-    W.write_targets(parent, {f"{root}/detail": (parent.select(c("o_orderkey").alias("k"), c("o_totalprice").alias("v")), W.APPEND),
-                             f"{root}/flags": (parent.filter("o_orderstatus = 'O'").select(c("o_orderkey").alias("k"), F.lit(1.0).alias("v")), W.APPEND)})
+    W.write_targets(parent, {f"{root}/detail": (lambda p: p.select(c("o_orderkey").alias("k"), c("o_totalprice").alias("v")), W.APPEND),
+                             f"{root}/flags": (lambda p: p.filter("o_orderstatus = 'O'").select(c("o_orderkey").alias("k"), F.lit(1.0).alias("v")), W.APPEND)})
     back = lambda n: t.spark.read.parquet(f"{root}/{n}").select(F.lit(n).alias("target"), "k", "v")
     return back("detail").union(back("flags"))
 

@@ -8,7 +8,7 @@ third of all edges is never gathered into one row), and rounds end when the fron
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwork.session import cut
@@ -94,6 +94,24 @@ def levels(deps: DataFrame, ranks: DataFrame) -> DataFrame:
             return now
 
 
+def workflow_levels(tasks: DataFrame, deps: DataFrame) -> DataFrame:
+    """(workflow, task, level): the dense rank of the task's execution order inside its workflow, pushed behind what it depends on there.
+
+    ``tasks`` holds (workflow, task, execution_order), NULL order reads as 0; ``deps`` (task, depends_on), of which only those inside one
+    workflow count.
+    """
+    tasks = tasks.select("workflow", "task", F.coalesce("execution_order", F.lit(0)).alias("execution_order"))
+    orders = tasks.select("workflow", "execution_order").distinct()  # a workflow's distinct orders, not its tasks
+    rank = F.dense_rank().over(Window.partitionBy("workflow").orderBy("execution_order")) - 1
+    node = lambda workflow, task: F.to_json(F.struct(F.col(workflow).alias("w"), F.col(task).alias("t")))
+    ranked = cut(tasks.join(orders.withColumn("rank", rank), ["workflow", "execution_order"]).withColumn("node", node("workflow", "task")))
+    other = tasks.select(F.col("workflow").alias("w2"), F.col("task").alias("depends_on"))
+    inside = (deps.join(tasks.select("workflow", "task"), "task").join(other, "depends_on").filter(F.col("workflow") == F.col("w2"))
+              .select(node("workflow", "task").alias("node"), node("workflow", "depends_on").alias("depends_on")))
+    found = levels(inside, ranked.select("node", "rank"))
+    return ranked.join(found, "node").select("workflow", "task", "level")
+
+
 def trim(edges: DataFrame) -> DataFrame:
     """Edges left after nodes without an incoming or an outgoing edge are removed again and again."""
     size = edges.count()

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftwork.session import stage
+
 # Write-mode and partition-type names.
 APPEND = "APPEND"
 TRUNCATE_INSERT = "TRUNCATE_INSERT"
@@ -50,19 +53,49 @@ def write_target(df: DataFrame, path: str, mode: str = APPEND, partitions: list[
         raise ValueError(f"unknown write mode {mode!r}")
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """The target after updating rows whose key is in ``source`` and inserting the others; ``source`` keys are unique."""
+def upsert(target: DataFrame, source: DataFrame, keys: list[str], order_by: list[str] | None = None) -> DataFrame:
+    """The target after updating rows whose key is in ``source`` and inserting the others.
+
+    Of several source rows with one key the last by ``order_by`` counts; without an order, equal keys are an error when the plan runs.
+    """
+    source = _one_a_key(source, keys, order_by)
     return target.join(source.select(*keys), keys, "left_anti").unionByName(source)
 
 
-def write_targets(parent: DataFrame, targets: dict[str, tuple[DataFrame, str]]) -> None:
-    """One flow, N targets ``path → (DataFrame of parent, mode)``; the shared parent is computed once."""
-    parent.persist()
-    try:
-        for path, (df, mode) in targets.items():
-            write_target(df, path, mode)
-    finally:
-        parent.unpersist()
+def _one_a_key(source: DataFrame, keys: list[str], order_by: list[str] | None) -> DataFrame:
+    rest = F.struct(*[c for c in source.columns if c not in keys] or keys)
+    best = F.max_by(rest, F.struct(*order_by)) if order_by else F.when(F.count("*") > 1, F.raise_error(F.lit("several source rows with one key need order_by"))).otherwise(F.any_value(rest))
+    one = source.groupBy(*keys).agg(best.alias("_row"))
+    return one.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in source.columns])
+
+
+def upsert_table(source: DataFrame, path: str, keys: list[str], partition: str, order_by: list[str] | None = None) -> None:
+    """Upsert into the Parquet table at ``path``, partitioned by ``partition``; only partitions that gain or lose a row are rewritten.
+
+    The new content of those partitions is written below the shared folder first, because the table can't be read while it is
+    overwritten. A key may move to another partition; a partition that loses its last row is removed. Partition names, as many as folders, reach the driver.
+    """
+    spark = source.sparkSession
+    source = stage(_one_a_key(source, keys, order_by), "upsert")
+    target = spark.read.parquet(path).select(*source.columns)
+    found = target.join(source.select(*keys), keys, "left_semi").select(partition)
+    touched = stage(found.union(source.select(partition)).distinct(), "touched")
+    old = target.join(touched, target[partition].eqNullSafe(touched[partition]), "left_semi")
+    fresh = stage(old.join(source.select(*keys), keys, "left_anti").unionByName(source), "upserted")
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    kept = fresh.select(partition).distinct()
+    for row in touched.join(kept, touched[partition].eqNullSafe(kept[partition]), "left_anti").toLocalIterator():
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        value = "__HIVE_DEFAULT_PARTITION__" if row[0] is None else spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(row[0]))
+        folder = hadoop(f"{path}/{partition}={value}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def write_targets(parent: DataFrame, targets: dict[str, tuple[Callable[[DataFrame], DataFrame], str]]) -> None:
+    """One flow, N targets ``path → (function of the parent, mode)``; the parent is computed once, below the shared folder."""
+    shared = stage(parent, "shared")
+    for path, (flow, mode) in targets.items():
+        write_target(flow(shared), path, mode)
 
 
 def feed_name(pattern: str, now: datetime) -> str:
