@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftwork.session import fresh_path, tune
+from weftwork.session import stage, tune
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -72,17 +72,6 @@ def free(df: DataFrame, base: str) -> str:
     return base
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the folder all executors share and go on from the files.
-
-    Later steps read only the columns they need, and a lost executor never changes
-    row numbers or sketches that were already used.
-    """
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def numbered(df: DataFrame, name: str, label: str) -> DataFrame:
     """``df`` staged with a unique number a row (not dense)."""
     return stage(df.withColumn(name, F.monotonically_increasing_id()), label)
