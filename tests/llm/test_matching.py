@@ -78,8 +78,8 @@ def test_op7_matches_brute_force(spark):
 
 def test_trees_find_every_bounded_pair():
     r = np.random.default_rng(1)
-    vecs = r.poisson(2.0, (300, ngram_join.GROUPS)).astype("<u4")
-    vecs[150:] = np.maximum(0, vecs[:150].astype(int) + r.integers(-1, 2, (150, ngram_join.GROUPS)) * (r.random((150, ngram_join.GROUPS)) < 0.2)).astype("<u4")
+    vecs = r.poisson(0.6, (300, ngram_join.GROUPS)).astype(np.int32)
+    vecs[150:] = np.maximum(0, vecs[:150] + r.integers(-1, 2, (150, ngram_join.GROUPS)) * (r.random((150, ngram_join.GROUPS)) < 0.1))
     n, comps = vecs.sum(1).astype(np.int64), np.arange(300) // 2
     tree = ngram_join.RTree(vecs, n, comps)
     got = {(min(a, b), max(a, b)) for a, b in zip(*tree.pairs(tree))}
@@ -87,6 +87,13 @@ def test_trees_find_every_bounded_pair():
     assert want and want <= got and all(180 * np.minimum(vecs[a], vecs[b]).sum() >= 80 * (n[a] + n[b]) for a, b in got if a != b)
 
 
+def test_points_bound_the_overlap_even_when_counts_are_cut():
+    a, b = (np.unique(np.random.default_rng(i).integers(0, 2**40, 5000).astype(np.uint64)) for i in (1, 2))
+    x, y = ngram_join.coordinates([ngram_join.point(a), ngram_join.point(np.union1d(a, b))])
+    assert np.minimum(x, y).sum() == len(a)
+    assert ngram_join.coordinates([np.full(ngram_join.GROUPS, 65535, "<u2").tobytes()]).min() > 65535
+
+
 def test_keep_one_of_each_group(spark, docs, awkward):
     df = docs(awkward)
     out = ngram_join.keep_one(df)
