@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.plans import graph, lineage
-from weftwork.session import fresh_path
+from weftwork.session import fresh_path, stage
 
 # Run-time data types, predefined functions, operators, match policies, other call markers.
 DATA_TYPES = ["String", "BigDecimal", "Long", "Integer", "LocalDateTime", "Timestamp", "LocalDate", "Boolean"]
@@ -393,7 +393,7 @@ def conformance(docs: DataFrame) -> DataFrame:
         found = fn(corpus)
         fails.append(found.select("recipe", F.lit(rid).alias("rule_id"), F.lit(severity(rid)).alias("severity"),
                                   F.lit("fail").alias("status"), "path", "message"))
-    failed = reduce(DataFrame.unionByName, fails)
+    failed = stage(reduce(DataFrame.unionByName, fails), "findings")  # read twice below
     rules = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.lit(severity(r)).alias("severity")) for r in RULES])
     wanted = docs.select("recipe", F.explode(rules).alias("r")).select("recipe", "r.rule_id", "r.severity")
     passed = wanted.join(failed.select("recipe", "rule_id").distinct(), ["recipe", "rule_id"], "left_anti")

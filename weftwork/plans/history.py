@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.functions.dates import duration_seconds, parse_duration
-from weftwork.operators.aggregates import percentile_nearest_rank
 from weftwork.operators.windows import first_by
 
 # Display rank of a layer.
@@ -43,21 +42,43 @@ def nearest_date(requests: DataFrame, dates: DataFrame, requested: str = "reques
     return requests.join(solved, requested, "left")
 
 
+def _nearest_ranks(runs: DataFrame, value: str, wanted: dict[str, float]) -> DataFrame:
+    """(recipe_filename, one column a wanted percentile, ``mean``) from counts of distinct values, which durations keep few.
+
+    Equal values of a recipe collapse to a count before they meet, so an array is bounded by the distinct durations however many runs there are.
+    """
+    counts = runs.filter(F.col(value).isNotNull()).groupBy("recipe_filename", value).agg(F.count("*").alias("n"))
+    lists = counts.groupBy("recipe_filename").agg(F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), "n"))).alias("vs"),
+                                                  F.sum("n").alias("total"), (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"))
+
+    def at(p: float) -> Column:
+        rank = F.greatest(F.lit(1), F.ceil(F.lit(p / 100.0) * F.col("total")))
+        start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast(dict(runs.dtypes)[value]).alias("v"))
+        step = lambda acc, x: F.struct((acc["seen"] + x["n"]).alias("seen"), F.when(acc["seen"] < rank, x["v"]).otherwise(acc["v"]).alias("v"))
+        return F.aggregate("vs", start, step)["v"]
+
+    return lists.select("recipe_filename", "mean", *[at(p).alias(n) for n, p in wanted.items()])
+
+
 def recipe_rollup(runs: DataFrame, entries: DataFrame, order: str = "entry_order") -> DataFrame:
-    """Per recipe: layer, latest run, ok/ko, history, avg/p50/p95 minutes."""
+    """Per recipe: layer, latest run, ok/ko, history, avg/p50/p95 minutes.
+
+    ``history`` has one entry a day: of several runs of a day the one with the largest job id.
+    """
     timed = runs.withColumn("minutes", parse_duration(F.col("avg_job_duration_in_mins_sec")))
-    base = timed.groupBy("recipe_filename").agg(
-        F.max_by(F.struct("run_date", "status", "job_id", "cluster_name"), "run_date").alias("l"),
-        F.count_if(F.col("status") == "SUCCESS").alias("ok"), F.count_if(F.col("status") == "FAILED").alias("ko"),
-        F.array_sort(F.collect_list(F.struct("run_date", "status", "minutes"))).alias("history"),  # one a day
-        F.avg("minutes").alias("avg_min"))
-    ranks = percentile_nearest_rank(timed, ["recipe_filename"], "minutes", {"p50_min": 50, "p95_min": 95})
+    daily = timed.groupBy("recipe_filename", "run_date").agg(
+        F.max_by(F.struct("status", "minutes", "job_id", "cluster_name"), F.coalesce("job_id", F.lit(""))).alias("d"),
+        F.count_if(F.col("status") == "SUCCESS").alias("ok"), F.count_if(F.col("status") == "FAILED").alias("ko"))
+    base = daily.groupBy("recipe_filename").agg(
+        F.max_by(F.struct("run_date", "d"), "run_date").alias("l"), F.sum("ok").alias("ok"), F.sum("ko").alias("ko"),
+        F.array_sort(F.collect_list(F.struct("run_date", F.col("d.status").alias("status"), F.col("d.minutes").alias("minutes")))).alias("history"))
+    ranks = _nearest_ranks(timed, "minutes", {"p50_min": 50, "p95_min": 95}).withColumnRenamed("mean", "avg_min")
     layers = first_by(entries, ["recipe"], ["layer"], [order]).withColumnRenamed("recipe", "recipe_filename")
     return (base.join(ranks, "recipe_filename", "left").join(layers, "recipe_filename", "left")
             .select("recipe_filename", F.coalesce("layer", F.lit("UNKNOWN")).alias("layer"),
-                    F.col("l.run_date").alias("latest_date"), F.col("l.status").alias("latest_status"),
+                    F.col("l.run_date").alias("latest_date"), F.col("l.d.status").alias("latest_status"),
                     "ok", "ko", "history", "avg_min", "p50_min", "p95_min",
-                    F.col("l.job_id").alias("last_job_id"), F.col("l.cluster_name").alias("last_cluster")))
+                    F.col("l.d.job_id").alias("last_job_id"), F.col("l.d.cluster_name").alias("last_cluster")))
 
 
 def display_status(status: Column) -> Column:
@@ -126,14 +147,13 @@ def task_stats(runs: DataFrame, tasks: DataFrame) -> DataFrame:
     """
     timed = runs.withColumn("seconds", duration_seconds(F.col("avg_job_duration_in_mins_sec")))
     ran = timed.filter(F.col("seconds") > 0)
-    ranks = percentile_nearest_rank(ran, ["recipe_filename"], "seconds", {"p50": 50, "p95": 95, "p99": 99})
-    means = ran.groupBy("recipe_filename").agg(F.floor(F.avg("seconds") + 0.5).alias("avg_time_s"))
+    ranks = _nearest_ranks(ran, "seconds", {"p50": 50, "p95": 95, "p99": 99}).withColumn("avg_time_s", F.floor(F.col("mean") + 0.5)).drop("mean")
     state = F.when(run_state(F.col("status")) == "running", "RUNNING").otherwise(display_status(F.upper(F.trim("status"))))
     daily = runs.groupBy("recipe_filename", "run_date").agg(F.min_by(state, F.col("job_id")).alias("state"))
     known = daily.groupBy("recipe_filename").agg(F.map_from_entries(F.collect_list(F.struct("run_date", "state"))).alias("by_day"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return (tasks.select(F.col("recipe").alias("recipe_filename")).distinct().withColumn("_days", _all_dates(runs))
-            .join(known, "recipe_filename", "left").join(means, "recipe_filename", "left").join(ranks, "recipe_filename", "left")
+            .join(known, "recipe_filename", "left").join(ranks, "recipe_filename", "left")
             .select("recipe_filename", zero("avg_time_s"), zero("p50"), zero("p95"), zero("p99"),
                     F.transform("_days", lambda d: F.coalesce(F.try_element_at(F.col("by_day"), d), F.lit("PENDING"))).alias("history")))
 
