@@ -40,6 +40,34 @@ def test_snapshot_cells_may_hold_line_breaks(spark, rows, tmp_path):
     assert rows(files.snapshot_scan(spark, str(tmp_path)), "job_id", "message") == [("j1", "two\nlines")]
 
 
+def short_snapshots(root):
+    put(root, "2026_07_01/b.csv", "job_id,recipe_filename\nj1,_ETL_a.json\n")
+    put(root, "2026_07_02/b.csv", "cluster_name,status\nc2,FAILED\nrecipe_filename,cluster_name\n")
+    put(root, "2026_07_03/b.csv", "other\nx\n")
+    put(root, "2026_07_04/b.csv", HEADER)
+    put(root, "notes/wide.csv", ",".join(f"x{i}" for i in range(70)) + "\n")
+
+
+def test_snapshot_headers_may_lack_any_column(spark, rows, tmp_path):
+    short_snapshots(tmp_path)
+    want = [("", "", "", "", date(2026, 7, 3)), ("", "_ETL_a.json", "j1", "", date(2026, 7, 1)),
+            ("c2", "", "", "FAILED", date(2026, 7, 2)), ("recipe_filename", "", "", "cluster_name", date(2026, 7, 2))]
+    columns = ["cluster_name", "recipe_filename", "job_id", "status", "run_date"]
+    assert rows(files.snapshot_scan(spark, str(tmp_path)), *columns) == want
+    out = f"{tmp_path}-stream"
+    append_stream(stream_snapshots(spark, str(tmp_path)), lambda df: df, out).awaitTermination()
+    assert rows(spark.read.parquet(out), *columns) == want
+
+
+def test_snapshot_cells_beyond_the_declared_columns_are_no_silent_loss(spark, rows, tmp_path):
+    put(tmp_path, "2026_07_01/b.csv", ",".join([f"x{i}" for i in range(64)] + ["job_id", "status"]) + "\n" + "," * 64 + "j1,FAILED\n")
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        files.snapshot_scan(spark, str(tmp_path)).collect()
+    assert rows(files.snapshot_scan(spark, str(tmp_path), columns=66), "job_id", "status") == [("j1", "FAILED")]
+    with pytest.raises(Exception, match="MALFORMED_CSV_RECORD"):
+        append_stream(stream_snapshots(spark, str(tmp_path)), lambda df: df, f"{tmp_path}-stream").awaitTermination()
+
+
 def test_reusable_transformations_of_a_folder(spark, rows, tmp_path):
     put(tmp_path, "m.xml", """<POWERMART><FOLDER NAME="f"><TRANSFORMATION NAME="EXP_SHARED" TYPE="Expression"><TRANSFORMFIELD NAME="x" PORTTYPE="OUTPUT" EXPRESSION="1"/></TRANSFORMATION>
 <MAPPINGVARIABLE NAME="$$G" DATATYPE="string" ISPARAM="YES" DEFAULTVALUE="d"/><MAPPING NAME="m"><TRANSFORMATION NAME="EXP" TYPE="Expression"><TRANSFORMFIELD NAME="y"/></TRANSFORMATION>

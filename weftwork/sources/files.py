@@ -15,6 +15,8 @@ from weftwork import session as _session  # noqa: F401  lets functions of this p
 # Columns of a job-history snapshot.
 SNAPSHOT_COLUMNS = ["cluster_name", "recipe_filename", "job_id", "app_start_iso",
                     "avg_job_duration_in_mins_sec", "status", "message"]
+# End of a dated file's path.
+DATED = r"(\d{4}_\d{2}_\d{2})/[^/]*$"
 # Layer directories of control statements.
 CONTROL_LAYERS = ["STG", "ODS", "ETL", "DWH", "RDM", "QDM", "CDM", "OUTPUT"]
 # Tokens that stand for a step kind or a key in anonymised recipes.
@@ -26,26 +28,33 @@ KEY_ALIASES = {"greencliff": "groups", "weststone": "fields", "oakcombe2": "dq2"
 def snapshot_scan(spark: SparkSession, root: str, columns: int = 64) -> DataFrame:
     """All dated snapshots below ``root``; the date is in the directory name, a missing cell is ''.
 
-    Columns are taken by the names in each file's own header, in any order; a column that a header lacks is ''. Quoted
-    cells may hold line breaks. ``columns`` is the largest number of columns a file may have.
+    Each file's first record is its header, whatever it holds. Columns are taken by its names, in any order; a column that
+    a header lacks is ''. Quoted cells may hold line breaks. ``columns`` is the largest number of columns a file may have; a wider one is an error.
     """
     cells = [f"_c{i}" for i in range(columns)]
-    rows = (spark.read.schema(", ".join(f"{x} string" for x in cells)).option("recursiveFileLookup", True)
-            .option("multiLine", True).option("escape", '"').csv(root).select("*", F.col("_metadata.file_path").alias("_file")))
-    return _dated(named_cells(rows.select("_file", F.array(*cells).alias("_cells"))))
 
+    def read(header: bool) -> DataFrame:
+        return (spark.read.schema(", ".join(f"{x} string" for x in cells)).option("recursiveFileLookup", True).option("multiLine", True)
+                .option("escape", '"').option("maxColumns", columns).option("header", header).csv(root)
+                .filter(F.col("_metadata.file_path").rlike(DATED))  # other files are not opened
+                .select(F.col("_metadata.file_path").alias("_file"), F.array(*cells).alias("_cells")))
 
-def named_cells(rows: DataFrame) -> DataFrame:
-    """(file, cells) rows of files that each hold a header row → the snapshot columns and the file."""
-    is_header = F.array_contains("_cells", "recipe_filename") & F.array_contains("_cells", "cluster_name")
+    return _dated(named_cells(read(True), read(False)))
+
+
+def named_cells(rows: DataFrame, records: DataFrame) -> DataFrame:
+    """(file, cells) data rows, and all records of the same files → the snapshot columns and the file.
+
+    A multi-line file is one split, read in order, so the smallest number in a file is its first record.
+    """
     places = F.struct(*[F.array_position("_cells", n).alias(n) for n in SNAPSHOT_COLUMNS])
-    headers = rows.filter(is_header).groupBy("_file").agg(F.max(places).alias("_at"))  # one row a file
+    headers = records.withColumn("_n", F.monotonically_increasing_id()).groupBy("_file").agg(F.min_by(places, "_n").alias("_at"))  # one row a file
     at = lambda n: F.when(F.col(f"_at.{n}") > 0, F.element_at("_cells", F.col(f"_at.{n}").cast("int")))
-    return rows.filter(~F.coalesce(is_header, F.lit(False))).join(headers, "_file").select("_file", *[at(n).alias(n) for n in SNAPSHOT_COLUMNS])
+    return rows.join(headers, "_file").select("_file", *[at(n).alias(n) for n in SNAPSHOT_COLUMNS])
 
 
 def _dated(rows: DataFrame) -> DataFrame:
-    day = F.regexp_extract("_file", r"(\d{4}_\d{2}_\d{2})/[^/]*$", 1)
+    day = F.regexp_extract("_file", DATED, 1)
     return (rows.withColumn("run_date", F.try_to_timestamp(day, F.lit("yyyy_MM_dd")).cast("date")).drop("_file")
             .filter(F.col("run_date").isNotNull()).fillna("", SNAPSHOT_COLUMNS))
 

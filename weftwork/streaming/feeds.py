@@ -21,11 +21,12 @@ def stream_snapshots(spark: SparkSession, root: str, max_files: int = 1000, colu
     """The rows of `snapshot_scan` for files as they appear, columns taken by each file's header.
 
     A daily file is read as one text, so that its header is at hand without state; a quoted line break is not supported here.
+    ``columns`` is the largest number of columns a file may have; a wider one is an error.
     """
     files = (spark.readStream.schema("value string").format("text").option("wholetext", True).option("recursiveFileLookup", True)
              .option("maxFilesPerTrigger", max_files).load(root).select(F.col("_metadata.file_path").alias("_file"), "value"))
     cells = ", ".join(f"c{i} string" for i in range(columns))
-    parsed = lambda line: F.from_csv(line, F.lit(cells), {"escape": '"'})
+    parsed = lambda line: F.from_csv(line, F.lit(cells), {"escape": '"', "maxColumns": str(columns)})
     as_array = lambda row: F.array(*[row[f"c{i}"] for i in range(columns)])
     lines = files.withColumn("_lines", F.filter(F.split("value", r"\r?\n"), lambda x: x != ""))
     rows = (lines.withColumn("_header", as_array(parsed(F.col("_lines")[0])))
