@@ -28,3 +28,13 @@ def test_entry_runs(spark):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL) <= set(entry.queries())
+
+
+def test_lookups_over_whole_tables_have_hits_and_misses(spark):
+    customers = spark.read.parquet(f"{ROOT}/customer.parquet").count()
+    hits = QUERIES["connected_all"](spark, ROOT).filter("first_order IS NOT NULL").count()
+    assert hits == QUERIES["unconnected_all"](spark, ROOT).filter("doubled >= 0").count()
+    orders = spark.read.parquet(f"{ROOT}/orders.parquet")
+    assert 0 < hits == orders.filter("o_custkey % 5 <> 0").select("o_custkey").distinct().count() < customers
+    shifted = QUERIES["nearest_date_all"](spark, ROOT).filter("dayofmonth(requested) % 3 = 0 AND requested <> nearest").count()
+    assert shifted > 0

@@ -46,6 +46,21 @@ def nearest_date(t):
     return H.nearest_date(requests, available).select("id", "requested", "nearest")
 
 
+@query("nearest_date_all", """
+WITH days AS (SELECT DISTINCT CASE WHEN day(ts) % 3 = 0 THEN CAST(ts AS DATE) - 400 ELSE CAST(ts AS DATE) END AS d FROM events),
+req AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS r FROM orders UNION SELECT DISTINCT CAST(ts AS DATE) FROM events),
+solved AS (SELECT r, arg_min(d, (abs(date_diff('day', d, r)), d)) AS nearest FROM req LEFT JOIN days ON true GROUP BY r)
+SELECT o_orderkey AS id, r AS requested, nearest FROM orders JOIN solved ON CAST(o_orderdate AS DATE) = r
+UNION ALL SELECT event_id, r, nearest FROM events JOIN solved ON CAST(ts AS DATE) = r""")
+def nearest_date_all(t):
+    """`nearest_date` over the dates of all events; each third day is shifted away, which leaves gaps and ties."""
+    day = F.to_date("ts")
+    available = t.events.select(F.when(F.dayofmonth("ts") % 3 == 0, F.date_sub(day, 400)).otherwise(day).alias("run_date"))
+    requests = t.orders.select(c("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("requested")).union(
+        t.events.select("event_id", day))
+    return H.nearest_date(requests, available).select("id", "requested", "nearest")
+
+
 _ROLLUP = f"""
 WITH r AS (SELECT *, {_SECS} / 60.0::DOUBLE AS v FROM {_R} q),
 ranked AS (SELECT recipe_filename, v, row_number() OVER (PARTITION BY recipe_filename ORDER BY v) AS k,

@@ -94,6 +94,29 @@ def unconnected(t):
                           [("c_custkey", "o_custkey")], "o_totalprice", value, "First", _ORDER)
 
 
+# Whole orders; those of each fifth customer have keys shifted away, so that customer misses.
+_AWAY = """(SELECT CASE WHEN o_custkey % 5 = 0 THEN 1000000000 + o_custkey ELSE o_custkey END AS o_custkey, o_orderkey, o_totalprice, o_orderdate, o_orderstatus FROM orders)"""
+_FIRST_AWAY = _match("First").replace("FROM orders", f"FROM {_AWAY} w")
+
+
+def _away(t):
+    return t.orders.withColumn("o_custkey", F.when(c("o_custkey") % 5 == 0, 1000000000 + c("o_custkey")).otherwise(c("o_custkey")))
+
+
+@query("connected_all", f"SELECT c_custkey, c_name, ok AS first_order FROM customer LEFT JOIN {_FIRST_AWAY} o ON c_custkey = o_custkey")
+def connected_all(t):
+    """`connected` over whole orders."""
+    return L.lookup(_customers(t), _away(t), [("c_custkey", "o_custkey")], {"first_order": "o_orderkey"}, "First", _ORDER)
+
+
+@query("unconnected_all", f"""
+SELECT c_custkey, CASE WHEN tp IS NULL THEN -1 ELSE round(tp * 2, 2) END AS doubled FROM customer LEFT JOIN {_FIRST_AWAY} o ON c_custkey = o_custkey""")
+def unconnected_all(t):
+    """`unconnected` over whole orders."""
+    value = lambda v: F.when(v.isNull(), F.lit(-1.0)).otherwise(F.round(v * 2, 2))
+    return L.lookup_value(t.customer.select("c_custkey"), "doubled", _away(t), [("c_custkey", "o_custkey")], "o_totalprice", value, "First", _ORDER)
+
+
 @query("match_first", f"SELECT c_custkey, c_name, ok, tp FROM customer LEFT JOIN {_match('First')} o ON c_custkey = o_custkey")
 def match_first(t):
     return L.lookup(_customers(t), t.orders, [("c_custkey", "o_custkey")], {"ok": "o_orderkey", "tp": "o_totalprice"}, "First", _ORDER)
