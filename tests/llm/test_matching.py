@@ -153,6 +153,14 @@ def test_leaks_of_awkward_rows(spark, docs, awkward, monkeypatch):
     assert decontaminate.without_leaks(df, bench.limit(0)).count() == len(rows)
 
 
+def test_short_items_are_found_exactly_as_whole_words(spark, docs):
+    bench = spark.createDataFrame([(1, "Tiny item"), (2, "e=mc^2 (+/-)"), (3, "{}+-"), (4, "fourteen bytes"), (5, "x")], "item_id bigint, text string")
+    df = docs([(1, "a TINY, item.", "a"), (2, "a tiny items", "a"), (3, "so E = mc^2 holds", "a"), (4, "fourteen byts", "a"), (5, "x", "b"), (6, "xx {}+-", "b"), (7, "tiny\nitem x tiny item", "b")])
+    found = decontaminate.leaks(df, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance, r.budget, r.end) for r in found) == [(1, 1, 0, 0, 12), (3, 2, 0, 0, 10), (5, 5, 0, 0, 2), (7, 1, 0, 0, 10), (7, 5, 0, 0, 12)]
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(df, bench).collect()) == [2, 4, 6]
+
+
 def test_op5_finds_exactly_the_planted_items(spark):
     root = "/root/testdata/sf0.01"
     plain = lambda t: re.sub(r"[\W_]+", " ", t.lower()).strip()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftwork.llm.common import col, free, query, read, stage, stream_udf
 
 RATE = 0.1            # errors allowed a byte of an item
-MIN_BYTES = 20        # a shorter item can't be told from ordinary text and is not searched
+MIN_BYTES = 20        # a shorter item is easily near ordinary text, so it is searched exactly, as whole words
 BLOCK_BYTES = 1 << 20  # bytes of items searched at once; more items take more passes over the documents
 
 _PLAIN = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -21,6 +21,11 @@ def normal(text: str | None) -> str:
     return b" ".join((text or "").lower().encode("utf-8", "replace").translate(_PLAIN).split()).decode("latin-1")
 
 
+def whole_words(text: str, min_bytes: int = MIN_BYTES) -> str:
+    """A normal text of less than ``min_bytes`` marked by a line break, which no normal text holds; others as they are."""
+    return f"\n{text}" if 0 < len(text) < min_bytes else text
+
+
 def masks_of(pattern: str) -> dict[str, int]:
     masks: dict[str, int] = defaultdict(int)
     for i, c in enumerate(pattern):
@@ -65,14 +70,18 @@ class Items:
     An item of m bytes has a budget of k = rate·m errors and k + 1 pieces, one of which any match holds unchanged. Pieces are joined in
     pairs up to the item; a run of p pieces may hold p - 1 errors. If a run matches within its budget so does one of its
     halves, so a match shows on the whole way up from some piece, and chance hits end after a short comparison.
+    An item that `whole_words` marked has no budget: it is one piece, with a blank at each end.
     """
 
     def __init__(self, items: list[tuple[list[int | None], str]], rate: float = RATE):
         import ahocorasick
 
-        self.items, at = [], defaultdict(list)
+        self.items, self.exact, at = [], set(), defaultdict(list)
         for number, (ids, text) in enumerate(items):
             k = int(rate * len(text))
+            if text.startswith("\n"):
+                k, text = 0, f" {text[1:]} "
+                self.exact.add(number)
             edges = [i * len(text) // (k + 1) for i in range(k + 2)]
             ways: list[list[tuple]] = [[] for _ in range(k + 1)]
 
@@ -137,7 +146,7 @@ class Items:
                     if j - i == k + 1 and (number not in best or (distance, end) < best[number]):
                         best[number] = (distance, end)
                 if not k and number not in best:
-                    best[number] = (0, last + 1)
+                    best[number] = (0, last + (number not in self.exact))
         return [(number, d, e) for number, (d, e) in sorted(best.items())]
 
 
@@ -146,10 +155,10 @@ def item_blocks(benchmark: DataFrame, item_id="item_id", text="text", block_byte
     def plain(texts):
         import pandas as pd
 
-        return pd.Series([normal(t) for t in texts])
+        return pd.Series([whole_words(normal(t), min_bytes) for t in texts])
 
     items = benchmark.select(col(item_id).cast("bigint").alias("item_id"), F.pandas_udf(plain, "string")(col(text)).alias("text"))
-    items = stage(items.where(F.length("text") >= min_bytes), "items")
+    items = stage(items.where(F.length("text") > 0), "items")
     blocks = 1 + (items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_bytes
     for b in range(blocks):
         own = defaultdict(list)
@@ -181,7 +190,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text="text", rate: float = RATE
     """A row for each row of ``docs`` and test item whose text it holds within ``rate`` errors a byte.
 
     The columns of ``docs`` without the text, then ``item_id``, ``distance``, ``budget`` and ``end`` (of the match in the normal text). Case,
-    punctuation and blanks don't count. NULL and empty texts hold nothing; items below MIN_BYTES are not searched; items with
+    punctuation and blanks don't count. NULL and empty texts hold nothing; an item whose normal text is below MIN_BYTES must be
+    there exactly, as whole words (``budget`` 0); an item without letters, digits and non-ASCII characters has no normal text and is in no row; items with
     equal texts are all named; repeated rows of ``docs`` are found each on its own. No document or no item: no rows.
     """
     rest = [c for c in docs.columns if c != text]
