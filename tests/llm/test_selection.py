@@ -1,6 +1,7 @@
 """Quality votes, source mixing, sharding and site lines on small and awkward inputs."""
 
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -141,6 +142,13 @@ def test_op2_is_reproducible(spark):
     assert one == two
 
 
+def test_op2_places_whole_documents_as_shard_does(spark):
+    read = spark.read.parquet(f"{ROOT}/documents.parquet")
+    want = Counter((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode()), r["shard"], r["slot"]) for r in sharding.shard(read).collect())
+    got = QUERIES["op2_shard_interleave"](spark, ROOT)
+    assert Counter(map(tuple, got.select("doc_id", "size", "text_crc32", "shard", "slot").collect())) == want
+
+
 def test_site_lines(spark):
     rows = [(i, f"http://u@H.example:80/{i}", f"menu\nown {i}\nmenu") for i in range(6)] + [(6, "http://h.example/x", None), (7, None, "menu"), (8, "http://small/", "menu\nx"), (8, "http://small/", "menu\nx")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, text string").withColumn("Host", F.lit("kept"))

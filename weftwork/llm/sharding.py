@@ -48,9 +48,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, doc_id="doc_id", text="text", s
 
 @query("op2_shard_interleave")
 def op2(spark, root):
-    """The shuffle key needs the text, so it is taken before the text is dropped; only narrow rows are staged."""
-    docs = read(spark, root, "documents")
-    bytes_ = F.coalesce(F.octet_length("text"), F.lit(0))
-    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8"))
-    narrow = docs.select("doc_id", "source", F.md5(F.coalesce("text", F.lit(""))).alias("text"), (bytes_ + 16).cast("bigint").alias("size"), crc.cast("bigint").alias("text_crc32"))
-    return shard(narrow).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """Whole texts go through the operator; size and checksum are taken from what it returns."""
+    out = shard(read(spark, root, "documents").select("doc_id", "text", "source"))
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("bigint")
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).cast("bigint")
+    return out.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
