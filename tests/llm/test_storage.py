@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -10,6 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from weftwork.llm import chat, tokens, warc
 from weftwork.llm.common import QUERIES, ready
@@ -160,6 +162,17 @@ def test_a_changed_payload_is_an_error(spark):
         warc.read_archive(spark, f"{path}-bad").collect()
 
 
+def test_op3_reads_its_columns_from_rebuilt_records(spark):
+    path, got = archive(spark, PAGES)
+    records = warc.read_archive(spark, path)
+    want = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got)
+    assert Counter(map(tuple, warc.captures(records).collect())) == want
+    other = records.withColumn("record", F.encode(F.replace(F.decode("record", "utf-8"), F.lit("short"), F.lit("longer")), "utf-8"))
+    assert {r.payload_digest for r in warc.captures(other).collect() if r.page_id in (5, 6)} == {hashlib.sha1(b"longer").hexdigest()}
+    plan = QUERIES["op3_warc_archive"](spark, ROOT)._jdf.queryExecution().optimizedPlan().toString()
+    assert "http_header" in plan  # pruned away before, when no record was rebuilt
+
+
 def test_exported_files_are_warc(spark):
     path, got = archive(spark, PAGES)
     warc.export_warc(warc.read_archive(spark, path), f"{path}-warc")

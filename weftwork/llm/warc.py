@@ -88,6 +88,20 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         page("WARC-Refers-To").alias("refers_to"))
 
 
+def captures(records: DataFrame) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to), all read from the bytes of the rebuilt ``record`` of `read_archive`.
+
+    The record is split at the ends of its two headers. The payload of a response is what stands behind them; that of a revisit is the one its digest refers to.
+    """
+    parts = F.split(F.col("record").cast("string"), CRLF * 2, 3)
+    split = records.select("payload", F.concat(parts[0], F.lit(CRLF)).cast("binary").alias("head"), parts[2].cast("binary").alias("rest"))
+    split = split.select("payload", "rest", *[header_field(F.col("head"), name).alias(to) for name, to in (("WARC-Type", "record_type"), ("WARC-Record-ID", "id"), ("WARC-Refers-To", "other"))])
+    body = F.when(F.col("record_type") == "response", F.expr("substring(rest, 1, length(rest) - 4)")).otherwise(F.col("payload"))
+    page = lambda name: F.regexp_extract(name, r"^<urn:page:(-?\d+):", 1).try_cast("bigint")
+    whole = split.select(page("id").alias("page_id"), body.alias("body"), "record_type", page("other").alias("refers_to"))
+    return whole.select("page_id", F.octet_length("body").cast("bigint").alias("payload_bytes"), F.sha1("body").alias("payload_digest"), "record_type", "refers_to")
+
+
 def export_warc(records: DataFrame, path: str) -> None:
     """Plain ``.warc`` text files of the records of ``read_archive``, written by Spark; payloads must be UTF-8 as pages are."""
     records.select(F.decode(F.expr("substring(record, 1, length(record) - 4)"), "utf-8").alias("value")).write.option("lineSep", CRLF * 2).text(path)
@@ -105,4 +119,4 @@ SELECT page_id, n AS payload_bytes, sha1(b) AS payload_digest, CASE WHEN holder
 def op3(spark, root):
     path = fresh_path(spark, "archive")
     write_archive(read(spark, root, "pages"), path)
-    return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return captures(read_archive(spark, path))
