@@ -142,6 +142,23 @@ def test_op2_is_reproducible(spark):
     assert one == two
 
 
+def test_shards_stage_equals_a_sort_by_fraction(spark, docs, awkward):
+    from corpus_pipeline import STAGES
+
+    df = docs(awkward + [(100 + i, f"t{i}", "abc"[i % 7 % 3]) for i in range(90)])
+    keyed = df.withColumn("key", mixing.shuffle_key(sharding.SEED, F.col("doc_id"), F.col("text"))).withColumn("g", sharding.source_key(F.col("source"))).collect()
+    groups = defaultdict(list)
+    for r in keyed:
+        groups[r.g].append((r.key, r.doc_id, r.text, r.source))
+    order = sorted(((n + 0.5) / len(rs), g, r[1:]) for g, rs in groups.items() for n, r in enumerate(sorted(rs, key=lambda x: x[0])))
+    n, shards, want = len(order), sharding.SHARDS, []
+    for place, (_, _, r) in enumerate(order):
+        shard = next(i for i in range(shards) if place < (i + 1) * n // shards)
+        want.append((*r, shard, place - shard * n // shards))
+    got = dict(STAGES)["shards"](spark, df, ROOT).select("doc_id", "text", "source", "shard", "slot").collect()
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
 def test_op2_places_whole_documents_as_shard_does(spark):
     read = spark.read.parquet(f"{ROOT}/documents.parquet")
     want = Counter((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode()), r["shard"], r["slot"]) for r in sharding.shard(read).collect())
