@@ -16,6 +16,7 @@ COMPONENTS = 8
 ROUNDS = 50
 EXACT = 1 << 53     # integers up to here are exact in double precision
 FULL = 1 << 62      # sums are sent on before they can leave a long
+_LENGTHS = "vectors of different lengths cannot be whitened together"
 
 
 def usable(vector: Column) -> Column:
@@ -29,7 +30,7 @@ def integers(column: pa.Array, scale: int = SCALE, shift: int = SHIFT) -> np.nda
     flat = scale * column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     width = len(flat) // max(1, len(column))
     if len(flat) != width * len(column) or any(n != width for n in column.value_lengths().unique().to_pylist()):
-        raise ValueError("vectors of different lengths cannot be whitened together")
+        raise ValueError(_LENGTHS)
     if len(flat) and np.abs(flat).max() >= FULL:
         raise ValueError(f"an entry times {scale} does not fit a long")
     return np.floor(flat).astype(np.int64).reshape(len(column), width) + shift
@@ -50,19 +51,21 @@ def _summed(rows: DataFrame, vector: str, name: str, per_row) -> list:
 
 
 def _sums(blocks):
-    """A row for each dimension's sum and, last, the number of vectors."""
+    """For each dimension its sum and the number of vectors that have it."""
     total, bound = None, 0
     for x in blocks:
         big = int(np.abs(x).max(initial=1)) * max(1, len(x))
         if big >= FULL:
             raise ValueError("an entry is too large for exact sums")
-        if total is None:
-            total = np.zeros((x.shape[1] + 1, 1), np.int64)
+        if total is None or len(total) != x.shape[1]:
+            if total is not None:
+                yield total
+            total = np.zeros((x.shape[1], 2), np.int64)
         if bound + big >= FULL:
             yield total
             total, bound = np.zeros_like(total), 0
-        total[:-1, 0] += x.sum(0)
-        total[-1, 0] += len(x)
+        total[:, 0] += x.sum(0)
+        total[:, 1] += len(x)
         bound += big
     if total is not None:
         yield total
@@ -96,11 +99,13 @@ def covariance(rows: DataFrame, vector: str) -> tuple[int, list[int], np.ndarray
     Vectors are centred at the rounded mean before they are multiplied; what rounding leaves of the mean is taken out of
     integer sums, which are exact. So the matrix does not depend on how rows are dealt, and has no cancellation.
     """
-    sums = {r.i: int(r.s) for r in _summed(rows, vector, "sums", _sums)}
+    sums = {(r.i, r.j): int(r.s) for r in _summed(rows, vector, "sums", _sums)}
     if not sums:
         return 0, [], np.zeros((0, 0), np.longdouble)
-    n = sums.pop(max(sums))
-    total = [sums[i] for i in range(len(sums))]
+    total, counts = [[sums[i, j] for i in range(len(sums) // 2)] for j in (0, 1)]
+    n = counts[0]
+    if set(counts) != {n}:
+        raise ValueError(_LENGTHS)
     centre = np.array([(2 * s + n) // (2 * n) for s in total], np.int64)
     size = len(total)
     cells = {(r.i, r.j): int(r.s) for r in _summed(rows, vector, "products", _products(centre))}
