@@ -197,6 +197,73 @@ def theta_condition_limits(t):
     return L.range_lookup(both, bands, "x", None, "hi", 64.0, {"below": "p_partkey"}, policy="Last", order_by=["p_partkey"], high_open=True)
 
 
+# Price lists with a validity and an amount range: sentinel ends, widths from nothing to everything.
+_OFFERS = """(SELECT p_partkey AS id, p_brand AS brand, CASE WHEN p_partkey % 50 = 0 THEN DATE '1900-01-01' ELSE CAST(DATE '1992-01-01' + CAST((p_partkey * 37) % 2600 AS INT) AS DATE) END AS since,
+  CASE WHEN p_partkey % 60 = 0 THEN DATE '9999-12-31' WHEN p_partkey % 90 = 1 THEN NULL
+    ELSE CAST(DATE '1992-01-01' + CAST((p_partkey * 37) % 2600 + p_size * (p_partkey % 11) AS INT) AS DATE) END AS until,
+  CASE WHEN p_partkey % 70 = 0 THEN -1e300 ELSE (p_partkey * 91) % 4000 * 100.0 END AS least, (p_partkey * 91) % 4000 * 100.0 + 400.0 * p_size * (p_partkey % 5) AS most FROM part)"""
+
+
+def _offers(t):
+    first, key = F.lit("1992-01-01").cast("date"), c("p_partkey")
+    start, amount = (key * 37) % 2600, (key * 91) % 4000 * 100.0
+    return t.part.select(key.alias("id"), c("p_brand").alias("brand"), F.when(key % 50 == 0, F.lit("1900-01-01").cast("date")).otherwise(F.date_add(first, start.cast("int"))).alias("since"),
+                         F.when(key % 60 == 0, F.lit("9999-12-31").cast("date")).when(key % 90 == 1, None).otherwise(
+                             F.date_add(first, (start + c("p_size") * (key % 11)).cast("int"))).alias("until"),
+                         F.when(key % 70 == 0, F.lit(-1e300)).otherwise(amount).alias("least"), (amount + 400.0 * c("p_size") * (key % 5)).alias("most"))
+
+
+@query("theta_condition_two_ports", f"""
+WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, o_totalprice FROM orders)
+SELECT o.o_orderkey, o.day, o.o_totalprice, arg_max(b.brand, b.id) AS brand, max(b.id) AS offer FROM o LEFT JOIN {_OFFERS} b
+  ON o.day BETWEEN b.since AND b.until AND o.o_totalprice >= b.least AND o.o_totalprice < b.most GROUP BY 1, 2, 3""")
+def theta_condition_two_ports(t):
+    """A validity in days and a range of amounts in one condition."""
+    orders = t.orders.select("o_orderkey", c("o_orderdate").cast("date").alias("day"), "o_totalprice")
+    return L.lookup_where(orders, _offers(t), [("day", ">=", "since"), ("day", "<=", "until"), ("o_totalprice", ">=", "least"), ("o_totalprice", "<", "most")],
+                          {"brand": "brand", "offer": "id"}, "Last", ["id"])
+
+
+# Orders whose status is NULL for some, on both sides.
+_STATUS = "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderstatus END"
+_UNLIKE = f"""SELECT a.o_orderkey, a.st, {{pick}} AS other FROM (SELECT o_orderkey, o_custkey, {_STATUS} AS st FROM orders) a
+LEFT JOIN (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate AS d, {_STATUS} AS st FROM orders) b ON a.o_custkey = b.c AND a.st <> b.st GROUP BY 1, 2"""
+
+
+def _unlike(t, policy):
+    status = F.when(c("o_orderkey") % 13 == 0, None).otherwise(c("o_orderstatus"))
+    mine = t.orders.select("o_orderkey", "o_custkey", status.alias("st"))
+    table = t.orders.select(c("o_orderkey").alias("k"), c("o_custkey").alias("c"), c("o_orderdate").alias("d"), status.alias("tst"))
+    return L.lookup_where(mine, table, [("o_custkey", "=", "c"), ("st", "<>", "tst")], {"other": "k"}, policy, ["d", "k"]).drop("o_custkey")
+
+
+@query("unlike_first", _UNLIKE.format(pick="arg_min(b.k, (b.d, b.k))"))
+def unlike_first(t):
+    """Another order of the customer with another status: an equality and a ``<>``."""
+    return _unlike(t, "First")
+
+
+@query("unlike_last", _UNLIKE.format(pick="arg_max(b.k, (b.d, b.k))"))
+def unlike_last(t):
+    return _unlike(t, "Last")
+
+
+@query("unlike_any", _UNLIKE.format(pick="min(b.k)"))
+def unlike_any(t):
+    return _unlike(t, "Any")
+
+
+@query("theta_condition_unlike", f"""
+WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, 'Brand#' || (o_orderkey % 5 + 1) || (o_custkey % 5 + 1) AS mine FROM orders)
+SELECT o.o_orderkey, o.mine, arg_min(b.brand, b.id) AS brand, min(b.id) AS offer FROM o LEFT JOIN {_OFFERS} b ON o.day BETWEEN b.since AND b.until AND o.mine <> b.brand GROUP BY 1, 2""")
+def theta_condition_unlike(t):
+    """A range and a ``<>``: the offer of the day by another brand."""
+    orders = t.orders.select("o_orderkey", c("o_orderdate").cast("date").alias("day"),
+                             F.concat(F.lit("Brand#"), (c("o_orderkey") % 5 + 1).cast("string"), (c("o_custkey") % 5 + 1).cast("string")).alias("mine"))
+    out = L.lookup_where(orders, _offers(t), [("day", ">=", "since"), ("day", "<=", "until"), ("mine", "<>", "brand")], {"brand": "brand", "offer": "id"}, "First", ["id"])
+    return out.select("o_orderkey", "mine", "brand", "offer")
+
+
 @query("insert_only_new", """
 SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')""")
 def insert_only_new(t):

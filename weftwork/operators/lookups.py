@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftwork.operators.keys import dense_index
+from weftwork.session import stage
+
 FIRST, LAST, ANY = "First", "Last", "Any"
 
 
@@ -57,95 +60,146 @@ def lookup_value(df: DataFrame, name: str, table: DataFrame, on: list[tuple[str,
     return found.withColumn(name, expr(F.col("_lkp"))).drop("_lkp")
 
 
-_LIMIT = 1 << 58  # cell numbers are clamped to this, far inside bigint; ends are compared on the values themselves
+UNLIKE = ("<>", "!=")
+_ENDS = {">=": ("low", False), ">": ("low", True), "<=": ("high", False), "<": ("high", True)}
 
 
-def _axis(c: Column, kind: str) -> Column:
-    """A number that never falls as the value rises: days of a date, seconds of a timestamp, the value itself else."""
-    if kind in ("timestamp", "timestamp_ntz"):
-        days = F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
-        return days * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.floor(F.second(c))
-    if kind == "date":
-        return F.datediff(c, F.lit("1970-01-01").cast("date")).cast("bigint")
-    return c
+def lookup_where(df: DataFrame, table: DataFrame, on: list[tuple[str, str, str]], outputs: dict[str, str],
+                 policy: str = FIRST, order_by: list[str] | None = None) -> DataFrame:
+    """Lookup on ``(our column, operator, lookup column)`` conditions that must all hold.
 
+    Any equalities, ranges on any number of our columns (a lower bound, an upper one or both, open or closed), and one
+    ``<>``. No row meets table rows only to be compared with them:
 
-def range_lookup(df: DataFrame, table: DataFrame, value: str, low: str | None, high: str | None, cell: float | None, outputs: dict[str, str],
-                 on: list[tuple[str, str]] = (), policy: str = FIRST, order_by: list[str] | None = None,
-                 low_open: bool = False, high_open: bool = False) -> DataFrame:
-    """Lookup on ``low <= value <= high`` (ends may be open, and one may be missing: None), with any equalities in ``on``.
-
-    Numbers, dates and timestamps. Range conditions alone would compare every row with every band. Instead the
-    line is cut into cells of several widths and a band is filed under
-    the few cells that tile its inside, which any value in them matches, and
-    under its two end cells, where the ends are still compared. All bands of a
-    tile reduce to the one the policy picks before anything is joined, so a
-    distinct value meets one entry a level plus the ends inside its own
-    finest cell, however many bands overlap. Only distinct values probe.
-    ``cell`` is the width of the finest cell, by default such that a tenth of the bands are narrower;
-    it affects speed, not the result. A band with a NULL end that has a column matches nothing.
+    * Ranges are tiled. Values and band ends are ranked in one distributed sort, behind the equality keys; a band is an
+      interval of ranks and is filed under the cells that tile it exactly. The bands of a cell reduce to the one
+      the policy picks, so a distinct value meets one entry a level at most, whatever the widths and
+      overlaps of the bands. With several ranged columns the cells of one are keys of the next.
+    * For ``<>`` each key keeps its best row and the best one with another value: one of the two answers.
+
+    NULL meets nothing, on either side, in any condition. Numbers, dates, timestamps and texts have ranges.
     """
     if policy != ANY and not order_by:
         raise ValueError(f"match policy {policy} needs order_by")
-    if low is None and high is None:
-        raise ValueError("a range needs a lower or an upper bound")
+    equal = [(o, t) for o, op, t in on if op == "="]
+    unlike = [(o, t) for o, op, t in on if op in UNLIKE]
+    ranges: dict[str, dict[str, tuple[str, bool]]] = {}
+    for ours, op, theirs in on:
+        if op in _ENDS:
+            end, is_open = _ENDS[op]
+            if end in ranges.setdefault(ours, {}):
+                raise ValueError(f"a range takes one {'lower' if end == 'low' else 'upper'} bound: {ours}")
+            ranges[ours][end] = (theirs, is_open)
+        elif op not in ("=", *UNLIKE):
+            raise ValueError(f"unknown operator {op}")
+    if len(unlike) > 1 or not on:
+        raise ValueError("a lookup takes conditions, among them one <> at most")
+
     best = F.max if policy == LAST else F.min
-    ours = [o for o, _ in on]
-    kinds = {dict(df.dtypes)[value], *(dict(table.dtypes)[c] for c in (low, high) if c is not None)}
-    kind = next((k for k in ("timestamp", "timestamp_ntz", "date") if k in kinds), "number")
-    axis = lambda c: _axis(c if kind == "number" else c.cast(kind), kind).cast("double")
-    if cell is None and low is not None and high is not None:
-        width = axis(F.col(high)) - axis(F.col(low))
-        least = table.agg(F.percentile_approx(F.when(width > 0, width), 0.1, 1000)).scalar()
-        finest = F.coalesce(least, F.lit(1.0))
-    else:
-        finest = F.lit(float(cell or 1.0))
-    at = lambda c: F.floor(F.greatest(F.lit(float(-_LIMIT)), F.least(F.lit(float(_LIMIT)), axis(c) / finest))).cast("bigint")
     order = F.struct(*order_by) if policy != ANY else F.struct(F.lit(0))
-    wanted = list(dict.fromkeys(outputs.values()))
-    band_keys, value_keys = [f"_k{i}" for i in range(len(ours))], [f"_v{i}" for i in range(len(ours))]
-
-    given = [F.col(c) for c in (low, high) if c is not None]
-    valid = (given[0] <= given[1]) if len(given) == 2 else given[0].isNotNull()
-    end = lambda c: F.lit(None) if c is None else F.col(c)
-    bands = (table.filter(valid)
-             .select(*[F.col(k).alias(f"_k{i}") for i, (_, k) in enumerate(on)], end(low).alias("_low"),
-                     end(high).alias("_high"), F.struct(order.alias("o"), F.struct(*wanted).alias("m")).alias("_best"))
-             .withColumn("_from", F.lit(-_LIMIT) if low is None else at(F.col("_low")))
-             .withColumn("_to", F.lit(_LIMIT) if high is None else at(F.col("_high"))))
-    inside = bands.withColumn("_tile", F.explode(F.expr(_TILES)))
-    tiles = (inside.groupBy(*band_keys, "_tile.level", "_tile.cell").agg(best("_best").alias("_best"))
-             .withColumns({"_low": F.lit(None), "_high": F.lit(None)}))
-    ends = (bands.withColumn("cell", F.explode(F.array_distinct(F.array("_from", "_to"))))
-            .groupBy(*band_keys, "cell", "_low", "_high").agg(best("_best").alias("_best")).withColumn("level", F.lit(-1)))
-    entries = ends.unionByName(tiles)
-    levels = inside.agg(F.concat(F.array(F.lit(-1)), F.collect_set("_tile.level")).alias("l")).scalar()
-
-    values = (df.select(*[F.col(o).alias(f"_v{i}") for i, o in enumerate(ours)], F.col(value).alias("_v"))
-              .filter(F.col("_v").isNotNull()).distinct())
-    probes = values.withColumn("_at", at(F.col("_v"))).withColumn("_level", F.explode(levels)).withColumn(
-        "_cell", F.expr(f"shiftright(_at, greatest(_level, 0) * {_LEVEL_BITS})"))
-    above = F.col("_v") > F.col("_low") if low_open else F.col("_v") >= F.col("_low")
-    below = F.col("_v") < F.col("_high") if high_open else F.col("_v") <= F.col("_high")
-    cond = ((F.col("_level") == F.col("level")) & (F.col("_cell") == F.col("cell"))
-            & (F.col("_low").isNull() | above) & (F.col("_high").isNull() | below))
-    for v, k in zip(value_keys, band_keys):
-        cond = cond & (F.col(v) == F.col(k))
-    picked = (probes.join(entries, cond, "inner").groupBy(*value_keys, "_v").agg(best("_best").alias("_best"))
-              .select(*value_keys, "_v", "_best.m"))
-    back = [_of(df, value) == picked["_v"]] + [_of(df, o) == picked[v] for o, v in zip(ours, value_keys)]
-    joined = df.join(picked, back, "left")
-    return joined.select(*[_of(df, c) for c in df.columns], *[F.col(f"m.{src}").alias(n) for n, src in outputs.items()])
+    keys, other = [f"_k{i}" for i in range(len(equal))], ["_other"] if unlike else []
+    ours = [o for o, _ in equal] + list(ranges)
+    asked = df.select(*[F.col(f"`{o}`").alias(n) for n, o in zip(keys + [f"_v{i}" for i in range(len(ranges))], ours)])
+    wanted = asked.columns
+    there = {**{k: t for k, (_, t) in zip(keys, equal)}, **{n: t for n, (_, t) in zip(other, unlike)},
+             **{f"_{end}{i}": t for i, ends in enumerate(ranges.values()) for end, (t, _) in ends.items()}}
+    bands = _without_nulls(table.select(*[F.col(t).alias(n) for n, t in there.items()],
+                                        F.struct(order.alias("o"), F.struct(*dict.fromkeys(outputs.values())).alias("m")).alias("_best")), list(there))
+    if ranges:
+        open_ends = [{end: is_open for end, (_, is_open) in ends.items()} for ends in ranges.values()]
+        picked = _ranged(_without_nulls(asked, wanted).distinct(), bands, keys, open_ends, best, other)
+    else:
+        picked = _reduced(bands, keys, best, other)
+    if other:
+        picked = picked.groupBy(*wanted).agg(*[F.max(F.when(F.col("_nth") == i, F.struct("_other", "_best"))).alias(f"_best{i}") for i in (1, 2)])
+    if wanted:
+        joined = df.join(picked, [_of(df, o) == picked[w] for w, o in zip(wanted, ours)], "left")
+        mine = lambda c: _of(df, c)
+    else:  # <> alone: two rows of the table answer for all
+        joined = df.withColumns({n: picked.select(n).scalar() for n in ("_best1", "_best2")})
+        mine = lambda c: F.col(f"`{c}`")
+    if other:
+        found = F.coalesce(*[F.when(F.col(f"{n}._other") != mine(unlike[0][0]), F.col(f"{n}._best.m")) for n in ("_best1", "_best2")])
+    else:
+        found = F.col("_best.m")
+    return joined.select(*[mine(c) for c in df.columns], *[found[src].alias(n) for n, src in outputs.items()])
+
+
+def range_lookup(df: DataFrame, table: DataFrame, value: str, low: str | None, high: str | None, cell: float | None, outputs: dict[str, str],
+                 on: list[tuple[str, str]] = (), policy: str = FIRST, order_by: list[str] | None = None,
+                 low_open: bool = False, high_open: bool = False) -> DataFrame:
+    """``lookup_where`` on ``low <= value <= high`` (open if asked, one end may be None) and equalities ``on``; ``cell`` has no effect any more."""
+    ends = [(value, ">" if low_open else ">=", low), (value, "<" if high_open else "<=", high)]
+    conditions = [(o, "=", t) for o, t in on] + [e for e in ends if e[2] is not None]
+    if len(conditions) == len(on):
+        raise ValueError("a range needs a lower or an upper bound")
+    return lookup_where(df, table, conditions, outputs, policy, order_by)
+
+
+def _without_nulls(df: DataFrame, columns: list[str]) -> DataFrame:
+    for c in columns:
+        df = df.filter(F.col(c).isNotNull())
+    return df
+
+
+def _reduced(rows: DataFrame, keys: list[str], best, other: list[str]) -> DataFrame:
+    """The best row of each key; with ``other`` also the best that has another value there, numbered by ``_nth``. Tasks drop the rest before a shuffle."""
+    each = rows.groupBy(*keys, *other).agg(best("_best").alias("_best"))
+    if not other:
+        return each
+    by = F.col("_best").desc() if best is F.max else F.col("_best").asc()
+    return each.withColumn("_nth", F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(by, *other))).filter("_nth <= 2")
+
+
+def _ranged(asked: DataFrame, bands: DataFrame, keys: list[str], ranges: list[dict[str, bool]], best, other: list[str]) -> DataFrame:
+    """``asked`` (keys ``_k…``, values ``_v…``) with the ``_best`` band that holds the values, where there is one; two rows with ``other``."""
+    probes = stage(asked.withColumn("_ask", F.monotonically_increasing_id()), "asked")
+    rows, cells = probes, list(keys)
+    for i, ends in enumerate(ranges):
+        later = [f"_{end}{j}" for j in range(i + 1, len(ranges)) for end in ranges[j]]
+        bands = stage(bands.groupBy(*cells, *[f"_{end}{i}" for end in ends], *later, *other).agg(best("_best").alias("_best"))
+                      .withColumn("_band", F.monotonically_increasing_id()), "bands")
+        rows, bands = _in_ranks(rows, bands, cells, i, ends)
+        level, cell = f"_level{i}", f"_cell{i}"
+        tiles = bands.withColumn("_tile", F.explode(F.expr(_TILES))).withColumns({level: F.col("_tile.level"), cell: F.col("_tile.cell")})
+        cells += [level, cell]
+        bands = stage(tiles.groupBy(*cells, *later, *other).agg(best("_best").alias("_best")), "tiles")
+        levels = bands.agg(F.collect_set(level)).scalar()
+        rows = rows.withColumn(level, F.explode(levels)).withColumn(cell, F.expr(f"shiftright(_rank, {level} * {_LEVEL_BITS})")).drop("_rank")
+        if later:  # only cells that hold bands go on
+            rows = rows.join(bands.select(*cells).distinct(), cells, "left_semi")
+    met = rows.select(*cells, "_ask").join(_reduced(bands, cells, best, other).drop("_nth") if other else bands, cells)
+    return probes.join(_reduced(met, ["_ask"], best, other), "_ask").drop("_ask")
+
+
+def _in_ranks(rows: DataFrame, bands: DataFrame, keys: list[str], i: int, ends: dict[str, bool]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the ``_rank`` of value ``_v{i}``, ``bands`` with the ranks ``_first``, ``_last`` of their ends, all in one order.
+
+    Behind equal keys an end stands before or after the values equal to it, as it is closed or open, and a missing
+    end before or after them all, so a value is in a band exactly when its rank is between those of the ends.
+    """
+    value = F.col(f"_v{i}")
+    nothing = F.lit(None).cast(rows.schema[f"_v{i}"].dataType)
+    low = F.struct(F.lit(True).alias("low"), F.lit(0 if "low" in ends else -1).alias("side"), (F.col(f"_low{i}") if "low" in ends else nothing).alias("at"),
+                   F.lit(2 if ends.get("low") else 0).alias("tie"))
+    high = F.struct(F.lit(False).alias("low"), F.lit(0 if "high" in ends else 1).alias("side"), (F.col(f"_high{i}") if "high" in ends else nothing).alias("at"),
+                    F.lit(0 if ends.get("high") else 2).alias("tie"))
+    points = bands.select(*keys, "_band", F.explode(F.array(low, high)).alias("e")).select(*keys, "e.*", F.col("_band").alias("id"))
+    mine = rows.select(*keys, F.lit(0).alias("side"), value.alias("at"), F.lit(1).alias("tie"), F.col("_ask").alias("id"), F.struct(*rows.columns).alias("_mine"))
+    placed = dense_index(points.unionByName(mine, allowMissingColumns=True), [*keys, "side", "at", "tie", "id"], "_rank", start=0)
+    spans = (placed.filter("low IS NOT NULL").groupBy(F.col("id").alias("_band"))
+             .agg(F.max(F.when(F.col("low"), F.col("_rank"))).alias("_first"), F.max(F.when(~F.col("low"), F.col("_rank"))).alias("_last")))
+    return placed.filter("low IS NULL").select("_mine.*", "_rank"), bands.join(spans.filter("_first < _last"), "_band")
 
 
 def _tile_sql(bits: int, top: int) -> str:
-    """Cells (level, cell) that exactly tile the whole cells strictly between ``_from`` and ``_to``.
+    """Cells (level, cell) that exactly tile the ranks ``_first`` to ``_last``.
 
-    A level-l cell holds 2**(bits*l) finest ones. ``lo``/``hi`` are the first and
-    last level-l cell inside the band; those inside a level-(l+1) cell of the band are left to it, except at the top.
+    A level-l cell holds 2**(bits*l) ranks. ``lo``/``hi`` are the first and last level-l cell inside the
+    band; those inside a level-(l+1) cell of the band are left to it, except at the top.
     """
-    lo = lambda l: f"-shiftright(-(_from + 1), ({l}) * {bits})"
-    hi = lambda l: f"shiftright(_to, ({l}) * {bits}) - 1"
+    lo = lambda l: f"-shiftright(-_first, ({l}) * {bits})"
+    hi = lambda l: f"shiftright(_last + 1, ({l}) * {bits}) - 1"
     run = lambda a, b: f"if({a} <= {b}, sequence({a}, {b}), cast(array() as array<bigint>))"
     inner_lo, inner_hi = f"(({lo('l + 1')}) * {1 << bits})", f"(({hi('l + 1')} + 1) * {1 << bits})"
     cells = (f"if(l < {top} AND {lo('l + 1')} <= {hi('l + 1')}, "
@@ -154,8 +208,8 @@ def _tile_sql(bits: int, top: int) -> str:
             f"transform({cells}, c -> named_struct('level', l, 'cell', c))))")
 
 
-_LEVEL_BITS = 4  # a cell is 16 of the next finer ones
-_TOP_LEVEL = 13  # at most 2 * 2**58 / 2**52 = 128 cells of this level exist, so all of them may be filed
+_LEVEL_BITS = 2  # a cell is four of the next finer ones
+_TOP_LEVEL = 24  # cells of 2**48 ranks, more than any table has
 _TILES = _tile_sql(_LEVEL_BITS, _TOP_LEVEL)
 
 

@@ -21,7 +21,7 @@ from weftwork.functions import validate as V
 from weftwork.operators import aggregates as A
 from weftwork.operators import joins, rows, sets, windows
 from weftwork.operators.keys import dense_index
-from weftwork.operators.lookups import lookup, range_lookup
+from weftwork.operators.lookups import lookup, lookup_where
 from weftwork.sources.files import KEY_ALIASES, TYPE_ALIASES
 
 # Run-time data types of fields and their Spark types.
@@ -152,6 +152,8 @@ def _constant(text: str):
     return None if text.upper() == "NULL" else text
 
 
+MIRRORED = {"<": ">", ">": "<", "<=": ">=", ">=": "<="}
+
 # Tokens that stand for call names in anonymised recipes.
 CALL_ALIASES = {"MAPLEVALE_": "VALIDATION_", "OAKPEAK": "COMPARISON"}
 
@@ -363,20 +365,12 @@ class Run:
             outputs = {self._lookup_column(n): n["outputField"] for n in nodes}
             policy = first.get("matchPolicy", "First")
             order = self.order.get(first["table"], table.columns)
-            cond = [(a, op, b) if b in binds else (b, {"<": ">", ">": "<", "<=": ">=", ">=": "<="}.get(op, op), a)
+            cond = [(a, op, b) if b in binds else (b, MIRRORED.get(op, op), a)
                     for a, op, b in conjuncts(first["condition"])]
-            equal = [(f"_bind_{b}", a) for a, op, b in cond if op == "="]
-            ranged = [(a, op, b) for a, op, b in cond if op != "="]
-            if not ranged:
-                df = lookup(df, table, equal, outputs, policy, order)
+            if all(op == "=" for _, op, _ in cond):
+                df = lookup(df, table, [(f"_bind_{b}", a) for a, _, b in cond], outputs, policy, order)
             else:
-                low = [(a, op, b) for a, op, b in ranged if op in ("<=", "<")]
-                high = [(a, op, b) for a, op, b in ranged if op in (">=", ">")]
-                ports = {b for _, _, b in ranged}
-                if len(low) > 1 or len(high) > 1 or len(ports) != 1 or len(low) + len(high) != len(ranged):
-                    raise ValueError(f"lookup {first['name']}: a range takes one lower and one upper bound, or one of them, on one port")
-                (lo, lo_op, _), (hi, hi_op, _) = (low or [(None, "", "")])[0], (high or [(None, "", "")])[0]
-                df = range_lookup(df, table, f"_bind_{ports.pop()}", lo, hi, None, outputs, equal, policy, order, low_open=lo_op == "<", high_open=hi_op == ">")
+                df = lookup_where(df, table, [(f"_bind_{b}", MIRRORED.get(op, op), a) for a, op, b in cond], outputs, policy, order)
             df = df.drop(*[f"_bind_{n}" for n in binds])
         return df
 
