@@ -65,10 +65,10 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/weftwork/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and go on from the files."""
+def stage(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and go on from the files. ``compression``: the session's codec unless given."""
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
