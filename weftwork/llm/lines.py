@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftwork.llm.common import col, free, query, read, stage
 
 RATIO = 0.3
-MIN_PAGES = 3
+MIN_PAGES = 2
 
 # Elements whose tags end a line, and entities that are turned back.
 BREAKING = ("address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|"
@@ -53,12 +53,13 @@ def boilerplate(pages: DataFrame, host: str, lines: str, ratio: float = RATIO, m
 def dedup_lines(pages: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``pages`` with ``host``, ``n_lines``, ``n_dropped`` and ``kept_text`` (lines that stay, joined by line feeds) as the last four columns.
 
-    A host with fewer than ``min_pages`` pages loses nothing, as no line of it can be told from content.
+    A line must be on ``min_pages`` pages, two by default: the only page of a host has each of its lines on all pages, so there a ratio says nothing.
     URLs without a host (NULL too) form one group, ''. NULL and empty pages have no lines; repeated rows are pages
-    of their own; lines repeated inside a page count once but all go. Names that clash keep the input's column.
+    of their own; lines repeated inside a page count once but all go, lines of any length are compared whole. An empty table gives
+    no rows. Names that clash keep the input's column. Pages are parsed once and written with their lines.
     """
     h, ls = free(pages, "_host"), free(pages, "_lines")
-    prepared = pages.withColumn(h, host).withColumn(ls, lines)
+    prepared = stage(pages.withColumn(h, host).withColumn(ls, lines), "lines", "zstd")
     drop = boilerplate(prepared, h, ls, ratio, min_pages)
     drop = drop.select(F.col("host").alias(free(prepared, "_drop_host")), F.col("drop").alias(free(prepared, "_drop")))
     dh, d = drop.columns
@@ -93,5 +94,6 @@ FROM p LEFT JOIN k USING (r)
 
 @query("op8_site_lines", _SQL)
 def op8(spark, root):
-    pages = read(spark, root, "pages").select("page_id", "url", "html")
-    return dedup_lines(pages, host_of(F.col("url")), html_lines(F.col("html"))).select("page_id", "host", "n_lines", "n_dropped", "kept_text")
+    """Only lines are written and compared, not the pages' markup."""
+    parsed = read(spark, root, "pages").select("page_id", host_of(F.col("url")).alias("site"), html_lines(F.col("html")).alias("visible"))
+    return dedup_lines(parsed, F.col("site"), F.col("visible")).select("page_id", "host", "n_lines", "n_dropped", "kept_text")
