@@ -92,25 +92,18 @@ THRESHOLD = 0.5
 ROUNDS = 200
 
 
-def pattern(measured: Column, rules: dict[str, tuple[str, str]] = RULES) -> Column:
+def pattern(measured: str, rules: dict[str, tuple[str, str]] = RULES) -> Column:
     """The votes of all rules as one string of '-' (bad), '+' (good) and '0' (abstains), in the order of ``rules``."""
-    struct = {m: measured[m] for m in MEASURES}
-
     def on(sql: str) -> Column:
-        holes = re.sub(r"[a-z_]+", lambda m: "{" + m[0] + "}" if m[0] in struct else m[0], sql)
-        return F.expr(holes.format(**{m: f"{_NAME}.{m}" for m in MEASURES}))
+        return F.expr(re.sub(r"[a-z_]+", lambda m: f"{measured}.{m[0]}" if m[0] in MEASURES else m[0], sql))
 
     return F.concat(*[F.when(on(bad), "-").when(on(good), "+").otherwise("0") for bad, good in rules.values()])
 
 
-_NAME = "_measured_"
-
-
 def voted(docs: DataFrame, text: str, rules=RULES) -> DataFrame:
-    """``docs`` with the struct ``_measured_`` and the vote pattern ``_votes_`` as the last two columns."""
-    if {_NAME, "_votes_"} & {c.lower() for c in docs.columns}:
-        raise ValueError("_measured_ and _votes_ are names of this step")
-    return docs.withColumn(_NAME, measures(col(text))).withColumn("_votes_", pattern(F.col(_NAME), rules))
+    """``docs`` with the struct of measures and the vote pattern as the last two columns, under free names."""
+    measured = free(docs, "_measured_")
+    return docs.withColumn(measured, measures(col(text))).withColumn(free(docs, "_votes_"), pattern(measured, rules))
 
 
 def expectation_maximisation(counts: dict[str, int], prior: float = GOOD_PRIOR, smoothing: float = SMOOTHING, rounds: int = ROUNDS) -> tuple[dict[str, float], dict]:
@@ -151,22 +144,20 @@ def expectation_maximisation(counts: dict[str, int], prior: float = GOOD_PRIOR,
 
 
 def fit(votes: DataFrame) -> dict[str, float]:
-    """Posterior by pattern. Spark counts the patterns of all rows; at most 3 to the number of rules of them reach the driver."""
-    counts = {r[0]: r[1] for r in votes.groupBy("_votes_").count().collect()}
+    """Posterior by pattern (the last column). Spark counts the patterns of all rows; at most 3 to the number of rules of them reach the driver."""
+    counts = {r[0]: r[1] for r in votes.groupBy(F.col(votes.columns[-1])).count().collect()}
     return expectation_maximisation(counts)[0]
 
 
-def posterior(posteriors: dict[str, float]) -> Column:
-    """The posterior of a row's pattern, from a map of bounded size."""
-    if not posteriors:
-        return F.lit(None).cast("double")
-    table = F.map_from_arrays(F.lit(list(posteriors)), F.lit([float(x) for x in posteriors.values()]))
-    return F.element_at(table, F.col("_votes_"))
-
-
-def base_failed() -> Column:
-    m = F.col(_NAME)
-    return (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
+def judged(votes: DataFrame, threshold: float) -> tuple[DataFrame, dict[str, Column]]:
+    """``votes`` joined to the posteriors of the patterns (a table of that bounded size), and the columns of the verdict."""
+    measured, pattern_ = votes.columns[-2:]
+    name, value = free(votes, "_pattern_"), free(votes, "_posterior_")
+    table = votes.sparkSession.createDataFrame(sorted(fit(votes).items()), f"`{name}` string, `{value}` double")
+    m = F.col(measured)
+    failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
+    return votes.join(F.broadcast(table), F.col(pattern_) == F.col(name), "left"), {
+        "votes": F.col(pattern_), "posterior": F.col(value), "base_failed": failed, "kept": ~failed & (F.col(value) >= threshold)}
 
 
 def quality(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -178,21 +169,19 @@ def quality(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -
     """
     kept = [c for c in docs.columns if c != text]
     votes = stage(voted(docs, text).drop(text), "votes")
-    fitted = posterior(fit(votes))
-    m = F.col(_NAME)
-    failed = base_failed()
-    new = {n: m[n] for n in MEASURES} | {"votes": F.col("_votes_"), "posterior": fitted, "base_failed": failed, "kept": ~failed & (fitted >= threshold)}
-    return votes.select(*[col(c) for c in kept], *[v.alias(free(docs.drop(text), n)) for n, v in new.items()])
+    rows, verdict = judged(votes, threshold)
+    new = {n: F.col(votes.columns[-2])[n] for n in MEASURES} | verdict
+    return rows.select(*[col(c) for c in kept], *[v.alias(free(docs.drop(text), n)) for n, v in new.items()])
 
 
 def keep_good(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the rules keep, columns unchanged.
 
-    Texts are measured once to count the votes and once more to filter, which is cheaper than writing or
-    shuffling them.
+    Measuring costs far more than writing, so the rows are written once with their votes, which are counted and then filtered from the files.
+    NULL and blank texts are not kept, repeated rows are kept or not together, an empty table stays empty.
     """
-    fitted = posterior(fit(voted(docs.select(col(text).alias("text")), "text").select("_votes_")))
-    return voted(docs, text).where(~base_failed() & (fitted >= threshold)).select(*[col(c) for c in docs.columns])
+    rows, verdict = judged(stage(voted(docs, text), "voted"), threshold)
+    return rows.where(verdict["kept"]).select(*[col(c) for c in docs.columns])
 
 
 @query("op1_quality_votes")
