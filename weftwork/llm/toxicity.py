@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -27,8 +28,14 @@ THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+_LONGER = "\u0130"  # the only letter that is longer in lower case, by a mark that is no letter
+
+
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """The words of a text in lower case; they are found in the text itself, so that they stand where they are found."""
+    if not text:
+        return []
+    return [w.lower() for w in _WORD.findall(text)] if _LONGER in text else _WORD.findall(text.lower())
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -207,7 +214,10 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
     part = n_toxic / (n_toxic + n_clean)
     expected = (F.col("toxic") + F.col("clean")) * part
     z = F.abs(F.col("toxic") - expected) / F.sqrt(expected * (1 - part))
-    best = units.withColumn("z", z).where(F.col("z") >= SURE).orderBy(F.desc("z"), "unit").limit(VOCABULARY).collect()
+    best = units.withColumn("z", z).where(F.col("z") >= SURE).orderBy(F.desc("z"), "unit").limit(VOCABULARY + 1).collect()
+    if len(best) > VOCABULARY:
+        warnings.warn(f"more than {VOCABULARY} units pass the test; the least sure ones are left out")
+        best = best[:VOCABULARY]
     corpus = corpus_counts(docs, [r["unit"] for r in best])
     scores, clean, pseudo = {}, {}, PRIOR * (n_toxic + n_clean)
     for r in best:
@@ -285,12 +295,11 @@ def scored(docs: DataFrame, model: Model, text="text") -> DataFrame:
         for texts in batches:
             out, spans = [], []
             for t in texts:
-                lower = (t or "").lower()
-                found = own.passages(_WORD.findall(lower), memo)
+                found = own.passages(words_of(t), memo)
                 keep = [f for f in found if f[3] <= EXPECTED]
                 out.append(own.score(found))
                 if keep:
-                    at = [m.span() for m in _WORD.finditer(lower)]
+                    at = [m.span() for m in _WORD.finditer(t)]
                     spans.append([{"start": at[a][0], "end": at[b - 1][1], "score": s, "expected": e} for a, b, s, e in keep])
                 else:
                     spans.append([])
