@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +17,9 @@ from weftwork.session import fresh_path
 BLOCK = 128             # ids a block
 PERCENTILE = 0.9        # share of a block's ids that must fit the packed width
 SEGMENT_IDS = 1 << 20   # ids after which a segment ends; a longer document makes a longer segment
-CHUNK = 1 << 20         # characters encoded at once
-ROOM = 800_000          # pieces whose ids a worker remembers
+CHUNK = 4 << 20         # bytes of text encoded at once
+BATCH = 30_000          # new pieces that the library encodes at once, which takes a hundred bytes or more an id
+ROOM = 400_000          # pieces whose ids a worker remembers
 END = 0
 MAGIC = b"PFOR1\0\0\0"
 _HEAD = "<8sIII"  # magic, documents, ids, blocks
@@ -32,12 +31,12 @@ class Encoder:
 
     Pre-tokens of such a file never reach across a single blank or line feed that stands between two characters
     which are not white space, so the pieces cut at those places have the ids they have inside the text. A text
-    with any other white space is encoded whole. The library encodes every piece; those seen while
-    there is room are remembered, the others are encoded once a chunk.
+    with any other white space, or with an added token of the file (which is one id), is encoded whole by the library.
+    Texts are cut, their pieces told apart and ids put in place by Arrow and numpy; the library encodes each piece
+    the first time it is met, a chunk's new pieces as one text.
     """
 
-    _odd = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")  # white space but blank and line feed
-    _piece = re.compile(r"\n| ?[^ \n]+")
+    _odd = "[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|  |\n\n| \n|\n |\\A[ \n]|[ \n]\\z"
 
     def __init__(self, path: str, room: int = ROOM):
         import os
@@ -46,49 +45,155 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.feed = self._ids("\n")
-        self.known: dict[str, bytes] = {"\n": self.feed.tobytes()}
-        self.ends = {c: self._ids(c).tobytes() for c in ".,"}
+        self.stops = {c: self._ids(c) for c in ".,"}
+        if any(len(x) != 1 for x in [self.feed, *self.stops.values()]):
+            raise ValueError("line feed, full stop and comma are not one id each in this file")
         self.room = room
+        # What is known: pieces, where their ids stand in ``flat``, and how often each was used.
+        self.known = pa.array(["", "\n"], pa.string())
+        self.lengths, self.uses = np.array([0, 1]), np.array([2, 2])
+        self.starts, self.flat = np.array([0, 0]), self.feed.copy()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces as one text, a line each."""
-        stops, fresh = {}, []
-        for piece in pieces:  # a full stop or comma that closes a piece after a letter is a pre-token of its own
-            stem = piece[:-1]
-            if piece[-1] in self.ends and stem[-1:].isascii() and stem[-1:].isalpha():
-                stops[piece] = stem
-                if stem not in self.known:
-                    fresh.append(stem)
-            else:
-                fresh.append(piece)
-        pieces = list(dict.fromkeys(fresh))
-        if pieces:
-            ids = self._ids("\n".join(pieces))
-            ends = np.append(np.flatnonzero(ids == self.feed[0]), len(ids)).tolist()
-            raw, at = ids.tobytes(), 0
-            for piece, end in zip(pieces, ends, strict=True):
-                self.known[piece] = raw[4 * at:4 * end]
-                at = end + 1
-        for piece, stem in stops.items():
-            self.known[piece] = self.known[stem] + self.ends[piece[-1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _gather(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of pieces, one after the other."""
+        lengths = self.lengths[numbers]
+        ends = np.cumsum(lengths)
+        at = np.repeat((self.starts[numbers] - (ends - lengths)).astype(np.int32), lengths)
+        at += np.arange(len(at), dtype=np.int32)   # both far below two billion: chunks and what is known are bounded
+        return self.flat[at]
+
+    def _add(self, pieces: pa.Array, lengths: np.ndarray, ids: np.ndarray) -> None:
+        self.known = pa.concat_arrays([self.known, pieces])
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths, self.uses = np.concatenate([self.lengths, lengths]), np.concatenate([self.uses, np.zeros(len(pieces), np.int64)])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def _forget(self) -> None:
+        """What has been used once goes; everything, if that would leave more than half of the room."""
+        kept = self.uses > 1
+        if np.count_nonzero(kept) > self.room // 2:
+            kept = np.arange(len(kept)) < 2
+        numbers = np.flatnonzero(kept)
+        self.flat, self.known = self._gather(numbers), self.known.take(pa.array(numbers))
+        self.lengths, self.uses = self.lengths[numbers], self.uses[numbers]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def _numbers(self, pieces: pa.Array) -> np.ndarray:
+        """The numbers of different pieces, learning the new ones.
+
+        New pieces are encoded as one text, a line each; a full stop or comma behind an ASCII letter is a pre-token of its own.
+        """
+        import pyarrow.compute as pc
+
+        find = lambda x, there: pc.fill_null(pc.index_in(x, there), -1).to_numpy().astype(np.int64)
+        closes = pc.match_substring_regex(pieces, r"[A-Za-z][.,]\z")
+        closed = np.flatnonzero(closes.to_numpy(zero_copy_only=False))
+        stems = pc.utf8_slice_codeunits(pieces.filter(closes), 0, -1)
+        found = find(pa.concat_arrays([pieces, stems]), self.known)   # one search, as it hashes all that is known
+        numbers, stem = found[:len(pieces)], found[len(pieces):]
+        new = numbers < 0
+        ends_new = new[closed]
+        plain = np.flatnonzero(new & ~closes.to_numpy(zero_copy_only=False))
+        fresh = pc.unique(pa.concat_arrays([pieces.take(pa.array(plain)), stems.filter(pa.array(ends_new & (stem < 0)))]))
+        if len(fresh):
+            base = len(self.known)
+            made = []
+            for at in range(0, len(fresh), BATCH):
+                lines = fresh.slice(at, BATCH)
+                ids = self._ids("\n".join(lines.to_numpy(zero_copy_only=False)))
+                feeds = np.flatnonzero(ids == self.feed[0])
+                if len(feeds) != len(lines) - 1:
+                    raise ValueError("the tokenizer does not keep lines apart")
+                made.append((np.diff(feeds, prepend=-1, append=len(ids)) - 1, np.delete(ids, feeds)))
+            self._add(fresh, *map(np.concatenate, zip(*made)))
+            numbers[plain] = base + find(pieces.take(pa.array(plain)), fresh)
+            stem = np.where(stem < 0, base + find(stems, fresh), stem)
+        for stop, of in self.stops.items():
+            mine = ends_new & pc.ends_with(pieces.take(pa.array(closed)), stop).to_numpy(zero_copy_only=False)
+            if mine.any():
+                numbers[closed[mine]] = len(self.known) + np.arange(np.count_nonzero(mine))
+                lengths = self.lengths[stem[mine]]
+                self._add(pieces.take(pa.array(closed[mine])), lengths + 1, np.insert(self._gather(stem[mine]), np.cumsum(lengths), of[0]))
+        return numbers
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        cut = []
-        for t in texts:
-            odd = "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[:1] in (" ", "\n") or t[-1:] in (" ", "\n") or self._odd.search(t)
-            cut.append(None if odd and t else self._piece.findall(t))
-        pieces = set().union(*filter(None, cut))
-        if len(self.known) > self.room:  # the oldest half goes
-            self.known = dict(islice(self.known.items(), len(self.known) // 2, None)) | {"\n": self.feed.tobytes()}
-        self._learn(list(pieces.difference(self.known)))
-        get = self.known.__getitem__
-        return [self._ids(t).tobytes() if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
+        import pyarrow.compute as pc
+
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        whole = pc.match_substring_regex(texts, self._odd)
+        for token in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, token))
+        out: list[bytes | None] = [None] * len(texts)
+        for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)):
+            out[i] = self._ids(texts[int(i)].as_py()).tobytes()
+        plain = [i for i in range(len(texts)) if out[i] is None]
+        for i, raw in zip(plain, self._encode(texts.filter(pc.invert(whole)))):
+            out[i] = raw
+        return out
+
+    def _encode(self, texts: pa.Array) -> list[bytes]:
+        """``encode`` for texts without odd places. A very long one is cut before blanks and goes through in parts."""
+        import pyarrow.compute as pc
+
+        parts, of, later = [], [], []
+        for i, size in enumerate(pc.binary_length(texts).to_pylist()):
+            if size <= CHUNK:
+                continue
+            text, at = texts[i].as_py(), 0
+            while at < len(text):
+                cut = text.find(" ", at + CHUNK // 4)
+                end = len(text) if cut < 0 else cut
+                parts.append(text[at:end])
+                of.append(i)
+                later.append(at > 0)
+                at = end + 1
+        if not parts:
+            return self._cut(texts, None)
+        raws: list[list[bytes]] = [[] for _ in range(len(texts))]
+        short = np.flatnonzero(pc.binary_length(texts).to_numpy(zero_copy_only=False) <= CHUNK)
+        for i, raw in zip(short, self._cut(texts.take(pa.array(short)), None)):
+            raws[i].append(raw)
+        for i, part, behind in zip(of, parts, later):
+            raws[i] += self._cut(pa.array([part]), behind)
+        return [b"".join(r) for r in raws]
+
+    def _cut(self, texts: pa.Array, behind: bool | None) -> list[bytes]:
+        """Ids of texts a piece at a time; ``behind``: a blank stood before the (one) text."""
+        import pyarrow.compute as pc
+
+        if not len(texts):
+            return []
+        rows = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
+        words = rows.flatten().dictionary_encode()
+        codes, names = words.indices.to_numpy(), words.dictionary
+        starts = rows.offsets.to_numpy()[:-1] - rows.offsets[0].as_py()
+        feeds = codes == pc.index(names, "\n").as_py()
+        bare = feeds.copy()                      # pieces without a blank before them: line feeds and what begins a line or text
+        bare[1:] |= feeds[:-1]
+        if not behind:
+            bare[starts] = True
+        both = np.where(bare, codes, codes + len(names))
+        used = np.bincount(both, minlength=2 * len(names))
+        there = np.flatnonzero(used)
+        pieces = pa.concat_arrays([names, pc.binary_join_element_wise(pa.scalar(""), names, " ")]).take(pa.array(there))
+        if len(self.known) > self.room:
+            self._forget()
+        numbers = self._numbers(pieces)
+        self.uses[numbers] += used[there]
+        place = np.zeros(2 * len(names), np.int32)
+        place[there] = numbers
+        number = place[both]
+        ends = np.cumsum(self.lengths[number])
+        flat = self._gather(number).tobytes()
+        cuts = [0, *(4 * ends[np.append(starts[1:], len(ends)) - 1]).tolist()]
+        pa.default_memory_pool().release_unused()
+        return [flat[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
 
 
 def encoder(path: str) -> Encoder:
@@ -209,6 +314,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id="doc_id", te
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         part, seq, own = TaskContext.get().partitionId(), 0, encoder(tokenizer)
@@ -224,13 +330,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id="doc_id", te
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
+            sizes = pc.binary_length(texts).to_pylist()
             at = 0
             while at < len(keys):
-                size, to, chunk = 0, at, []
-                while to < len(keys) and (size < CHUNK or not chunk):
-                    chunk.append(texts[to].as_py())
-                    size, to = size + len(chunk[-1]), to + 1
-                for key, raw in zip(keys[at:to], own.encode(chunk)):
+                size, to = 0, at
+                while to < len(keys) and (to == at or size + sizes[to] <= CHUNK):
+                    size, to = size + sizes[to], to + 1
+                for key, raw in zip(keys[at:to], own.encode(texts.slice(at, to - at))):
                     names.append(key)
                     ids.append(np.frombuffer(raw + tail, "<u4"))
                     held += len(ids[-1])
