@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
+from test_selection import kept_by_hand, taken_by_hand
 from weftwork.llm import decontaminate, ngram_join, toxicity
 from weftwork.llm.common import QUERIES, read, ready
 
@@ -191,6 +192,15 @@ def test_segments_match_their_definition(scores):
     assert all(abs(s - sum(line[a:b])) < 1e-9 for a, b, s in got)
 
 
+def test_passages_stand_where_they_are_found(spark, docs):
+    """letters that are longer in lower case do not move what is found"""
+    rows = [(1, "\u0130\u0130\u0130 you ROTTEN swine here", "a"), (2, "you rotten swine here", "a"), (3, "Stra\u00dfe \u1e9e \u0130x rotten \u0130", "a")]
+    model = toxicity.Model({"rotten": 5.0, "swine": 5.0}, rate=5.0, size=1e-3, weights=(-1.0, 1.0, 1.0))
+    out = {r.doc_id: r.passages for r in toxicity.scored(docs(rows), model).collect()}
+    texts = {i: t for i, t, _ in rows}
+    assert {i: [texts[i][p.start:p.end] for p in ps] for i, ps in out.items()} == {1: ["ROTTEN swine"], 2: ["rotten swine"], 3: ["rotten"]}
+
+
 def test_held_out_accuracy(spark):
     root = "/root/testdata/sf0.1"
     rows = (QUERIES["op9_toxic_segments"](spark, root).join(read(spark, root, "labels"), "doc_id").where("held_out").select("score", "predicted", "toxic").collect())
@@ -216,15 +226,14 @@ def test_toxicity_of_awkward_rows(spark, docs, awkward):
 
 
 def test_pipeline_against_brute_force(spark):
-    from weftwork.llm.quality import base_failed, voted
-
     ready(spark)
     docs = read(spark, ROOT, "documents")
     stages = dict(corpus_pipeline.STAGES)
     good = stages["quality_rules"](spark, docs, ROOT)
     rows = good.collect()
-    failed = {r.doc_id for r in voted(docs, "text").where(base_failed()).select("doc_id").collect()}
-    assert rows and not failed & {r.doc_id for r in rows}
+    table = docs.collect()
+    kept = kept_by_hand([r.text for r in table])
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r, k in zip(table, kept) if k)
     one = stages["near_duplicates"](spark, good, ROOT).collect()
     least = {c if c is not None else d for d, _, c in brute_components([(r.doc_id, r.text) for r in rows])}
     assert sorted(r.doc_id for r in one) == sorted(least)
@@ -232,6 +241,9 @@ def test_pipeline_against_brute_force(spark):
     clean = stages["benchmark_leaks"](spark, left, ROOT).collect()
     leaked = {r.doc_id for r in decontaminate.leaks(left.select("doc_id", "text"), read(spark, ROOT, "benchmark")).collect()}
     assert leaked and {r.doc_id for r in one} - {r.doc_id for r in clean} == leaked
+    mixed = stages["source_mixture"](spark, spark.createDataFrame(clean, docs.schema), ROOT).collect()
+    taken = taken_by_hand([(r.doc_id, r.text, r.source) for r in clean])
+    assert Counter(r.doc_id for r in mixed) == Counter({r.doc_id: n for r, n in zip(clean, taken) if n})
     whole = corpus_pipeline.run(spark, ROOT)
     assert whole.columns == docs.columns + ["shard", "slot"]
     final = whole.collect()

@@ -1,9 +1,11 @@
 """Quality votes, source mixing, sharding and site lines on small and awkward inputs."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +55,52 @@ def test_op1_agrees_with_labels(spark):
     assert right >= 0.98 * len(found)
 
 
+def all_measures(text):
+    """brute_measures and what the rules need besides"""
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    words = WORD.findall(text or "")
+    closers = (".", "!", "?", ":", ";", '"', ")", "…", "»")
+    letters = sum(c.isalpha() for c in text or "")
+    return (*brute_measures(text), len(lines), sum(x.rstrip(" \t\r\x0b\x0c").endswith(closers) for x in lines), len(set(words)), sum(w.encode() in quality.FUNCTION for w in words), letters)
+
+
+def votes_by_hand(text):
+    """one vote a rule: -1, 0 or 1"""
+    n, chars, symbols, dup, repeat, lines, closed, distinct, function, letters = all_measures(text)
+    rules = [(n < 10, n >= 40), (10 * symbols > n, 100 * symbols <= n), (chars < 2 * n or chars > 12 * n, 6 * n <= 2 * chars <= 18 * n and n >= 20),
+             (100 * repeat > 20 * n, 100 * repeat <= 2 * n and n >= 20), (lines > 3 and 10 * dup > 3 * lines, lines > 2 and dup == 0),
+             (n >= 20 and 25 * function < n, n >= 20 and 8 * function >= n), (lines > 1 and 4 * closed < lines or lines == 1 and closed == 0 and n >= 10, 5 * closed >= 4 * lines > 0),
+             (10 * letters < 7 * chars, 20 * letters >= 18 * chars and n > 0), (n >= 50 and 10 * distinct < 2 * n, n >= 20 and 3 * distinct >= n)]
+    return [-1 if bad else int(good) for bad, good in rules]
+
+
+def kept_by_hand(texts, prior=0.85, rounds=200):
+    """EM over all rows at once: no patterns, no counting"""
+    v = np.array([votes_by_hand(t) for t in texts])
+    plus, minus = (v > 0).astype(float), (v < 0).astype(float)
+    good = (plus.sum(1) + prior) / (plus.sum(1) + minus.sum(1) + 1)
+    for _ in range(rounds):
+        share = (good.sum() + 2 * prior) / (len(v) + 2)
+        up, down = (good @ plus + 3) / (good @ (plus + minus) + 4), ((1 - good) @ plus + 1) / ((1 - good) @ (plus + minus) + 4)
+        odds = np.log(share / (1 - share)) + plus @ np.log(up / down) + minus @ np.log((1 - up) / (1 - down))
+        good = 1 / (1 + np.exp(-odds))
+    base = [(m := brute_measures(t))[0] < 10 or 100 * m[4] > 20 * m[0] for t in texts]
+    return [g >= 0.5 and not b for g, b in zip(good, base)]
+
+
+def test_op1_verdict_against_em_by_hand(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    got = {r.doc_id: r.kept for r in QUERIES["op1_quality_votes"](spark, "/root/testdata/sf0.01").collect()}
+    assert [got[r.doc_id] for r in table] == kept_by_hand([r.text for r in table])
+
+
+def test_quality_keeps_columns_of_any_name(docs):
+    words = "the house of the king is in the middle of a town and it was not far from the river with which they had come."
+    frame = docs([(1, words, "a"), (2, "x", "a")]).withColumn("_votes_", F.lit("v")).withColumn("_Measured_", F.lit(1)).withColumn("_pattern_", F.lit(2))
+    assert [tuple(r) for r in quality.keep_good(frame).collect()] == [tuple(r) for r in frame.where("doc_id = 1").collect()]
+    assert quality.keep_good(frame.limit(0)).count() == 0 and quality.quality(frame).columns[-4:] == ["votes", "posterior", "base_failed", "kept"]
+
+
 def test_em_trusts_the_rules_that_agree():
     # the third rule votes at random, the first two agree
     counts = {"++0": 40, "+++": 30, "++-": 30, "--+": 8, "---": 8, "--0": 4}
@@ -89,6 +137,21 @@ def mix_by_hand(rows):
         capped |= over
 
 
+def taken_by_hand(rows):
+    """how often each row is taken: whole epochs, then in the order of a hash while the middle of a row lies within the rest"""
+    sizes, target = mix_by_hand(rows)
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    keyed = sorted((str(s), md5(f"1|{i}|{md5(t or '')}"), len(WORD.findall(t or "")), at) for at, (i, t, s) in enumerate(rows))
+    out, seen = [0] * len(rows), Counter()
+    for s, _, n, at in keyed:
+        source = rows[at][2]
+        full = int(target[source] // sizes[source]) if sizes[source] else 0
+        rest = target[source] - full * sizes[source]
+        out[at] = full + (rest > 0 and seen[s] + n / 2 <= rest)
+        seen[s] += n
+    return out
+
+
 def test_mixing_targets_and_cuts(docs):
     rows = [(i, "w " * (i % 7 + 1), s) for s, n in (("a", 5), ("b", 400), ("c", 30), (None, 60), ("d", 3)) for i in range(n)]
     df = docs([(k, t, s) for k, (_, t, s) in enumerate(rows)])
@@ -167,11 +230,13 @@ def test_op2_places_whole_documents_as_shard_does(spark):
 
 
 def test_site_lines(spark):
-    rows = [(i, f"http://u@H.example:80/{i}", f"menu\nown {i}\nmenu") for i in range(6)] + [(6, "http://h.example/x", None), (7, None, "menu"), (8, "http://small/", "menu\nx"), (8, "http://small/", "menu\nx")]
+    rows = [(i, f"http://u@H.example:80/{i}", f"menu\nown {i}\nmenu") for i in range(6)] + [(6, "http://h.example/x", None), (7, None, "menu"), (8, "http://small/", "menu\nx"), (8, "http://small/", "menu\nx"), (9, "http://alone/", "menu\nx"),
+        (10, "http://long/", "y" * 300_000 + "\nz"), (11, "http://long/", "y" * 300_000 + "\nw"), (12, "http://long/", "q")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, text string").withColumn("Host", F.lit("kept"))
     out = lines.dedup_lines(df, lines.host_of(F.col("url")), lines.text_lines(F.col("text"))).collect()
     got = {r.page_id: (r["host_"], r.n_lines, r.n_dropped, r.kept_text) for r in out}
-    assert got[0] == ("h.example", 3, 2, "own 0") and got[6] == ("h.example", 0, 0, "") and got[7] == ("", 1, 0, "menu") and got[8] == ("small", 2, 0, "menu\nx")
+    assert got[0] == ("h.example", 3, 2, "own 0") and got[6] == ("h.example", 0, 0, "") and got[7] == ("", 1, 0, "menu") and got[8] == ("small", 2, 2, "")
+    assert got[9] == ("alone", 2, 0, "menu\nx") and got[10] == ("long", 2, 1, "z") and got[12] == ("long", 1, 0, "q")
     assert len(out) == len(rows) and all(r["Host"] == "kept" for r in out)
     assert lines.dedup_lines(df.limit(0), lines.host_of(F.col("url")), lines.text_lines(F.col("text"))).count() == 0
 

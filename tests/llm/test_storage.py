@@ -24,9 +24,7 @@ ROOT = "/root/testdata/sf0.001"
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(BPE)
 
 
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=700), st.integers(0, 5), st.integers(0, 5))
@@ -57,6 +55,22 @@ def test_encoder_equals_library(texts):
         assert own.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\n<|endoftext|>y", "<|endoftext|", "a. b, c., é. d\n.\n, e", "no.\nyes,\n", ""])
+def test_added_tokens_and_stops(text):
+    own, lib = tokens.Encoder(BPE), library()
+    assert own.encode(["plain text, here.", text]) == [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in ("plain text, here.", text)]
+    assert lib.encode("<|endoftext|>").ids == [50256]
+
+
+def test_very_long_texts_are_encoded_in_parts(monkeypatch):
+    monkeypatch.setattr(tokens, "CHUNK", 400)
+    rnd = np.random.default_rng(4)
+    texts = ["\n".join(" ".join("".join(rnd.choice(list("abcé.,'s"), rnd.integers(1, 9))) for _ in range(7)) for _ in range(n)) for n in (1, 40, 90, 2)] + ["z" * 5000, "w " * 900 + "w"]
+    own, lib = tokens.Encoder(BPE, room=50), library()
+    for _ in range(2):
+        assert own.encode(texts) == [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def token_rows(spark, df):
     path = fresh_path(spark, "test")
     tokens.write_tokens(df, path, BPE)
