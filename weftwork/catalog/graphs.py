@@ -147,16 +147,18 @@ SELECT 'm_' || CAST(o_orderkey AS VARCHAR) AS mapping, 'TGT' AS target_instance,
 FROM orders, (VALUES ('KEY', 'ID'), ('TOTAL', 'PRICE'), ('TOTAL', 'TAX'), ('CODE', 'STATUS')) m(f, s)
 WHERE f <> 'CODE' OR o_orderstatus = 'P'""")
 def connector_lineage(t):
-    """One mapping an order: source → expression (inst. EXP1 of EXP) → filter → target; CODE is linked only for status P."""
+    """One mapping an order: source → expression (inst. EXP1 of EXP) → filter → target; CODE is linked only for status P.
+
+    Ports have names beyond plain words, and expressions name others in texts and comments."""
     mapping = F.concat(F.lit("m_"), c("o_orderkey").cast("string")).alias("mapping")
-    links = [("SRC", "ID", "EXP1", "IN_ID"), ("SRC", "PRICE", "EXP1", "PRICE"), ("SRC", "TAX", "EXP1", "TAX"), ("EXP1", "OUT_ID", "FIL", "ID"),
+    links = [("SRC", "ID", "EXP1", "AÑO"), ("SRC", "PRICE", "EXP1", "PRICE"), ("SRC", "TAX", "EXP1", "TAX$Ñ#"), ("EXP1", "OUT_ID", "FIL", "ID"),
              ("EXP1", "GROSS", "FIL", "GROSS"), ("FIL", "ID", "TGT", "KEY"), ("FIL", "GROSS", "TGT", "TOTAL")]
     text = ["from_instance", "from_field", "to_instance", "to_field"]
     rows = lambda items, names: F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, i)]) for i in items])).alias("x")
     connectors = t.orders.select(mapping, rows(links, text)).select("mapping", "x.*").union(
         t.orders.filter("o_orderstatus = 'P'").select(mapping, *[F.lit(v).alias(n) for n, v in zip(text, ("SRC", "STATUS", "TGT", "CODE"))]))
-    ports = [("EXP", "IN_ID", None), ("EXP", "PRICE", None), ("EXP", "TAX", None), ("EXP", "OUT_ID", "LPAD(IN_ID, 9)"),
-             ("EXP", "NET", "PRICE * 1"), ("EXP", "GROSS", "NET + TAX"), ("FIL", "ID", None), ("FIL", "GROSS", None)]
+    ports = [("EXP", "AÑO", None), ("EXP", "PRICE", None), ("EXP", "TAX$Ñ#", None), ("EXP", "OUT_ID", "LPAD(AÑO, 9, 'PRICE''s') -- PRICE"),
+             ("EXP", "NET", "PRICE * 1"), ("EXP", "GROSS", "NET /* AÑO\n */ + TAX$Ñ# // AÑO"), ("FIL", "ID", None), ("FIL", "GROSS", None)]
     placed = t.orders.select(mapping, rows(ports, ["transformation", "name", "expression"])).select("mapping", "x.*")
     kinds = [("SRC", "SRC", "SOURCE"), ("EXP1", "EXP", "TRANSFORMATION"), ("FIL", "FIL", "TRANSFORMATION"), ("TGT", "TGT", "TARGET")]
     instances = t.orders.select(mapping, rows(kinds, ["name", "transformation", "type"])).select("mapping", "x.*")

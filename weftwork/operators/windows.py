@@ -8,14 +8,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 
 def flag_duplicates(df: DataFrame, keys: list[str], order_by: list[str], flag: str = "FLAG_DUPLICADO") -> DataFrame:
     """``flag`` = 'Y' on every row whose key occurred earlier in the order, else 'N'.
 
     Rows may be equal in key and order, even in all columns: equal rows collapse to one with their number, the first of a key
-    in the order (ties by all other columns) gives one 'N', all the rest are 'Y'.
+    in the order (ties by all other columns) gives one 'N', all the rest are 'Y'. Maps are compared by their sorted entries.
     """
+    maps = [f.name for f in df.schema if isinstance(f.dataType, MapType)]
+    if maps:
+        entries = df.withColumns({m: F.array_sort(F.map_entries(F.col(f"`{m}`"))) for m in maps})
+        return flag_duplicates(entries, keys, order_by, flag).withColumns({m: F.map_from_entries(F.col(f"`{m}`")) for m in maps})
     rest = [c for c in df.columns if c not in order_by]
     order = F.struct(*order_by, *rest)
     counted = df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))

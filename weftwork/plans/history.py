@@ -143,13 +143,14 @@ def workflow_runs(runs: DataFrame, clusters: DataFrame) -> DataFrame:
 def task_stats(runs: DataFrame, tasks: DataFrame) -> DataFrame:
     """Per task: avg (rounded), p50, p95, p99 seconds over durations above 0, and its state on every date.
 
-    The history is filled from the dates array, one state a date, PENDING where the task has no run.
+    The history is filled from the dates array, one state a date, PENDING where the task has no run. Of several runs of a day
+    the one with the largest job id counts, as in ``recipe_rollup``; a run without job id counts where there is no other, one without date in no day.
     """
     timed = runs.withColumn("seconds", duration_seconds(F.col("avg_job_duration_in_mins_sec")))
     ran = timed.filter(F.col("seconds") > 0)
     ranks = _nearest_ranks(ran, "seconds", {"p50": 50, "p95": 95, "p99": 99}).withColumn("avg_time_s", F.floor(F.col("mean") + 0.5)).drop("mean")
     state = F.when(run_state(F.col("status")) == "running", "RUNNING").otherwise(display_status(F.upper(F.trim("status"))))
-    daily = runs.groupBy("recipe_filename", "run_date").agg(F.min_by(state, F.col("job_id")).alias("state"))
+    daily = runs.filter(F.col("run_date").isNotNull()).groupBy("recipe_filename", "run_date").agg(F.max_by(state, F.coalesce("job_id", F.lit(""))).alias("state"))
     known = daily.groupBy("recipe_filename").agg(F.map_from_entries(F.collect_list(F.struct("run_date", "state"))).alias("by_day"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return (tasks.select(F.col("recipe").alias("recipe_filename")).distinct().withColumn("_days", _all_dates(runs))

@@ -9,6 +9,7 @@ inside the task that holds its field.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -101,6 +102,54 @@ def _load(text: str):
         return json.loads(text)
     except ValueError:
         return None
+    except RecursionError:
+        return _load_deep(text)
+
+
+_SPACE = re.compile(r"[ \t\n\r]*")
+
+
+def _load_deep(text: str):
+    """``_load`` for trees of any depth: objects and arrays that are open lie on a list, not on the call stack."""
+    scan, open_, at, value, key, before = json.JSONDecoder().scan_once, [], 0, None, None, ""
+    try:
+        while True:
+            at = _SPACE.match(text, at).end()
+            c, done = text[at], True
+            if c in "{[":
+                open_.append((c, {} if c == "{" else [], key))
+                key, at, done = None, at + 1, False
+            elif c in "}]":
+                kind, value, key_ = open_.pop()
+                if kind + c not in ("{}", "[]") or before == "," or key is not None:
+                    return None
+                key, at = key_, at + 1
+            elif c == ",":
+                at, done = at + 1, False
+            else:
+                value, at = scan(text, at)
+                after = _SPACE.match(text, at).end()
+                if open_ and open_[-1][0] == "{" and key is None:
+                    if text[after] != ":":
+                        return None
+                    key, at, done = value, after + 1, False
+            before = c
+            if done:
+                if not open_:
+                    return value if not text[at:].strip() else None
+                kind, holder, _ = open_[-1]
+                if kind == "{":
+                    holder[key] = value
+                    key = None
+                else:
+                    holder.append(value)
+    except (ValueError, StopIteration, IndexError, TypeError):
+        return None
+
+
+def _plain(value) -> str | None:
+    """A JSON value as text: a string as it is, anything else as JSON spells it."""
+    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
 def _unwrap(node):
@@ -115,12 +164,12 @@ def _tree_rows(tree, path: str):
         node, where, depth, parent, idx, siblings = todo.pop()
         if not isinstance(node, dict):
             continue
-        text = lambda key: None if node.get(key) is None else str(node[key])
+        text = lambda key: _plain(node.get(key))
         params = node.get("parameters")
         params = params if isinstance(params, list) else []
         kind = ("lookup" if "outputField" in node else "call" if text("name") else
                 "ref" if text("source") else "literal" if node.get("value") is not None else "empty")
-        names = [str(p["name"]) for p in params if isinstance(p, dict) and p.get("name")]
+        names = [_plain(p["name"]) for p in params if isinstance(p, dict) and p.get("name")]
         yield (where, depth, kind, text("name"), text("source"), text("value"), text("outputField"), text("condition"),
                text("matchPolicy"), names, parent, idx, siblings)
         for i, param in reversed(list(enumerate(params))):
@@ -155,14 +204,25 @@ def expr_nodes(field: DataFrame) -> DataFrame:
     return trees.select("recipe", "step_idx", "step", "field_idx", F.col("name").alias("field"), "transformation").mapInArrow(_flatten, _NODE_SCHEMA)
 
 
-def _render(node) -> str:
-    if not isinstance(node, dict):
-        return ""
-    if node.get("name"):
-        params = node.get("parameters") if isinstance(node.get("parameters"), list) else []
-        return f"{node['name']}({', '.join(_render(_unwrap(p)[0]) for p in params)})"
-    leaf = node.get("source") or node.get("value")
-    return "" if leaf is None else str(leaf)
+def _render(tree) -> str:
+    """The tree as a formula; what is still to be written lies on a list, so any depth will do."""
+    out, todo = [], [(tree, "")]
+    while todo:
+        node, written = todo.pop()
+        if written:
+            out.append(written)
+        elif isinstance(node, dict) and node.get("name"):
+            params = node.get("parameters") if isinstance(node.get("parameters"), list) else []
+            out.append(f"{_plain(node['name'])}(")
+            todo.append((None, ")"))
+            for i, p in reversed(list(enumerate(params))):
+                todo.append((_unwrap(p)[0], ""))
+                if i:
+                    todo.append((None, ", "))
+        elif isinstance(node, dict):
+            leaf = node.get("source") or node.get("value")
+            out.append("" if leaf is None else _plain(leaf))
+    return "".join(out)
 
 
 def formula_archive(field: DataFrame) -> DataFrame:
@@ -170,7 +230,7 @@ def formula_archive(field: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             trees = [_load(t) for t in batch.column(batch.schema.get_field_index("transformation")).to_pylist()]
-            calls = [i for i, tree in enumerate(trees) if tree and tree.get("name")]
+            calls = [i for i, tree in enumerate(trees) if isinstance(tree, dict) and tree.get("name")]
             kept = batch.drop_columns(["transformation"]).take(pa.array(calls, pa.int32()))
             yield kept.append_column("formula", pa.array([_render(trees[i]) for i in calls], pa.string()))
 
@@ -271,18 +331,23 @@ def fan_in_verdict(pairings: DataFrame) -> DataFrame:
                           .otherwise("ok").alias("verdict"))
 
 
+# A quoted text, a comment to the end of the line or between marks, or (the group) a name.
+_NAMES = r"'(?:[^']|'')*'|(?:--|//)[^\n]*|(?s:/\*.*?\*/)|([\p{L}\p{N}\p{M}_$#]+)"
+
+
 def connector_lineage(connectors: DataFrame, ports: DataFrame, instances: DataFrame) -> DataFrame:
     """(mapping, target_instance, target_field, source_instance, source_field): origins of every target field.
 
     A field comes from what its connectors bring in; a computed port from the ports its
-    expression names, found by joining the words of the expression, not by pairing ports.
+    expression names, found by joining the names in the expression, not by pairing ports. Names may hold letters of any
+    alphabet, digits, ``_``, ``$`` and ``#``; those in quoted texts and comments are not names.
     """
     node = lambda i, f: F.concat_ws("\u0001", "mapping", i, f)
     links = connectors.select(node("to_instance", "to_field").alias("src"), node("from_instance", "from_field").alias("dst"))
     placed = ports.join(instances.select("mapping", F.col("name").alias("instance"), "transformation"), ["mapping", "transformation"])
     words = placed.filter(F.col("expression").isNotNull()).select(
         "mapping", "instance", F.col("name").alias("port"),
-        F.explode(F.array_distinct(F.regexp_extract_all("expression", F.lit(r"(\w+)"), F.lit(1)))).alias("name"))
+        F.explode(F.array_distinct(F.regexp_extract_all("expression", F.lit(_NAMES), F.lit(1)))).alias("name"))
     inner = (words.join(placed.select("mapping", "instance", "name"), ["mapping", "instance", "name"])
              .filter(F.col("port") != F.col("name"))
              .select(node("instance", "port").alias("src"), node("instance", "name").alias("dst")))

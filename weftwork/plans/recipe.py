@@ -7,10 +7,12 @@ the list, and the whole recipe becomes one lazy plan a target for Catalyst.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -144,9 +146,10 @@ def register_call(name: str, fn: Callable[..., Column]) -> None:
 def _constant(text: str):
     text = str(text)
     if len(text) >= 2 and text[0] == text[-1] == "'":
-        return text[1:-1]
+        return text[1:-1].replace("''", "'")
     if re.fullmatch(r"[+-]?\d+", text):
-        return int(text)
+        number = int(text)
+        return number if -(1 << 63) <= number < 1 << 63 else Decimal(text)
     if text.upper() in ("TRUE", "FALSE"):
         return text.upper() == "TRUE"
     return None if text.upper() == "NULL" else text
@@ -343,7 +346,7 @@ class Run:
         return json.dumps({k: v for k, v in node.items() if k != "outputField"}, sort_keys=True)
 
     def _lookup_column(self, node: dict) -> str:
-        return f"_lkp{abs(hash(self._lookup_id(node)))}_{node['outputField']}"
+        return f"_lkp{hashlib.md5(self._lookup_id(node).encode()).hexdigest()}_{node['outputField']}"
 
     def _with_lookups(self, trees: list[dict], df: DataFrame) -> DataFrame:
         """Join each distinct lookup once, with all ports asked of it, inner lookups first."""
@@ -456,9 +459,11 @@ class Run:
             n.get("name") and _call_name(n) in AGGREGATES for n in _walk(f.get("transformation") or {}))}
         last = {f["name"]: self._column(f.get("transformation"), df) for f in rest if f["name"] not in computed}
         staged = df.withColumns({f"_by_{n}": c for n, c in keyed.items()} | {f"_last_{n}": c for n, c in last.items()})
-        order = self.order.get(name) or df.columns
+        order = self.order.get(name)
+        if last and not order:
+            raise ValueError(f"aggregator {name}: the last row of {sorted(last)} needs an order")
         out = A.aggregate(staged, [f"_by_{n}" for n in keyed], computed, [f"_last_{n}" for n in last],
-                          [F.col(f"`{c}`") for c in order])
+                          [F.col(f"`{c}`") for c in order or []])
         types = {f["name"]: RUNTIME_TYPES[f["dataType"]] for f in target["fields"]}
         src = {**{n: f"_by_{n}" for n in keyed}, **{n: f"_last_{n}" for n in last}, **{n: n for n in computed}}
         return out.select(*[F.col(src[f["name"]]).try_cast(types[f["name"]]).alias(f["name"]) for f in target["fields"]])
