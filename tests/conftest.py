@@ -13,7 +13,7 @@ def spark(tmp_path_factory):
     from weftwork.session import tune
 
     session = (SparkSession.builder.master("local[*]").appName("tests").config("spark.sql.shuffle.partitions", "8")
-               .config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
+               .config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "8").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
                .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield tune(session)
