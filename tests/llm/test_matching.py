@@ -78,6 +78,23 @@ def test_op7_matches_brute_force(spark):
     assert Counter(map(tuple, QUERIES["op7_count_vector_join"](spark, ROOT).collect())) == Counter(brute_components(rows))
 
 
+def test_a_region_of_one_big_and_one_small_component(spark, monkeypatch):
+    """The sets of the big one are copied by the tiles of the small one, not by their own, and every wanted pair meets."""
+    monkeypatch.setattr(ngram_join, "TILE", 256)
+    sizes = [(node, 100 + node % 40, 1 if node < 3000 else 2 if node < 3020 else node) for node in range(3030)]
+    rows = spark.createDataFrame([(7, *r) for r in sizes] + [(8, 5000 + i, 50, 3) for i in range(300)], "token long, node long, n long, comp long")
+    cells = ngram_join.cells_of(rows).toPandas()
+    assert set(cells.token) == {7}  # a region of one component has nothing to search
+    assert cells[cells.comp == 1].groupby(["node", "class"]).size().max() == 1
+    assert cells.groupby(["class", "i", "j"]).size().max() <= 2 * 256
+    met = set()
+    for _, cell in cells.groupby(["class", "i", "j"]):
+        for x in cell[cell.comp != 1].itertuples():
+            met |= {(x.node, y.node) for y in cell.itertuples() if x.comp != y.comp and x.side + y.side < 2 and (x.i == x.j or x.tile != y.tile)}
+    wanted = {(a, b) for a, n, c in sizes if c != 1 for b, m, d in sizes if c != d and 100 * min(n, m) >= 80 * max(n, m)}
+    assert {(min(p), max(p)) for p in wanted} <= {(min(p), max(p)) for p in met}
+
+
 def test_trees_find_every_bounded_pair():
     r = np.random.default_rng(1)
     vecs = r.poisson(0.6, (300, ngram_join.GROUPS)).astype(np.int32)
