@@ -1,8 +1,9 @@
 """Conformance checks over recipe documents, one query a rule.
 
-A rule maps the document tables to its violations (recipe, path, message);
-`conformance` unions all rules for a whole corpus and adds one ``pass`` row for
-each recipe and rule without a violation.
+A rule maps the document tables to its violations (recipe, path, message). Rules that a single row decides
+(a document, step, source, field or expression node) are written as a condition, a path and a message over that row, so
+`conformance` evaluates all rules of one grain in one expression; rules across rows are relations of their own.
+`conformance` adds one ``pass`` row for each recipe and rule without a violation.
 """
 
 from __future__ import annotations
@@ -94,16 +95,48 @@ class Corpus:
 
 
 Rule = Callable[[Corpus], DataFrame]
+RowRule = Callable[[], tuple[Column, Column, Column]]
 RULES: dict[str, Rule] = {}
+ACROSS: dict[str, Rule] = {}  # the part of a rule that needs several rows
+ROWS: dict[str, list[tuple[str, RowRule]]] = {"parsed": [], "steps": [], "sources": [], "fields": [], "nodes": []}  # by grain
 
 
 def rule(rule_id: str) -> Callable[[Rule], Rule]:
+    """Register what a rule finds by relating rows."""
     def add(fn: Rule) -> Rule:
-        RULES[rule_id] = fn
+        ACROSS[rule_id] = fn
+        RULES[rule_id] = lambda c: _whole_rule(c, rule_id)
         return fn
     return add
 
 
+def row_rule(rule_id: str, grain: str) -> Callable[[RowRule], RowRule]:
+    """Register what a rule finds in one row of a grain: (condition, path, message); a rule may have several."""
+    def add(fn: RowRule) -> RowRule:
+        ROWS[grain].append((rule_id, fn))
+        RULES[rule_id] = lambda c: _whole_rule(c, rule_id)
+        return fn
+    return add
+
+
+def _whole_rule(c: Corpus, rule_id: str) -> DataFrame:
+    """(recipe, path, message) of one rule, from all its parts."""
+    parts = [ACROSS[rule_id](c)] if rule_id in ACROSS else []
+    for grain, rows in ROWS.items():
+        for condition, path, message in [fn() for rid, fn in rows if rid == rule_id]:
+            parts.append(_found(getattr(c, grain).filter(condition), path, message))
+    return reduce(DataFrame.union, parts)
+
+
+def _by_rows(c: Corpus, grain: str) -> DataFrame:
+    """(recipe, rule_id, path, message) of all row rules of a grain, in one pass over its table."""
+    finding = lambda rid, found: F.when(found[0], F.struct(
+        F.lit(rid).alias("rule_id"), found[1].alias("path"), found[2].alias("message")))
+    all_ = F.array(*[finding(rid, fn()) for rid, fn in ROWS[grain]])
+    return (getattr(c, grain).select("recipe", F.explode_outer(F.array_compact(all_)).alias("f")).filter("f IS NOT NULL")
+            .select("recipe", "f.rule_id", "f.path", "f.message"))
+
+
 def _blank(c: str | Column) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.trim(F.coalesce(c, F.lit(""))) == ""
@@ -121,33 +154,36 @@ def _found(df: DataFrame, path: Column, message: str | Column) -> DataFrame:
 # --- structure ----------------------------------------------------------------
 
 
-@rule("STR-001")
-def steps_present(c: Corpus) -> DataFrame:
-    return _found(c.parsed.filter(F.coalesce(F.size("doc.steps"), F.lit(0)) <= 0), F.lit("$.steps"), "steps is empty or no array")
+@row_rule("STR-001", "parsed")
+def steps_present():
+    return F.coalesce(F.size("doc.steps"), F.lit(0)) <= 0, F.lit("$.steps"), F.lit("steps is empty or no array")
 
 
-@rule("STR-002")
-def target_present(c: Corpus) -> DataFrame:
-    return _found(c.steps.filter(F.col("target").isNull()), _step(".target"), "step has no target")
+@row_rule("STR-002", "steps")
+def target_present():
+    return F.col("target").isNull(), _step(".target"), F.lit("step has no target")
 
 
-@rule("STR-003")
-def target_named(c: Corpus) -> DataFrame:
-    return _found(c.steps.filter(F.col("target").isNotNull() & _blank("name")), _step(".target.name"), "target has no name")
+@row_rule("STR-003", "steps")
+def target_named():
+    return F.col("target").isNotNull() & _blank("name"), _step(".target.name"), F.lit("target has no name")
 
 
-@rule("STR-004")
-def target_typed(c: Corpus) -> DataFrame:
-    return _found(c.steps.filter(F.col("target").isNotNull() & _blank("type")), _step(".target.type"), "target has no type")
+@row_rule("STR-004", "steps")
+def target_typed():
+    return F.col("target").isNotNull() & _blank("type"), _step(".target.type"), F.lit("target has no type")
 
 
-@rule("STR-005")
-def kind_known(c: Corpus) -> DataFrame:
-    targets = c.steps.filter(~_blank("type") & ~F.col("kind").isin(lineage.TARGET_KINDS))
-    sources = c.sources.filter(~_blank("type") & ~F.col("kind").isin(lineage.SOURCE_KINDS))
-    source_path = F.format_string("$.steps[%d].sources[%d].type", "step_idx", "src_idx")
-    return _found(targets, _step(".target.type"), F.concat(F.lit("unknown kind "), "type")).union(
-        _found(sources, source_path, F.concat(F.lit("unknown kind "), "type")))
+@row_rule("STR-005", "steps")
+def target_kind_known():
+    return (~_blank("type") & ~F.col("kind").isin(lineage.TARGET_KINDS), _step(".target.type"),
+            F.concat(F.lit("unknown kind "), "type"))
+
+
+@row_rule("STR-005", "sources")
+def source_kind_known():
+    return (~_blank("type") & ~F.col("kind").isin(lineage.SOURCE_KINDS), F.format_string("$.steps[%d].sources[%d].type", "step_idx", "src_idx"),
+            F.concat(F.lit("unknown kind "), "type"))
 
 
 @rule("STR-006")
@@ -166,53 +202,40 @@ def _field_path(tail: str) -> Column:
     return F.format_string(f"$.steps[%d].target.fields[%d]{tail}", "step_idx", "field_idx")
 
 
-@rule("STR-008")
-def type_known(c: Corpus) -> DataFrame:
-    bad = c.fields.filter(~F.coalesce(F.col("data_type").isin(DATA_TYPES), F.lit(False)))
-    return _found(bad, _field_path(".dataType"), F.concat(F.lit("unknown data type "), F.coalesce("data_type", F.lit(""))))
+@row_rule("STR-008", "fields")
+def type_known():
+    return (~F.coalesce(F.col("data_type").isin(DATA_TYPES), F.lit(False)), _field_path(".dataType"),
+            F.concat(F.lit("unknown data type "), F.coalesce("data_type", F.lit(""))))
 
 
-@rule("STR-009")
-def field_named(c: Corpus) -> DataFrame:
-    return _found(c.fields.filter(_blank("name")), _field_path(".name"), "field has no name")
+@row_rule("STR-009", "fields")
+def field_named():
+    return _blank("name"), _field_path(".name"), F.lit("field has no name")
 
 
 # --- shape of a kind --------------------------------------------------------------
 
 
-def _missing_keys(c: Corpus) -> DataFrame:
-    """(recipe, rule_id, path, message) of required keys that a step target or source lacks."""
-    has = {"groups": F.coalesce("target.groups", "target.greencliff")}
-    target = F.array(*[F.when((F.col("kind") == kind) & has.get(key, F.col(f"target.{key}")).isNull(),
-                              F.struct(F.lit(rid).alias("rule_id"), F.lit(key).alias("key")))
-                       for kind, key, rid in REQUIRED_TARGET_KEYS])
-    source = F.array(*[F.when((F.col("kind") == kind) & F.col(f"source.{key}").isNull(),
-                              F.struct(F.lit(rid).alias("rule_id"), F.lit(key).alias("key")))
-                       for kind, key, rid in REQUIRED_SOURCE_KEYS])
-    out = lambda df, where, missing: df.withColumn("_m", F.explode(F.array_compact(missing))).select(
-        "recipe", F.col("_m.rule_id").alias("rule_id"), F.concat(where, F.lit("."), F.col("_m.key")).alias("path"),
-        F.concat(F.lit("required key is missing: "), F.col("_m.key")).alias("message"))
-    return out(c.steps, _step(".target"), target).union(
-        out(c.sources, F.format_string("$.steps[%d].sources[%d]", "step_idx", "src_idx"), source))
-
-
-@rule("TYP-REQ")
-def required_keys(c: Corpus) -> DataFrame:
-    return _missing_keys(c).select("recipe", "path", "message")
+def _missing_key(grain: str, kind: str, key: str) -> RowRule:
+    """A required key that a step's target or source lacks."""
+    def found():
+        holder = "target" if grain == "steps" else "source"
+        has = F.coalesce("target.groups", "target.greencliff") if key == "groups" else F.col(f"{holder}.{key}")
+        where = _step(f".target.{key}") if grain == "steps" else F.format_string(f"$.steps[%d].sources[%d].{key}", "step_idx", "src_idx")
+        return (F.col("kind") == kind) & has.isNull(), where, F.lit(f"required key is missing: {key}")
+    return found
 
 
-def _required(rule_id: str) -> Rule:
-    return lambda c: _missing_keys(c).filter(F.col("rule_id") == rule_id).select("recipe", "path", "message")
+for _grain, _keys in (("steps", REQUIRED_TARGET_KEYS), ("sources", REQUIRED_SOURCE_KEYS)):
+    for _kind, _key, _id in _keys:
+        for _reported in ("TYP-REQ", _id):
+            row_rule(_reported, _grain)(_missing_key(_grain, _kind, _key))
 
 
-for _id in dict.fromkeys(r for *_, r in REQUIRED_TARGET_KEYS + REQUIRED_SOURCE_KEYS if r != "TYP-UNI-001"):
-    RULES[_id] = _required(_id)
-
-
-@rule("TYP-RTR-002")
-def one_default_group(c: Corpus) -> DataFrame:
+@row_rule("TYP-RTR-002", "steps")
+def one_default_group():
     defaults = F.size(F.filter(F.coalesce("target.groups", "target.greencliff"), lambda g: F.coalesce(g["default"], F.lit(False))))
-    return _found(c.steps.filter((F.col("kind") == "router") & (defaults > 1)), _step(".target.groups"), "more than one default group")
+    return (F.col("kind") == "router") & (defaults > 1), _step(".target.groups"), F.lit("more than one default group")
 
 
 @rule("TYP-NRM-002")
@@ -222,10 +245,10 @@ def normalized_field_fed(c: Corpus) -> DataFrame:
                   F.format_string("$.steps[%d].target.normalizedFields[%d].refSource", "step_idx", "i"), "normalized field has no input")
 
 
-@rule("TYP-JNI-001")
-def joiner_input_name(c: Corpus) -> DataFrame:
-    bad = c.steps.filter((F.col("kind") == "joinerInput") & ~F.coalesce(F.col("name"), F.lit("")).rlike(r"^.+[.](MASTER|DETAIL)$"))
-    return _found(bad, _step(".target.name"), "joiner input is neither .MASTER nor .DETAIL")
+@row_rule("TYP-JNI-001", "steps")
+def joiner_input_name():
+    bad = (F.col("kind") == "joinerInput") & ~F.coalesce(F.col("name"), F.lit("")).rlike(r"^.+[.](MASTER|DETAIL)$")
+    return bad, _step(".target.name"), F.lit("joiner input is neither .MASTER nor .DETAIL")
 
 
 @rule("TYP-UNI-001")
@@ -233,10 +256,9 @@ def union_mapped(c: Corpus) -> DataFrame:
     tables = c.sources.filter(F.col("kind") == "union").select(
         "recipe", "step_idx", "src_idx", F.posexplode("source.unionTables").alias("k", "t"))
     maps = tables.select("recipe", "step_idx", "src_idx", "k", F.explode("t.fieldMapping").alias("m"))
-    bad = _found(maps.filter(_blank(F.col("m.origin")) | _blank(F.col("m.union"))),
-                 F.format_string("$.steps[%d].sources[%d].unionTables[%d].fieldMapping", "step_idx", "src_idx", "k"),
-                 "mapping lacks origin or union")
-    return bad.union(_required("TYP-UNI-001")(c))
+    return _found(maps.filter(_blank(F.col("m.origin")) | _blank(F.col("m.union"))),
+                  F.format_string("$.steps[%d].sources[%d].unionTables[%d].fieldMapping", "step_idx", "src_idx", "k"),
+                  "mapping lacks origin or union")
 
 
 # --- references ---------------------------------------------------------------------
@@ -340,35 +362,35 @@ def no_orphan(c: Corpus) -> DataFrame:
     return _found(named.join(touched, ["recipe", "lname"], "left_anti"), _step(".target.name"), "no reference in or out")
 
 
-@rule("FLW-004")
-def lookup_condition_bound(c: Corpus) -> DataFrame:
+@row_rule("FLW-004", "nodes")
+def lookup_condition_bound():
     """The condition must name one of the lookup's bind variables as a whole word."""
     text = F.coalesce("condition", F.lit(""))
     named = F.exists("bind_names", lambda n: F.rlike(text, F.concat(F.lit(r"\b\Q"), n, F.lit(r"\E\b"))))
-    bad = c.nodes.filter((F.col("kind") == "lookup") & (F.size("bind_names") > 0) & ~F.coalesce(named, F.lit(False)))
-    return _found(bad, F.concat("path", F.lit(".condition")), "condition names none of its bind variables")
+    bad = (F.col("kind") == "lookup") & (F.size("bind_names") > 0) & ~F.coalesce(named, F.lit(False))
+    return bad, F.concat("path", F.lit(".condition")), F.lit("condition names none of its bind variables")
 
 
 # --- expressions ------------------------------------------------------------------------
 
 
-@rule("EXP-001")
-def call_known(c: Corpus) -> DataFrame:
-    calls = c.nodes.filter((F.col("kind") == "call") & ~F.col("name").startswith("EXP_") & ~F.col("name").isin(PREDEFINED + MARKERS))
-    return _found(calls, F.col("path"), F.concat(F.lit("unknown function "), "name"))
+@row_rule("EXP-001", "nodes")
+def call_known():
+    unknown = (F.col("kind") == "call") & ~F.col("name").startswith("EXP_") & ~F.col("name").isin(PREDEFINED + MARKERS)
+    return unknown, F.col("path"), F.concat(F.lit("unknown function "), "name")
 
 
-@rule("EXP-002")
-def operator_known(c: Corpus) -> DataFrame:
-    ops = c.nodes.filter(F.col("parent").isin(OPERATOR_CALLS) & (F.col("siblings") == 3) & (F.col("param_idx") == 1)
-                         & (F.col("kind") == "literal") & ~F.col("value").isin(OPERATORS))
-    return _found(ops, F.concat("path", F.lit(".value")), F.concat(F.lit("unknown operator "), "value"))
+@row_rule("EXP-002", "nodes")
+def operator_known():
+    unknown = (F.col("parent").isin(OPERATOR_CALLS) & (F.col("siblings") == 3) & (F.col("param_idx") == 1)
+               & (F.col("kind") == "literal") & ~F.col("value").isin(OPERATORS))
+    return unknown, F.concat("path", F.lit(".value")), F.concat(F.lit("unknown operator "), "value")
 
 
-@rule("EXP-003")
-def match_policy_known(c: Corpus) -> DataFrame:
-    bad = c.nodes.filter((F.col("kind") == "lookup") & ~F.coalesce(F.col("match_policy").isin(MATCH_POLICIES), F.lit(False)))
-    return _found(bad, F.concat("path", F.lit(".matchPolicy")), "match policy is not Any, First or Last")
+@row_rule("EXP-003", "nodes")
+def match_policy_known():
+    bad = (F.col("kind") == "lookup") & ~F.coalesce(F.col("match_policy").isin(MATCH_POLICIES), F.lit(False))
+    return bad, F.concat("path", F.lit(".matchPolicy")), F.lit("match policy is not Any, First or Last")
 
 
 # What a single rule reads more than once.
@@ -381,23 +403,21 @@ def check(rule_id: str, docs: DataFrame) -> DataFrame:
     return RULES[rule_id](Corpus(docs, KEEP.get(rule_id, ())))
 
 
-def severity(rule_id: str) -> str:
-    return "warning" if rule_id in WARNINGS else "error"
-
-
 def conformance(docs: DataFrame) -> DataFrame:
     """(recipe, rule_id, severity, status, path, message) of all rules over a corpus."""
     corpus = Corpus(docs, keep=("steps", "nodes", "declared"))
-    fails = []
-    for rid, fn in RULES.items():
-        found = fn(corpus)
-        fails.append(found.select("recipe", F.lit(rid).alias("rule_id"), F.lit(severity(rid)).alias("severity"),
-                                  F.lit("fail").alias("status"), "path", "message"))
-    failed = stage(reduce(DataFrame.unionByName, fails), "findings")  # read twice below
-    rules = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.lit(severity(r)).alias("severity")) for r in RULES])
-    wanted = docs.select("recipe", F.explode(rules).alias("r")).select("recipe", "r.rule_id", "r.severity")
-    passed = wanted.join(failed.select("recipe", "rule_id").distinct(), ["recipe", "rule_id"], "left_anti")
-    return failed.unionByName(passed.withColumns({"status": F.lit("pass"), "path": F.lit(None).cast("string"), "message": F.lit(None).cast("string")}))
+    found = [_by_rows(corpus, grain) for grain in ROWS]
+    found += [fn(corpus).select("recipe", F.lit(rid).alias("rule_id"), "path", "message") for rid, fn in ACROSS.items()]
+    failed = stage(reduce(DataFrame.unionByName, found), "findings")  # read twice below
+    # a recipe's failed rules are a set of at most all of them, so passes are told from one row a recipe
+    rules = F.array(*[F.lit(r) for r in RULES])
+    broken = failed.groupBy(F.col("recipe").alias("_r")).agg(F.collect_set("rule_id").alias("broken"))
+    kept = F.array_except(rules, F.coalesce("broken", F.array().cast("array<string>")))
+    passed = (docs.select("recipe").join(broken, F.col("recipe") == F.col("_r"), "left").select("recipe", F.explode(kept).alias("rule_id"))
+              .withColumns({"status": F.lit("pass"), "path": F.lit(None).cast("string"), "message": F.lit(None).cast("string")}))
+    level = F.when(F.col("rule_id").isin(WARNINGS), "warning").otherwise("error")
+    return (failed.withColumn("status", F.lit("fail")).unionByName(passed).withColumn("severity", level)
+            .select("recipe", "rule_id", "severity", "status", "path", "message"))
 
 
 def validity(results: DataFrame) -> DataFrame:
