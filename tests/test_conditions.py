@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from weftwork.operators import joins as J
 from weftwork.operators import lookups as L
 
 HOLDS = {"=": lambda a, b: a == b, "<>": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
@@ -105,3 +106,46 @@ def test_empty_sides_and_refused_conditions(spark):
             L.lookup_where(df, table, bad, {"n": "n"}, order_by=["n"])
     with pytest.raises(ValueError, match="order_by"):
         L.lookup_where(df, table, on, {"n": "n"}, "Last")
+
+
+KINDS = {J.NORMAL: (False, False), J.DETAIL_OUTER: (True, False), J.MASTER_OUTER: (False, True), J.FULL_OUTER: (True, True)}
+
+
+@pytest.mark.parametrize("kind", KINDS)
+@pytest.mark.parametrize("cond", [
+    [("lo", "<=", "v"), ("hi", ">", "v")],
+    [("lo", "<", "v"), ("a", "<>", "b")],
+    [("a", ">=", "b"), ("a", "<", "v"), ("hi", ">", "b")]])
+def test_join_without_equality(spark, kind, cond):
+    """hot and repeated values, bands of any width, NULLs, empty bands; all join types against brute force"""
+    rnd = random.Random(3)
+    some = lambda: rnd.choice([None, 7.0, 7.0, rnd.uniform(0, 20), rnd.gauss(0, 1e5), -0.0])
+    master = [(i, rnd.randint(0, 9), lo, None if lo is None else lo + rnd.choice([0.0, 0.5, 1e9, -1.0])) for i in range(90) for lo in [some()]]
+    detail = [(j, rnd.randint(0, 9), some()) for j in range(80)]
+    at, there = {"a": 1, "lo": 2, "hi": 3}, {"b": 1, "v": 2}
+    holds = lambda m, d: all(m[at[x]] is not None and d[there[y]] is not None and HOLDS[op](m[at[x]], d[there[y]]) for x, op, y in cond)
+    want = [(m[0], d[0]) for m in master for d in detail if holds(m, d)]
+    hit_m, hit_d = {m for m, _ in want}, {d for _, d in want}
+    keep_m, keep_d = KINDS[kind]
+    want += [(m[0], None) for m in master if keep_m and m[0] not in hit_m] + [(None, d[0]) for d in detail if keep_d and d[0] not in hit_d]
+    out = J.joiner(spark.createDataFrame(master, "i int, a int, lo double, hi double"), spark.createDataFrame(detail, "j int, b int, v double"), cond, kind)
+    assert out.columns == ["i", "a", "lo", "hi", "j", "b", "v"]
+    assert sorted(((r["i"], r["j"]) for r in out.collect()), key=str) == sorted(want, key=str)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_join_without_equality_on_empty_tables(spark):
+    master, detail = spark.createDataFrame([], "i int, lo double"), spark.createDataFrame([(1, 2.0)], "j int, v double")
+    assert J.joiner(master, detail, [("lo", "<", "v")]).count() == 0
+    assert J.joiner(master, detail, [("lo", "<", "v")], J.MASTER_OUTER).collect() == [(None, None, 1, 2.0)]
+    with pytest.raises(ValueError, match="equality or a range"):
+        J.joiner(master, detail, [("i", "<>", "j")])
+
+
+def test_ranges_meet_no_row_beyond_the_answer(spark):
+    """one cell a pair, so the join on cells gives each pair once"""
+    values = spark.createDataFrame([(float(i % 300),) for i in range(600)], "_v0 double")
+    bands = spark.createDataFrame([(float(i), float(i + i % 50)) for i in range(300)], "_low0 double, _high0 double")
+    pairs = [tuple(r) for r in L.range_pairs(values, bands, {"low": False, "high": False}).collect()]
+    assert len(pairs) == len(set(pairs)) == sum(min(299, i + i % 50) - i + 1 for i in range(300))

@@ -40,6 +40,23 @@ def multi_condition(t):
     return J.joiner(*_sides(t), [("c_custkey", "=", "o_custkey"), ("c_acctbal", "<=", "o_totalprice"), ("c_custkey", "^=", "o_orderkey")])
 
 
+# Prices in narrow bands, in open ones and in none; no column is equal to another.
+_BANDS = """(SELECT p_partkey, CASE WHEN p_partkey % 40 = 0 THEN NULL ELSE p_retailprice * 100 END AS lo, p_retailprice * 100 + p_size AS hi FROM part)"""
+_PRICES = "(SELECT o_orderkey, o_totalprice FROM orders)"
+
+
+def _banded(name: str, kind: str, sql_kind: str) -> None:
+    @query(name, f"SELECT * FROM {_BANDS} m {sql_kind} JOIN {_PRICES} d ON lo <= o_totalprice AND hi > o_totalprice AND p_partkey <> o_orderkey")
+    def run(t):
+        bands = t.part.select("p_partkey", F.when(c("p_partkey") % 40 != 0, c("p_retailprice") * 100).alias("lo"), (c("p_retailprice") * 100 + c("p_size")).alias("hi"))
+        return J.joiner(bands, t.orders.select("o_orderkey", "o_totalprice"),
+                        [("lo", "<=", "o_totalprice"), ("hi", ">", "o_totalprice"), ("p_partkey", "^=", "o_orderkey")], kind)
+
+
+_banded("inequality_join", J.NORMAL, "INNER")
+_banded("inequality_full_outer", J.FULL_OUTER, "FULL")
+
+
 @query("user_defined_join", """
 SELECT n_name, s_name, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem, supplier, nation
 WHERE l_suppkey = s_suppkey AND s_nationkey = n_nationkey GROUP BY 1, 2""")

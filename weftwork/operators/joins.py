@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.functions.scalar import COMPARISON
+from weftwork.operators.lookups import ENDS, range_pairs
+from weftwork.session import stage
 
 NORMAL = "Normal Join"
 MASTER_OUTER = "Master Outer Join"
@@ -28,12 +30,14 @@ def condition(pairs: list[tuple[Column, str, Column]]) -> Column:
 def joiner(master: DataFrame, detail: DataFrame, cond: list[tuple[str, str, str]], kind: str = NORMAL) -> DataFrame:
     """Join on ``(master column, operator, detail column)`` triples.
 
-    Master outer keeps all detail rows, detail outer all master rows. At least
-    one comparison must be an equality, so the rows can be partitioned. Column
-    names of the inputs must differ; rename before joining.
+    Master outer keeps all detail rows, detail outer all master rows. Without
+    an equality the widest range among the comparisons is tiled (see
+    ``range_pairs``), so rows meet only where that range holds; ``<>`` alone
+    asks for nearly all pairs and is an error. Column names of the inputs must
+    differ; rename before joining.
     """
     if not any(op == "=" for _, op, _ in cond):
-        raise ValueError("a join needs at least one equality")
+        return _range_joined(master, detail, cond, kind)
     on = condition([(master[m], op, detail[d]) for m, op, d in cond])
     if kind == NORMAL:
         return master.join(detail, on, "inner")
@@ -48,6 +52,50 @@ def joiner(master: DataFrame, detail: DataFrame, cond: list[tuple[str, str, str]
     raise ValueError(f"unknown join type {kind!r}")
 
 
+_FLIPPED = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
+
+
+def _widest_range(cond: list[tuple[str, str, str]]) -> tuple[bool, str, dict[str, tuple[str, bool]]]:
+    """(whether the value is of the master, its name, end → (column of the other side, open)): the column with the most ends."""
+    found: dict[tuple[bool, str], dict[str, tuple[str, bool]]] = {}
+    for m, op, d in cond:
+        if op in ENDS:
+            for ours, by, theirs, of_master in ((m, op, d, True), (d, _FLIPPED[op], m, False)):
+                end, is_open = ENDS[by]
+                found.setdefault((of_master, ours), {}).setdefault(end, (theirs, is_open))
+    if not found:
+        raise ValueError("a join needs an equality or a range")
+    of_master, ours = max(found, key=lambda k: len(found[k]))
+    return of_master, ours, found[of_master, ours]
+
+
+def _range_joined(master: DataFrame, detail: DataFrame, cond: list[tuple[str, str, str]], kind: str) -> DataFrame:
+    """A join without equality: pairs of distinct values and bands first, then their rows, then the other comparisons.
+
+    No step holds more rows than the tiled range has pairs, or than the inputs have. Both inputs are written once, as their rows are numbered.
+    """
+    if kind not in (NORMAL, MASTER_OUTER, DETAIL_OUTER, FULL_OUTER):
+        raise ValueError(f"unknown join type {kind!r}")
+    of_master, ours, ends = _widest_range(cond)
+    left = stage(master.withColumn("_left", F.monotonically_increasing_id()), "master")
+    right = stage(detail.withColumn("_right", F.monotonically_increasing_id()), "detail")
+    points, ranges = (left, right) if of_master else (right, left)
+    sides = {f"_{end}0": column for end, (column, _) in ends.items()}
+    pairs = range_pairs(points.select(points[ours].alias("_v0")), ranges.select(*[ranges[column].alias(n) for n, column in sides.items()]),
+                        {end: is_open for end, (_, is_open) in ends.items()})
+    met = points.join(pairs, points[ours] == pairs["_v0"]).join(ranges, reduce(lambda a, b: a & b, [ranges[column] == pairs[n] for n, column in sides.items()]))
+    met = met.filter(condition([(left[m], op, right[d]) for m, op, d in cond])).select(*master.columns, *detail.columns, "_left", "_right")
+    columns = [*master.columns, *detail.columns]
+    if kind == NORMAL:
+        return met.select(*columns)
+    met = stage(met, "met")
+    out = met
+    for side, row, kinds in ((left, "_left", (DETAIL_OUTER, FULL_OUTER)), (right, "_right", (MASTER_OUTER, FULL_OUTER))):
+        if kind in kinds:
+            out = out.unionByName(side.join(met.select(row).distinct(), row, "left_anti"), allowMissingColumns=True)
+    return out.select(*columns)
+
+
 def source_join(tables: list[DataFrame], on: list[Column]) -> DataFrame:
     """Several tables of one source read, joined left to right; ``on[i]`` links table i+1 to those before it."""
     return reduce(lambda left, step: left.join(step[0], step[1], "inner"), zip(tables[1:], on), tables[0])

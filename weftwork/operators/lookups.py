@@ -61,7 +61,7 @@ def lookup_value(df: DataFrame, name: str, table: DataFrame, on: list[tuple[str,
 
 
 UNLIKE = ("<>", "!=")
-_ENDS = {">=": ("low", False), ">": ("low", True), "<=": ("high", False), "<": ("high", True)}
+ENDS = {">=": ("low", False), ">": ("low", True), "<=": ("high", False), "<": ("high", True)}
 
 
 def lookup_where(df: DataFrame, table: DataFrame, on: list[tuple[str, str, str]], outputs: dict[str, str],
@@ -85,8 +85,8 @@ def lookup_where(df: DataFrame, table: DataFrame, on: list[tuple[str, str, str]]
     unlike = [(o, t) for o, op, t in on if op in UNLIKE]
     ranges: dict[str, dict[str, tuple[str, bool]]] = {}
     for ours, op, theirs in on:
-        if op in _ENDS:
-            end, is_open = _ENDS[op]
+        if op in ENDS:
+            end, is_open = ENDS[op]
             if end in ranges.setdefault(ours, {}):
                 raise ValueError(f"a range takes one {'lower' if end == 'low' else 'upper'} bound: {ours}")
             ranges[ours][end] = (theirs, is_open)
@@ -192,6 +192,23 @@ def _in_ranks(rows: DataFrame, bands: DataFrame, keys: list[str], i: int, ends:
     return placed.filter("low IS NULL").select("_mine.*", "_rank"), bands.join(spans.filter("_first < _last"), "_band")
 
 
+def range_pairs(values: DataFrame, bands: DataFrame, ends: dict[str, bool]) -> DataFrame:
+    """Every (``_v0``, ends) where a distinct value of ``values`` (column ``_v0``) lies in a distinct band of ``bands``.
+
+    ``ends`` maps ``low`` and ``high``, or one of them, to whether that end is open; the columns are ``_low0`` and ``_high0``. The cells of a band
+    tile it without overlap, so value and band share exactly one cell and the join, an equality on cells, gives no row
+    beyond the answer. NULLs lie nowhere.
+    """
+    sides = [f"_{end}0" for end in ends]
+    asked = stage(_without_nulls(values, ["_v0"]).distinct().withColumn("_ask", F.monotonically_increasing_id()), "asked")
+    spans = stage(_without_nulls(bands, sides).distinct().withColumn("_band", F.monotonically_increasing_id()), "bands")
+    rows, spans = _in_ranks(asked, spans, [], 0, ends)
+    tiles = stage(spans.select(*sides, F.explode(F.expr(_TILES)).alias("_tile")).select("_tile.*", *sides), "tiles")
+    levels = tiles.agg(F.collect_set("level")).scalar()
+    cells = rows.withColumn("level", F.explode(levels)).select("_v0", "level", F.expr(f"shiftright(_rank, level * {_LEVEL_BITS})").alias("cell"))
+    return cells.join(tiles, ["level", "cell"]).select("_v0", *sides)
+
+
 def _tile_sql(bits: int, top: int) -> str:
     """Cells (level, cell) that exactly tile the ranks ``_first`` to ``_last``.
 
