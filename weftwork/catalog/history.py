@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from weftwork.catalog import nested
@@ -9,6 +11,7 @@ from weftwork.catalog.registry import duck, query
 from weftwork.catalog.views import ENTRIES, RUNS
 from weftwork.plans import graph as G
 from weftwork.plans import history as H
+from weftwork.session import stage
 
 c = F.col
 _R = f"({duck(RUNS)})"
@@ -73,15 +76,39 @@ rollup_ AS (SELECT b.*, p50_min, p95_min, coalesce(layer, 'UNKNOWN') AS layer FR
   LEFT JOIN (SELECT recipe, layer FROM {_E} e) l ON recipe_filename = recipe)"""
 
 
-@query("recipe_rollup", _ROLLUP + """
+_ROLLUP_SQL = _ROLLUP + """
 SELECT recipe_filename, layer, latest_date, latest_status, ok, ko, strip, round(avg_min, 5) AS avg_min, round(p50_min, 5) AS p50_min,
-  round(p95_min, 5) AS p95_min, last_job_id, last_cluster FROM rollup_""")
-def recipe_rollup(t):
-    out = H.recipe_rollup(nested.runs(t), nested.entries(t))
+  round(p95_min, 5) AS p95_min, last_job_id, last_cluster FROM rollup_"""
+
+
+def _stripped(out):
     return out.withColumn("strip", F.array_join(F.transform("history", lambda h: h["status"]), ",")).drop("history").withColumns(
         {n: F.round(n, 5) for n in ("avg_min", "p50_min", "p95_min")})
 
 
+@query("recipe_rollup", _ROLLUP_SQL)
+def recipe_rollup(t):
+    return _stripped(H.recipe_rollup(nested.runs(t), nested.entries(t)))
+
+
+def _state_day_by_day(t):
+    """The state of all runs up to three days before the last, kept, and then each further day added to what is kept."""
+    runs = nested.runs(t)
+    last = runs.agg(F.max("run_date")).first()[0]
+    if last is None:
+        return H.history_state(runs)
+    days = [last - timedelta(n) for n in (2, 1, 0)]
+    state = stage(H.history_state(runs.filter(c("run_date").isNull() | (c("run_date") < F.lit(days[0])))), "history")
+    for day in days:
+        state = stage(H.merge_states(state, H.history_state(H.snapshot(runs, str(day)))), "history")
+    return state
+
+
+@query("recipe_rollup_incremental", _ROLLUP_SQL)
+def recipe_rollup_incremental(t):
+    return _stripped(H.rollup_of_state(_state_day_by_day(t), nested.entries(t)))
+
+
 _STATE = "CASE {0} WHEN 'SUCCESS' THEN 'OK' WHEN 'FAILED' THEN 'KO' ELSE 'PENDING' END"
 
 
@@ -131,7 +158,7 @@ def _no_paths(t):
     return nested.entries(t).select("recipe", F.concat_ws("/", "mapping_xml_dir", "recipe").alias("path"))
 
 
-@query("task_stats", f"""
+_TASKS_SQL = f"""
 WITH m AS (SELECT DISTINCT recipe FROM {_E} e), r AS (SELECT *, {_SECS} AS v FROM {_R} q), d AS (SELECT DISTINCT run_date FROM r),
 ranked AS (SELECT recipe_filename, v, row_number() OVER (PARTITION BY recipe_filename ORDER BY v) AS k,
   count(*) OVER (PARTITION BY recipe_filename) AS n FROM r WHERE v > 0),
@@ -139,12 +166,21 @@ pct AS (SELECT recipe_filename, floor(avg(v) + 0.5) AS avg_time_s, {_rank(50)} A
 strips AS (SELECT recipe, string_agg({_STATE.format('status')}, ',' ORDER BY d.run_date) AS strip
   FROM m CROSS JOIN d LEFT JOIN r ON recipe_filename = recipe AND r.run_date = d.run_date GROUP BY 1)
 SELECT recipe AS recipe_filename, CAST(coalesce(avg_time_s, 0) AS BIGINT) AS avg_time_s, coalesce(p50, 0) AS p50, coalesce(p95, 0) AS p95,
-  coalesce(p99, 0) AS p99, strip FROM strips LEFT JOIN pct ON recipe_filename = recipe""")
+  coalesce(p99, 0) AS p99, strip FROM strips LEFT JOIN pct ON recipe_filename = recipe"""
+
+
+@query("task_stats", _TASKS_SQL)
 def task_stats(t):
     out = H.task_stats(nested.runs(t), nested.entries(t).select("recipe"))
     return out.withColumn("strip", F.array_join("history", ",")).drop("history")
 
 
+@query("task_stats_incremental", _TASKS_SQL)
+def task_stats_incremental(t):
+    out = H.task_stats_of_state(_state_day_by_day(t), nested.entries(t).select("recipe"))
+    return out.withColumn("strip", F.array_join("history", ",")).drop("history")
+
+
 @query("load_order", f"""
 SELECT recipe, layer, CASE layer WHEN 'STG' THEN 0 WHEN 'ODS' THEN 1 WHEN 'DWH' THEN 2 WHEN 'CDM' THEN 3 WHEN 'RDM' THEN 4 WHEN 'QDM' THEN 5
   WHEN 'ETL' THEN 6 ELSE 7 END AS layer_rank, execution_order FROM {_E} e""")

@@ -51,13 +51,15 @@ def _nearest_ranks(runs: DataFrame, value: str, wanted: dict[str, float]) -> Dat
     lists = counts.groupBy("recipe_filename").agg(F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), "n"))).alias("vs"),
                                                   F.sum("n").alias("total"), (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"))
 
-    def at(p: float) -> Column:
-        rank = F.greatest(F.lit(1), F.ceil(F.lit(p / 100.0) * F.col("total")))
-        start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast(dict(runs.dtypes)[value]).alias("v"))
-        step = lambda acc, x: F.struct((acc["seen"] + x["n"]).alias("seen"), F.when(acc["seen"] < rank, x["v"]).otherwise(acc["v"]).alias("v"))
-        return F.aggregate("vs", start, step)["v"]
+    return lists.select("recipe_filename", "mean", *[_at_rank(p, dict(runs.dtypes)[value]).alias(n) for n, p in wanted.items()])
 
-    return lists.select("recipe_filename", "mean", *[at(p).alias(n) for n, p in wanted.items()])
+
+def _at_rank(p: float, kind: str) -> Column:
+    """Nearest-rank percentile over ``vs``, sorted (v, n) pairs with ``total`` values."""
+    rank = F.greatest(F.lit(1), F.ceil(F.lit(p / 100.0) * F.col("total")))
+    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast(kind).alias("v"))
+    step = lambda acc, x: F.struct((acc["seen"] + x["n"]).alias("seen"), F.when(acc["seen"] < rank, x["v"]).otherwise(acc["v"]).alias("v"))
+    return F.aggregate("vs", start, step)["v"]
 
 
 def recipe_rollup(runs: DataFrame, entries: DataFrame, order: str = "entry_order") -> DataFrame:
@@ -170,3 +172,76 @@ def load_order(entries: DataFrame) -> DataFrame:
     return entries.select("recipe", "layer", rank, "execution_order").distinct().orderBy("layer_rank", "execution_order", "recipe")
 
 
+def history_state(runs: DataFrame) -> DataFrame:
+    """What rollups need of ``runs``, one row a recipe: ok, ko, ``days`` (date → the day's run that counts), ``undated`` (the same
+    of runs without date), ``durations`` (duration text → count). Bounded by the calendar and the distinct durations, however many runs there are.
+
+    Keep it, and bring it up to date with ``merge_states``: a new day costs its own runs and one row a recipe, not the history.
+    """
+    key = ["recipe_filename"]
+    run = F.struct(F.coalesce("job_id", F.lit("")).alias("rank"), "status", parse_duration(F.col("avg_job_duration_in_mins_sec")).alias("minutes"), "job_id", "cluster_name")
+    daily = runs.groupBy(*key, "run_date").agg(F.max(run).alias("run"), F.count_if(F.col("status") == "SUCCESS").alias("ok"),
+                                               F.count_if(F.col("status") == "FAILED").alias("ko"))
+    days = daily.groupBy(*key).agg(
+        F.sum("ok").alias("ok"), F.sum("ko").alias("ko"),
+        F.map_from_entries(F.collect_list(F.when(F.col("run_date").isNotNull(), F.struct("run_date", "run")))).alias("days"),
+        F.max(F.when(F.col("run_date").isNull(), F.col("run"))).alias("undated"))
+    text = F.col("avg_job_duration_in_mins_sec").alias("text")
+    durations = (runs.groupBy(*key, text).agg(F.count("*").alias("n")).groupBy(*key)
+                 .agg(F.map_from_entries(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("text", "n")))).alias("durations")))
+    # A recipe without a name is a recipe too, so keys meet null-safe.
+    named = durations.withColumnRenamed("recipe_filename", "_name")
+    return days.join(named, days["recipe_filename"].eqNullSafe(named["_name"])).drop("_name")
+
+
+def merge_states(state: DataFrame, added: DataFrame) -> DataFrame:
+    """The state of both sets of runs. Each run must be in one of them only; days may overlap, and order does not matter."""
+    a, b = state.alias("a"), added.alias("b")
+    joined = a.join(b, F.col("a.recipe_filename").eqNullSafe(F.col("b.recipe_filename")), "full")
+    total = lambda n: (F.coalesce(f"a.{n}", F.lit(0)) + F.coalesce(f"b.{n}", F.lit(0))).alias(n)
+
+    def both(n: str, merge) -> Column:
+        return F.coalesce(F.map_zip_with(f"a.{n}", f"b.{n}", lambda _, x, y: merge(x, y)), f"a.{n}", f"b.{n}").alias(n)
+
+    count = lambda x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))
+    # ``greatest`` does not order structs; the larger of an array of two is the same and skips NULLs.
+    return joined.select(F.coalesce("a.recipe_filename", "b.recipe_filename").alias("recipe_filename"), total("ok"), total("ko"),
+                         both("days", lambda x, y: F.array_max(F.array(x, y))),
+                         F.array_max(F.array("a.undated", "b.undated")).alias("undated"), both("durations", count))
+
+
+def _with_lists(state: DataFrame, value) -> DataFrame:
+    """``state`` with ``vs``, ``total`` and ``mean`` of ``value(duration text)`` for ``_at_rank``."""
+    pairs = F.transform(F.map_entries("durations"), lambda e: F.struct(value(e["key"]).alias("v"), e["value"].alias("n")))
+    return (state.withColumn("vs", F.array_sort(F.filter(pairs, lambda x: x["v"].isNotNull())))
+            .withColumn("total", F.aggregate("vs", F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"]))
+            .withColumn("mean", F.try_divide(F.aggregate("vs", F.lit(0.0), lambda acc, x: acc + x["v"] * x["n"]), F.col("total"))))
+
+
+def rollup_of_state(state: DataFrame, entries: DataFrame, order: str = "entry_order") -> DataFrame:
+    """``recipe_rollup`` of the runs behind ``state``."""
+    rows = _with_lists(state, parse_duration)
+    entry = lambda day, run: F.struct(day.alias("run_date"), run["status"].alias("status"), run["minutes"].alias("minutes"))
+    dated = F.transform(F.map_entries("days"), lambda e: entry(e["key"], e["value"]))
+    undated = F.when(F.col("undated").isNotNull(), F.array(entry(F.lit(None).cast("date"), F.col("undated")))).otherwise(F.array())
+    latest = F.array_max(F.map_keys("days"))
+    layers = first_by(entries, ["recipe"], ["layer"], [order]).withColumnRenamed("recipe", "recipe_filename")
+    rows = rows.withColumn("latest_date", latest).withColumn("l", F.try_element_at("days", F.col("latest_date")))
+    return (rows.join(layers, "recipe_filename", "left")
+            .select("recipe_filename", F.coalesce("layer", F.lit("UNKNOWN")).alias("layer"), "latest_date", F.col("l.status").alias("latest_status"),
+                    "ok", "ko", F.array_sort(F.concat(dated, undated)).alias("history"), F.col("mean").alias("avg_min"),
+                    _at_rank(50, "double").alias("p50_min"), _at_rank(95, "double").alias("p95_min"),
+                    F.col("l.job_id").alias("last_job_id"), F.col("l.cluster_name").alias("last_cluster")))
+
+
+def task_stats_of_state(state: DataFrame, tasks: DataFrame) -> DataFrame:
+    """``task_stats`` of the runs behind ``state``."""
+    positive = lambda text: F.when(duration_seconds(text) > 0, duration_seconds(text))
+    dates = state.select(F.explode(F.map_keys("days")).alias("run_date"))
+    ranks = [_at_rank(p, "bigint").alias(f"p{p}") for p in (50, 95, 99)]
+    known = _with_lists(state, positive).select("recipe_filename", "days", F.floor(F.col("mean") + 0.5).alias("avg_time_s"), *ranks)
+    shown = lambda run: F.when(run.isNull(), "PENDING").when(run_state(run["status"]) == "running", "RUNNING").otherwise(display_status(F.upper(F.trim(run["status"]))))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return (tasks.select(F.col("recipe").alias("recipe_filename")).distinct().withColumn("_days", _all_dates(dates)).join(known, "recipe_filename", "left")
+            .select("recipe_filename", zero("avg_time_s"), zero("p50"), zero("p95"), zero("p99"),
+                    F.transform("_days", lambda d: shown(F.try_element_at(F.col("days"), d))).alias("history")))
