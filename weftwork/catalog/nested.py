@@ -29,10 +29,13 @@ def runs(t: Tables) -> DataFrame:
 
 
 def snapshot_files(t: Tables) -> str:
-    """The runs written as one CSV directory a day; returns the root."""
+    """The runs written as one CSV directory a day; returns the root.
+
+    A day's runs are brought together first: else each task would write a file a day, and the driver lists all files.
+    """
     root = fresh_path(t.spark, "snapshots")
     cols = ["cluster_name", "recipe_filename", "job_id", "app_start_iso", "avg_job_duration_in_mins_sec", "status", "message"]
-    (runs(t).select(F.date_format("run_date", "yyyy_MM_dd").alias("day"), *cols).write.partitionBy("day")
+    (runs(t).select(F.date_format("run_date", "yyyy_MM_dd").alias("day"), *cols).hint("rebalance", "day").write.partitionBy("day")
      .option("header", True).option("escape", '"').option("emptyValue", "").csv(root))
     return root
 
