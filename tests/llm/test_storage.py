@@ -193,3 +193,23 @@ def test_exported_files_are_warc(spark):
     raw = b"".join(bytes(r.content) for r in spark.read.format("binaryFile").load(f"{path}-warc/part-*").collect())
     assert len(re.findall(rb"WARC/1\.1\r\n", raw)) == len(got)
     assert sorted(b"WARC/1.1\r\n" + x for x in raw.split(b"WARC/1.1\r\n")[1:]) == sorted(bytes(r.record) for r in got)
+
+
+def test_archived_payloads_are_shuffled_once(spark):
+    path, got = archive(spark, PAGES)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = warc.read_archive(spark, path)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    # before, the join shuffled all payloads again; now only those that several records share
+    assert len(re.findall(r"Bucketed: true", plan)) == 1 and len(re.findall(r"Exchange hashpartitioning\(address", plan)) == 3
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("weftwork_")]
+    assert {bytes(r.payload) for r in got} == {(p[2] or "").encode() for p in PAGES}
+
+
+def test_equal_short_payloads_are_responses_and_stored_once(spark):
+    path, got = archive(spark, [(i, f"http://x/{i}", "same") for i in range(300)] + [(i, None, None) for i in range(300, 310)])
+    assert len(got) == 310 and {(r.record_type, r.refers_to) for r in got} == {("response", None)}
+    assert spark.read.parquet(f"{path}/payloads").count() == 2

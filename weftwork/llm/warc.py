@@ -1,14 +1,21 @@
-"""Content-addressed WARC archive: payload bytes once by digest, exact record headers apart, records rebuilt by a join."""
+"""Content-addressed WARC archive: payload bytes once by digest, exact record headers apart, records rebuilt by a join.
+
+Payloads are the bulk, so they are moved once: the shuffle that reduces them to one a digest also fills the buckets of the files, and
+the join that rebuilds records reads those as they lie. Only payloads that several records share are shuffled again, as there a hot one must be split.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftwork.llm.common import col, numbered, query, read, stage
-from weftwork.session import fresh_path
+from weftwork.session import fresh_path, shuffle_partitions
 
 MIN_REVISIT = 1000
+BUCKET_BYTES = 64 << 20  # payload bytes of a bucket, which one task reads
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 
@@ -30,7 +37,7 @@ def write_archive(pages: DataFrame, path: str, page_id="page_id", url="url", bod
     """Write ``path/payloads`` (address, bytes) and ``path/records`` (row, address, WARC header, HTTP header).
 
     One record a row of ``pages``; the payload is the body in UTF-8 (NULL: empty). The address is the SHA-256 of the
-    payload. Among records with equal payloads of ``min_revisit`` bytes or more the one with the largest
+    payload; the files of payloads are bucketed by it, and their schema says into how many. Among records with equal payloads of ``min_revisit`` bytes or more the one with the largest
     page id (NULL smallest; then the last row) is a response and the others revisits; shorter ones are all
     responses. Equal payloads are reduced to one inside each task before they are shuffled. Headers are
     text of ASCII names, so line breaks in URLs are escaped; a NULL URL has no Target-URI field.
@@ -38,11 +45,12 @@ def write_archive(pages: DataFrame, path: str, page_id="page_id", url="url", bod
     payload = F.encode(F.coalesce(col(body), F.lit("")), "utf-8")
     narrow = numbered(pages.select(col(page_id).cast("bigint").alias("page_id"), col(url).cast("string").alias("url"), F.sha2(payload, 256).alias("address"),
                                    F.sha1(payload).alias("sha1"), F.octet_length(payload).cast("bigint").alias("bytes")), "row", "captures")
-    shared = (narrow.where(F.col("bytes") >= min_revisit).groupBy("address")
-              .agg(F.count("*").alias("n"), F.max(F.struct("page_id", "row")).alias("holder"),
+    shared = (narrow.groupBy("address")
+              .agg(F.count("*").alias("n"), F.max(F.struct("page_id", "row")).alias("holder"), F.max("bytes").alias("size"),
                    (F.min("sha1") == F.max("sha1")).alias("one_sha1"), (F.min("bytes") == F.max("bytes")).alias("one_size")).where("n > 1"))
-    shared = stage(shared.select("address", F.col("holder.row").alias("holder_row"), record_id(F.col("holder.page_id"), F.col("holder.row")).alias("holder_id"),
-                                 F.assert_true(F.col("one_sha1") & F.col("one_size"), "two payloads share a SHA-256").alias("verified")), "holders")
+    holds = lambda value: F.when(F.col("size") >= min_revisit, value)
+    shared = stage(shared.select("address", holds(F.col("holder.row")).alias("holder_row"), holds(record_id(F.col("holder.page_id"), F.col("holder.row"))).alias("holder_id"),
+                                 F.assert_true(F.col("one_sha1") & F.col("one_size"), "two payloads share a SHA-256").alias("verified"), F.lit(True).alias("shared")), "holders")
     records = narrow.join(shared, "address", "left")
     revisit = F.col("holder_row").isNotNull() & (F.col("holder_row") != F.col("row"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF * 2))
@@ -58,8 +66,29 @@ def write_archive(pages: DataFrame, path: str, page_id="page_id", url="url", bod
         F.when(revisit, field("WARC-Refers-To", F.col("holder_id"))).otherwise(F.lit("")),
         F.when(revisit, F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}")).otherwise(F.lit("")),
         F.lit(f"Content-Type: application/http; msgtype=response{CRLF}"), field("Content-Length", length.cast("string")), F.lit(CRLF))
-    records.select("row", "address", F.encode(header, "utf-8").alias("header"), F.encode(http, "utf-8").alias("http_header")).write.parquet(f"{path}/records")
-    pages.select(F.sha2(payload, 256).alias("address"), payload.alias("payload")).dropDuplicates(["address"]).write.parquet(f"{path}/payloads")
+    records.select("row", "address", F.coalesce("shared", F.lit(False)).alias("shared"), F.encode(header, "utf-8").alias("header"),
+                   F.encode(http, "utf-8").alias("http_header")).write.parquet(f"{path}/records")
+    payloads = (pages.select(F.sha2(payload, 256).alias("address"), payload.alias("payload")).groupBy("address")
+                .agg(F.first("payload").alias("payload"), (F.count("*") > 1).alias("shared")))
+    total = narrow.agg(F.sum("bytes")).first()[0]
+    if total is None:  # an empty table would have no file to tell its columns
+        payloads.write.parquet(f"{path}/payloads")
+        return
+    # A multiple of the shuffle's partitions, so each bucket is written by one task.
+    partitions = shuffle_partitions(pages.sparkSession)
+    buckets = partitions * max(1, -(-total // (partitions * BUCKET_BYTES)))
+    table = f"weftwork_{uuid.uuid4().hex}"
+    payloads.withMetadata("payload", {"buckets": buckets}).write.bucketBy(buckets, "address").option("path", f"{path}/payloads").option("compression", "zstd").saveAsTable(table)
+    pages.sparkSession.sql(f"DROP TABLE {table}")  # the name only; the files stay
+
+
+def _bucketed(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """Files that `write_archive` left in ``path``, read as the buckets they are."""
+    table = f"weftwork_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {table} (address STRING, payload BINARY, shared BOOLEAN) USING parquet CLUSTERED BY (address) INTO {buckets} BUCKETS LOCATION '{path}'")
+    files = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return files
 
 
 def header_field(header: Column, name: str) -> Column:
@@ -75,10 +104,19 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     WARC record: header, HTTP header, for a response the payload, and the two line ends that close it. Only columns that are used are built.
     """
     payloads = spark.read.parquet(f"{path}/payloads")
-    payloads = payloads.select("address", "payload", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"),
-                               F.assert_true(F.sha2("payload", 256) == F.col("address"), "payload differs from its address").alias("verified"))
-    records = spark.read.parquet(f"{path}/records").select("row", "address", "header", "http_header")
-    joined = records.join(payloads, "address", "left")
+    records = spark.read.parquet(f"{path}/records")
+
+    def joined_with(some: DataFrame, payloads: DataFrame) -> DataFrame:
+        checked = payloads.select("address", "payload", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"),
+                                  F.assert_true(F.sha2("payload", 256) == F.col("address"), "payload differs from its address").alias("verified"))
+        return some.select("row", "address", "header", "http_header").join(checked, "address", "left")
+
+    buckets = payloads.schema["payload"].metadata.get("buckets")
+    if buckets is None:  # files from elsewhere
+        joined = joined_with(records, payloads)
+    else:
+        alone = joined_with(records.where("NOT shared"), _bucketed(spark, f"{path}/payloads", buckets).where("NOT shared"))
+        joined = alone.unionByName(joined_with(records.where("shared"), payloads.where("shared")))
     lost = F.assert_true(F.col("payload_digest").isNotNull() & (header_field(F.col("header"), "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest"))), "a record without its payload")
     page = lambda name: F.regexp_extract(header_field(F.col("header"), name), r"^<urn:page:(-?\d+):", 1).try_cast("bigint")
     kind = header_field(F.col("header"), "WARC-Type")
