@@ -149,3 +149,20 @@ def test_ranges_meet_no_row_beyond_the_answer(spark):
     bands = spark.createDataFrame([(float(i), float(i + i % 50)) for i in range(300)], "_low0 double, _high0 double")
     pairs = [tuple(r) for r in L.range_pairs(values, bands, {"low": False, "high": False}).collect()]
     assert len(pairs) == len(set(pairs)) == sum(min(299, i + i % 50) - i + 1 for i in range(300))
+
+
+def test_bands_are_dealt_by_number_before_they_are_tiled(spark, monkeypatch):
+    """A task tiles a bounded number of bands; before, it tiled what AQE had merged by the bytes of the thin bands."""
+    from weftwork.operators import lookups
+
+    dealt = []
+    real = lookups._dealt
+    monkeypatch.setattr(lookups, "BANDS_A_TASK", 5)
+    monkeypatch.setattr(lookups, "_dealt", lambda df, count: dealt.append((count, real(df, count).rdd.getNumPartitions())) or real(df, count))
+    bands = spark.range(100).selectExpr("id", "id * 3 AS lo", "id * 3 + id % 7 AS hi")
+    asked = spark.range(0, 400, 7).selectExpr("id AS v")
+    out = lookups.range_lookup(asked, bands, "v", "lo", "hi", None, {"band": "id"}, policy="First", order_by=["id"])
+    want = {v: min((i for i in range(100) if i * 3 <= v <= i * 3 + i % 7), default=None) for v in range(0, 400, 7)}
+    assert {r.v: r.band for r in out.collect()} == want and dealt == [(100, 20)]
+    pairs = lookups.range_pairs(asked.selectExpr("v AS _v0"), bands.selectExpr("lo AS _low0", "hi AS _high0"), {"low": False, "high": False})
+    assert pairs.count() == sum(i * 3 <= v <= i * 3 + i % 7 for v in range(0, 400, 7) for i in range(100)) and dealt == [(100, 20)] * 2

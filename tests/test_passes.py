@@ -77,3 +77,48 @@ def test_lineage_through_a_cycle_ends(spark, rows):
     instances = spark.createDataFrame([("m", "E", "EXP", "TRANSFORMATION"), ("m", "T", "T", "TARGET"), ("m", "S", "S", "SOURCE")],
                                       "mapping string, name string, transformation string, type string")
     assert rows(N.connector_lineage(connectors, ports, instances)) == [("m", "T", "X", "S", "A"), ("m", "T", "Y", "S", "A")]
+
+
+def test_nodes_of_plain_references_equal_those_of_the_parser(spark, rows):
+    """The same trees spelled plainly, which Arrow reads, and with a blank, which the parser reads."""
+    plain = ['{"source":"A.B"}', '{"source":"äß.ü"}', '{"source":"A"}', '{"source":"."}', '{"source":"x.y}"}']
+    other = ['{"source":"a\\n.b"}', '{"source":"a\\u0041.b"}', '{"source":""}', '{"source":7.5}', '{"source":"A.B","value":"1"}', '{"source":["a.b"]}',
+             '{"name":"f","parameters":[{"source":"C.D"},{"name":"p","transformation":{"source":"E.F","parameters":[{"source":"G.H"}]}},{"value":"v.w"},3]}']
+    field = lambda texts: spark.createDataFrame([("r", i, None, i + 1, "F", t) for i, t in enumerate(texts)],
+                                                "recipe string, step_idx int, step string, field_idx int, name string, transformation string")
+    spaced = [t.replace('{"source":', '{"source": ', 1) for t in plain]
+    assert rows(N.expr_nodes(field(plain))) == rows(N.expr_nodes(field(spaced)))
+    texts = field(plain + other)
+    for columns in (None, ("path", "source"), ("source", "kind")):
+        dotted = N.expr_nodes(texts, columns, only=N.REFS)
+        assert rows(dotted) == rows(N.expr_nodes(texts).filter("instr(source, '.') > 0"), *dotted.columns)
+    lookups = field(plain + ['{"name":"L","outputField":"o","condition":"c","parameters":[{"name":"f","parameters":[{"name":"M","output\\u0046ield":null}]}]}', '{"name":"f","value":"outputField"}'])
+    found = N.expr_nodes(lookups, ("path", "kind", "condition"), only=N.LOOKUPS)
+    assert found.count() == 2 and rows(found) == rows(N.expr_nodes(lookups).filter("kind = 'lookup'"), *found.columns)
+
+
+def test_references_carry_no_other_nodes_to_spark(spark):
+    tree = '{"name":"f","parameters":[{"value":"1"},{"name":"g","parameters":[{"source":"A.B"}]}]}'
+    docs_ = spark.createDataFrame([("r", '{"steps":[{"target":{"name":"T","fields":[{"name":"X","transformation":%s}]}}]}' % tree)], "recipe string, document string")
+    assert [r.source for r in K.Corpus(docs_, (), K.NODE_COLUMNS["REF-004"], K.ONLY["REF-004"]).nodes.collect()] == ["A.B"]  # four rows before
+
+
+def test_fine_settings_give_way_to_those_of_the_session(spark):
+    keys = [session.INITIAL_PARTITIONS, *session.TASK_BYTES]
+    before = {k: spark.conf.get(k, None) for k in [*keys, *(f"weftwork.{k}" for k in keys)]}
+    files = "spark.sql.files.maxPartitionBytes"
+    try:
+        for k in before:
+            spark.conf.unset(k)
+        for fine in (True, False, True):
+            session.tune(spark, fine)
+            assert (spark.conf.get(files).rstrip("b") == str(16 << 20)) is fine
+            assert (int(spark.conf.get(session.INITIAL_PARTITIONS)) >= session.FINE_PARTITIONS) is fine
+        spark.conf.set(files, "5m")
+        spark.conf.set(session.INITIAL_PARTITIONS, "7")
+        for fine in (False, True):
+            session.tune(spark, fine)
+            assert spark.conf.get(files) == "5m" and spark.conf.get(session.INITIAL_PARTITIONS) == "7"
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
