@@ -199,23 +199,37 @@ def _in_ranks(rows: DataFrame, bands: DataFrame, keys: list[str], i: int, ends:
     return placed.filter("low IS NULL").select("_mine.*", "_rank"), bands.join(spans.filter("_first < _last"), "_band")
 
 
-def range_pairs(values: DataFrame, bands: DataFrame, ends: dict[str, bool]) -> DataFrame:
-    """Every (``_v0``, ends) where a distinct value of ``values`` (column ``_v0``) lies in a distinct band of ``bands``.
+def range_cells(values: DataFrame, bands: DataFrame, ends: dict[str, bool]) -> tuple[DataFrame, DataFrame]:
+    """(cells, tiles): the cells that each row of ``values`` lies in and those that tile each row of ``bands``, by ``_level`` and ``_cell``.
 
-    ``ends`` maps ``low`` and ``high``, or one of them, to whether that end is open; the columns are ``_low0`` and ``_high0``. The cells of a band
-    tile it without overlap, so value and band share exactly one cell and the join, an equality on cells, gives no row
-    beyond the answer. NULLs lie nowhere.
+    ``values`` has distinct ``_v0`` and ``bands`` distinct ends, neither with NULLs; their other columns stay. ``ends`` maps ``low`` and ``high``,
+    or one of them, to whether that end is open; the columns are ``_low0`` and ``_high0``. The cells of a band tile it without overlap, so
+    a value and a band that holds it share exactly one cell, others none. Cells of no band are left out, so both grow with their input only.
     """
-    sides = [f"_{end}0" for end in ends]
-    asked = stage(_without_nulls(values, ["_v0"]).distinct().withColumn("_ask", F.monotonically_increasing_id()), "asked")
-    spans = stage(_without_nulls(bands, sides).distinct().withColumn("_band", F.monotonically_increasing_id()), "bands")
+    asked = stage(values.withColumn("_ask", F.monotonically_increasing_id()), "asked")
+    spans = stage(bands.withColumn("_band", F.monotonically_increasing_id()), "bands")
     count = spans.count()  # of file footers
     rows, spans = _in_ranks(asked, spans, [], 0, ends)
     spans = _dealt(spans, count)
-    tiles = stage(spans.select(*sides, F.explode(F.expr(_TILES)).alias("_tile")).select("_tile.*", *sides), "tiles")
-    levels = tiles.agg(F.collect_set("level")).scalar()
-    cells = rows.withColumn("level", F.explode(levels)).select("_v0", "level", F.expr(f"shiftright(_rank, level * {_LEVEL_BITS})").alias("cell"))
-    return cells.join(tiles, ["level", "cell"]).select("_v0", *sides)
+    tiles = stage(spans.select(F.explode(F.expr(_TILES)).alias("_tile"), *bands.columns)
+                  .select(F.col("_tile.level").alias("_level"), F.col("_tile.cell").alias("_cell"), *bands.columns), "tiles")
+    levels = tiles.agg(F.collect_set("_level")).scalar()
+    other = [c for c in values.columns if c != "_v0"]
+    cells = rows.withColumn("_level", F.explode(levels)).select("_v0", "_level", F.expr(f"shiftright(_rank, _level * {_LEVEL_BITS})").alias("_cell"), *other)
+    return cells.join(tiles.select(*CELL).distinct(), CELL, "left_semi"), tiles
+
+
+CELL = ["_level", "_cell"]
+
+
+def range_pairs(values: DataFrame, bands: DataFrame, ends: dict[str, bool]) -> DataFrame:
+    """Every (``_v0``, ends) where a distinct value of ``values`` (column ``_v0``) lies in a distinct band of ``bands``.
+
+    ``ends`` and the columns are those of `range_cells`. The join is an equality on cells and gives no row beyond the answer. NULLs lie nowhere.
+    """
+    sides = [f"_{end}0" for end in ends]
+    cells, tiles = range_cells(_without_nulls(values, ["_v0"]).distinct(), _without_nulls(bands, sides).distinct(), ends)
+    return cells.join(tiles, CELL).select("_v0", *sides)
 
 
 def _tile_sql(bits: int, top: int) -> str:
