@@ -1,28 +1,44 @@
 """Duplicates, latest and first rows.
 
-All are partial aggregates and joins, never a window over a whole key: a key
+All are partial aggregates and joins, or windows over keys counted to be small, never a window over any key: one
 that holds a third of the table would put a third of it into one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
+from weftwork.session import stage
+
 
 def flag_duplicates(df: DataFrame, keys: list[str], order_by: list[str], flag: str = "FLAG_DUPLICADO") -> DataFrame:
     """``flag`` = 'Y' on every row whose key occurred earlier in the order, else 'N'.
 
-    Rows may be equal in key and order, even in all columns: equal rows collapse to one with their number, the first of a key
-    in the order (ties by all other columns) gives one 'N', all the rest are 'Y'. Maps are compared by their sorted entries.
+    Rows may be equal in key and order, even in all columns: the first of a key in the order (ties by all other columns) is the one 'N', all the
+    rest are 'Y'. Keys of up to FEW rows are numbered in their order; those of more, told by a count, are flagged by aggregates
+    (`_flag_hot`). Maps are compared by their sorted entries.
     """
     maps = [f.name for f in df.schema if isinstance(f.dataType, MapType)]
     if maps:
         entries = df.withColumns({m: F.array_sort(F.map_entries(F.col(f"`{m}`"))) for m in maps})
         return flag_duplicates(entries, keys, order_by, flag).withColumns({m: F.map_from_entries(F.col(f"`{m}`")) for m in maps})
-    rest = [c for c in df.columns if c not in order_by]
-    order = F.struct(*order_by, *rest)
+    order = [*order_by, *[c for c in df.columns if c not in order_by]]
+    hot = stage(df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("_n")).filter(F.col("_n") > FEW).drop("_n"), "hot")
+    some, same = not hot.isEmpty(), [df[k].eqNullSafe(hot[f"_k{i}"]) for i, k in enumerate(keys)]
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    few = df.join(hot, same, "left_anti") if some else df
+    few = few.select(*df.columns, F.when(number == 1, "N").otherwise("Y").alias(flag))
+    return few.union(_flag_hot(df.join(hot, same, "left_semi"), keys, order, flag)) if some else few
+
+
+FEW = 65536  # rows of a key that one task may sort
+
+
+def _flag_hot(df: DataFrame, keys: list[str], order_by: list[str], flag: str) -> DataFrame:
+    """`flag_duplicates` without sorting a key: equal rows collapse to one with their number, the least row of a key is the first."""
+    order = F.struct(*order_by)
     counted = df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
     first = df.groupBy(*keys).agg(F.min(order).alias("_first"))
     first = first.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_first")
