@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -106,6 +108,38 @@ def test_trees_find_every_bounded_pair():
     assert want and want <= got and all(180 * np.minimum(vecs[a], vecs[b]).sum() >= 80 * (n[a] + n[b]) for a, b in got if a != b)
 
 
+def test_trees_none_of_whose_nodes_are_near_give_no_pairs():
+    vecs = np.zeros((140, ngram_join.GROUPS), np.int32)
+    vecs[:70, :128] = vecs[70:, 128:] = 1
+    left, right = (ngram_join.RTree(vecs[at], np.full(70, 128), np.arange(140)[at]) for at in (slice(0, 70), slice(70, 140)))
+    assert [len(x) for x in left.pairs(right)] == [0, 0]
+
+
+def held_at_most(run):
+    """MB that ``run`` allocates at its peak"""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_worker_holds_little_at_once(spark):
+    """Batches, words of texts and compared points are bounded, whatever a task reads."""
+    ready(spark)
+    texts = spark.range(0, 24, 1, 1).selectExpr("repeat('x', 500000) AS text")
+    sizes = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert sum(r.n for r in sizes) >= 12_000_000 and max(r.n for r in sizes) < 5_000_000
+    words = pa.RecordBatch.from_pydict({"key": [b"%d" % i for i in range(400)], "text": [b"lorem ipsum %d dolor sit amet " % i * 330 for i in range(400)]})
+    assert held_at_most(lambda: [None for _, chunk in ngram_join._chunks([words]) if not ngram_join.shingle_sets(chunk)]) < 50
+    vecs = np.random.default_rng(2).poisson(0.6, (1024, ngram_join.GROUPS)).astype(np.int32)
+    n, at = vecs.sum(1).astype(np.int64), np.arange(40_000) % 1024
+    assert held_at_most(lambda: ngram_join._reaching(vecs, n, at, at[::-1])) < 25
+    tree = ngram_join.RTree(vecs, n, np.arange(1024))
+    assert held_at_most(lambda: tree.pairs(tree)) < 40
+
+
 def test_points_bound_the_overlap_even_when_counts_are_cut():
     a, b = (np.unique(np.random.default_rng(i).integers(0, 2**40, 5000).astype(np.uint64)) for i in (1, 2))
     x, y = ngram_join.coordinates([ngram_join.point(a), ngram_join.point(np.union1d(a, b))])
